@@ -158,5 +158,9 @@ def fit(counted: DataFrame) -> KneserNey:
 
 def mean_losses(losses: np.ndarray, keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mean loss of each text; 0 for an empty one."""
-    total = np.concatenate(([0.0], np.cumsum(losses[keys], dtype=np.float64)))[ends]
-    return np.diff(np.concatenate(([0.0], total))) / np.maximum(1, np.diff(np.concatenate(([0], ends))))
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    full = ends > starts
+    out = np.zeros(len(ends))
+    if full.any():  # each sum depends on its own text alone
+        out[full] = np.add.reduceat(losses[keys], starts[full], dtype=np.float64) / (ends - starts)[full]
+    return out

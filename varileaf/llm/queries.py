@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varileaf.llm import eliasfano, packing, transport
-from varileaf.llm.common import documents
+from varileaf.llm import crossentropy, eliasfano, html, jaccard, langid, mixing, packing, quality, transport
+from varileaf.llm.common import documents, pages
 from varileaf.llm.tokens import tokenizer_path
 
 
@@ -19,10 +19,39 @@ def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.read_media(transport.encode_media(documents(spark, sf_dir)))
 
 
+def op3_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op4_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(documents(spark, sf_dir))
+
+
 def op5_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.read_tokens(eliasfano.write_tokens(documents(spark, sf_dir), tokenizer_path()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_transport_streams, op5_elias_fano_tokens)}
+def op6_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(pages(spark, sf_dir))
+
+
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what labels call good."""
+    target = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return crossentropy.score(documents(spark, sf_dir), target)
+
+
+def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
+_ALL = (op1_packing, op2_transport_streams, op3_word_backoff_language, op4_kneser_ney_rules, op5_elias_fano_tokens, op6_block_rules, op7_cross_entropy_difference, op8_sainte_lague_mix, op10_jaccard_join)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
