@@ -12,8 +12,8 @@ _MASK = (1 << 64) - 1
 
 @lru_cache(maxsize=1)
 def _bytes() -> np.ndarray:
-    """A number for each byte, the same everywhere."""
-    return np.random.Generator(np.random.PCG64(7)).integers(1, _MASK, 256, np.uint64, endpoint=True)
+    """A number for each byte and a few more symbols, the same everywhere."""
+    return np.random.Generator(np.random.PCG64(7)).integers(1, _MASK, 320, np.uint64, endpoint=True)
 
 
 @lru_cache(maxsize=2)

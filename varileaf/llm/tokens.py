@@ -27,6 +27,37 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids of pieces that follow `lead`, as bytes; a missing piece is encoded when it is asked for."""
+
+    def __init__(self, tokenizer, lead: str, shown: dict[int, int]):
+        super().__init__()
+        self.encode, self.model, self.lead = tokenizer.encode, tokenizer.model.tokenize, lead
+        self.shown, self.shown_lead = shown, lead and chr(shown[32])
+        self.signs: dict[str, bytes] = {}
+
+    def _alone(self, lead: str, piece: str) -> bytes:
+        """Ids of one pre-token, by the library's model."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model(lead + piece)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        """Letters with signs after them are two pre-tokens; other pieces take the library's whole path."""
+        if piece.isalpha():
+            ids = self._alone(self.shown_lead, piece)
+        elif (core := piece.rstrip(_SIGNS)).isalpha():
+            tail = piece[len(core) :]
+            if tail not in self.signs:
+                self.signs[tail] = self._alone("", tail)
+            ids = (self.get(core) or self._alone(self.shown_lead, core)) + self.signs[tail]
+        else:
+            ids = array("I", self.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does; a text's pieces are independent, so known ones are looked up."""
 
@@ -37,66 +68,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        bare = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        moved = [b for b in range(256) if b not in set(bare)]
-        self.shown = {b: 256 + i for i, b in enumerate(moved)}  # the byte-level alphabet shows the other bytes from 256 on
-        self.signs: dict[str, bytes] = {}
-        self.line = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _alone(self, lead: str, piece: str) -> bytes:
-        """Ids of one pre-token, by the library's model."""
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(lead + piece)]).tobytes()
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> dict[str, bytes]:
-        """Letters with signs after them are two pre-tokens; other pieces take the library's whole path."""
-        over: dict[str, bytes] = {}
-        shown = lead and chr(self.shown[32])
-        for piece in pieces:
-            core = piece.rstrip(_SIGNS)
-            if core.isalpha():
-                ids = known.get(core) if core is not piece else None
-                if ids is None:
-                    ids = self._alone(shown, core)
-                    if len(core) <= LONGEST:
-                        known[core] = ids
-                if len(core) < len(piece):
-                    tail = piece[len(core) :]
-                    if tail not in self.signs:
-                        self.signs[tail] = self._alone("", tail)
-                    ids += self.signs[tail]
-            else:
-                ids = array("I", self.tokenizer.encode(lead + piece, add_special_tokens=False).ids).tobytes()
-            (known if len(piece) <= LONGEST else over)[piece] = ids
-        return over
+        bare = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+        shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in bare)}  # the byte-level alphabet shows the other bytes from 256 on
+        self.first, self.later = _Known(self.tokenizer, "", shown), _Known(self.tokenizer, " ", shown)
+        self.line = self.first["\n"]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > PIECES:
-            self.first, self.later, self.signs = {}, {}, {}
-        cut = [[_CUT.split(line) for line in _LINE.split(t)] for t in texts]
-        fresh_first: set[str] = set()
-        fresh: set[str] = set()
-        for lines in cut:
-            for c in lines:
-                fresh_first.add(c[0])
-                fresh.update(c[1:])
-        first, later = self.first, self.later
-        if over_first := self._learn(first, fresh_first - first.keys(), ""):
-            first = {**{p: first[p] for p in fresh_first - over_first.keys()}, **over_first}
-        if over := self._learn(later, fresh - later.keys(), " "):
-            later = {**{p: later[p] for p in fresh - over.keys()}, **over}
-        out = []
-        for lines in cut:
+        first, later, line, out = self.first.__getitem__, self.later.__getitem__, self.line, []
+        for known in (self.first, self.later):
+            if len(known) > PIECES:
+                known.clear()
+        for text in texts:
             parts: list[bytes] = []
-            for c in lines:
+            for row in _LINE.split(text):
                 if parts:
-                    parts.append(self.line)
-                parts.append(first[c[0]])
-                parts += map(later.__getitem__, c[1:])
+                    parts.append(line)
+                head, *rest = _CUT.split(row)
+                parts.append(first(head))
+                parts += map(later, rest)
             out.append(np.frombuffer(b"".join(parts), "<u4"))
         return out
 
