@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varileaf.llm import crossentropy, eliasfano, html, jaccard, langid, mixing, packing, quality, transport
+import corpus_pipeline
+from varileaf.llm import crossentropy, eliasfano, html, jaccard, langid, mixing, packing, quality, repeats, transport
 from varileaf.llm.common import documents, pages
 from varileaf.llm.tokens import tokenizer_path
 
@@ -46,12 +47,16 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(documents(spark, sf_dir))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
-_ALL = (op1_packing, op2_transport_streams, op3_word_backoff_language, op4_kneser_ney_rules, op5_elias_fano_tokens, op6_block_rules, op7_cross_entropy_difference, op8_sainte_lague_mix, op10_jaccard_join)
+_ALL = (op1_packing, op2_transport_streams, op3_word_backoff_language, op4_kneser_ney_rules, op5_elias_fano_tokens, op6_block_rules, op7_cross_entropy_difference, op8_sainte_lague_mix, op9_suffix_repeats, op10_jaccard_join)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {}
