@@ -296,17 +296,17 @@ def cosine_cohesion(spark, sf_dir):
     return metrics.cohesion(table(spark, sf_dir, "embeddings"), "embedding", "label").select("label", "n", r(F.col("cosine"), 5).alias("cosine"))
 
 
-@query(LINES + f", x as (select *, {ROUTE} as pid from z) select cast(pid as int) as partition_id, count(*) as n, {sr(' + '.join(f'abs(skewness({c}))' for c in Z) , 4)} as skewness, {sr(' + '.join(f'abs(kurtosis_pop({c}))' for c in Z), 4)} as kurtosis from x group by pid")
+@query(LINES + f", x as (select *, {ROUTE} as pid from z) select cast(pid as int) as partition_id, count(*) as n, {sr(' + '.join(f'abs(skewness({c})) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0))' for c in Z) , 4)} as skewness, {sr(' + '.join(f'abs(kurtosis_pop({c}))' for c in Z), 4)} as kurtosis from x group by pid")
 def partition_moments(spark, sf_dir):
     x = metrics.moments(lines(spark, sf_dir).withColumn("partition_id", FIXED.leaf()), Z)
     return x.select("partition_id", "n", r(F.col("skewness") * 4, 4).alias("skewness"), r(F.col("kurtosis") * 4, 4).alias("kurtosis"))
 
 
-@query("select time_bucket(interval '1 day', ts) as window_start, event_type as partition_id, count(*) as n, " + sr("avg(value)", 4) + " as mean, " + sr("stddev_pop(value)", 4) + " as std from events group by all")
+@query("select time_bucket(interval '1 day', ts) as window_start, event_type as partition_id, count(*) as n, " + sr("avg(value)", 8) + " as mean, " + sr("stddev_pop(value)", 8) + " as std from events group by all")
 def windowed_partition_stats(spark, sf_dir):
     df = table(spark, sf_dir, "events").withColumn("partition_id", F.col("event_type"))
     x = partition_windows(df, "ts", "value", "1 day")
-    return x.select("window_start", "partition_id", "n", r(F.col("mean"), 4).alias("mean"), r(F.col("std"), 4).alias("std"))
+    return x.select("window_start", "partition_id", "n", r(F.col("mean"), 8).alias("mean"), r(F.col("std"), 8).alias("std"))
 
 
 def line_model(spark, sf_dir, **settings):
