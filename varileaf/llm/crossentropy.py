@@ -1,37 +1,38 @@
-"""Cross-entropy difference: two n-gram models over one vocabulary, and the difference of a document's losses under them."""
+"""Cross-entropy difference: two word trigram models over one vocabulary, and the difference of a document's losses under them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varileaf.llm import ngrams
-from varileaf.llm.common import batches, map_arrow, text_bytes
+from varileaf.llm.common import batches, map_arrow, materialize, text_bytes
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score, their difference (the lower, the more like the target).
 
-    target: doc_ids of the in-domain documents; the background is every document. Both models have the same symbols, order and
+    target: doc_ids of the in-domain documents; the background is every document. Both models have the same words, order and
     smoothing, and are counted over whole texts. A null or empty text has no tokens and score 0; repeated rows and null doc_ids stay
     and are background; without targets the target model is uniform; an empty table gives none; other columns are left out.
     """
-    wanted = target.select(F.col("doc_id").cast("long").alias("of")).where("of is not null").distinct().withColumn("hit", F.lit(1))
+    wanted = target.select(F.col("doc_id").cast("long").alias("of")).where("of is not null").distinct().withColumn("hit", F.lit(True))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = given.join(wanted, given.doc_id == wanted.of, "left").select("text", F.coalesce("hit", F.lit(0)).alias("hit"))
-    counted = ngrams.count(marked, "hit").toArrow()  # at most 2**24 rows for each of the two groups
-    models = ngrams.from_table(counted, [1]), ngrams.from_table(counted, [0, 1])
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    marked = given.join(wanted, given.doc_id == wanted.of, "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
+    buckets = ngrams.buckets_for(given)
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [m.losses() for m in shared.value]
-        for frame in batches(frames):
+        for number, frame in enumerate(batches(frames)):
             texts = text_bytes(frame.column(1))
-            keys, ends = ngrams.keys_of(texts)
-            a, b = (ngrams.mean_losses(t, keys, ends) for t in tables)
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(map(len, texts), pa.int64()), pa.array(a), pa.array(b), pa.array(a - b)], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return map_arrow(given, rows, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+            sizes, dealt = ngrams.split(texts, [np.array(frame.column(2).to_pylist(), bool)], buckets)
+            yield from ngrams.table_rows([("doc_id", pa.int64(), frame.column(0)), ("n_words", pa.int64(), sizes)], ngrams.chunk_id(number), len(texts), dealt)
+
+    fields = "doc_id long, n_words long"
+    table = materialize(map_arrow(marked, rows, f"{fields}, {ngrams.ADDED}"), "trigrams")
+    scored = ngrams.mean_losses(table, fields, buckets, 2)
+    a, b = F.col("losses")[0], F.col("losses")[1]
+    return scored.select("doc_id", F.col("n_words").alias("n_tokens"), a.alias("loss_target"), b.alias("loss_background"), (a - b).alias("score"))

@@ -1,166 +1,280 @@
-"""Symbol n-gram models with modified Kneser-Ney smoothing: counted by Spark over all texts, kept as sorted hash arrays."""
+"""Word trigram models with interpolated modified Kneser-Ney smoothing, in hash-partitioned sorted arrays that stay distributed.
+
+Trigrams are dealt to buckets by the hash of their history, so a history's totals are local to its bucket. Each bucket sends the
+continuation counts of its bigrams to the bucket of their first word, and those send the ones of single words on. Probabilities come
+back the same way and end in sums of losses of each document. Rows between buckets are packed arrays; the driver sees counts of counts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varileaf.llm.common import batches, map_arrow, text_bytes
-
-#: Bytes fold into 64 symbols, so that a model of order 4 has 2**24 entries at most, however large the corpus is.
-BITS, ORDER = 6, 4
-SYMBOLS, SPACE = 1 << BITS, 1 << BITS * ORDER
-HISTORIES = SPACE >> BITS
-
-
-def _fold() -> np.ndarray:
-    """Symbol of each byte: blanks 0 and 1, letters a-z, one for capitals and one for digits, common signs, and folded UTF-8."""
-    table = np.full(256, 47, np.uint8)
-    table[[9, 11, 12, 13, 32]], table[10] = 0, 1
-    table[97:123] = np.arange(2, 28)
-    table[65:91], table[48:58] = 28, 29
-    for k, c in enumerate(b".,'-!?:;()\"/#*$%&"):
-        table[c] = 30 + k
-    table[0x80:0xC0] = 51 + np.arange(64) % 13
-    table[0xC0:0xE0], table[0xE0:0xF0], table[0xF0:] = 48, 49, 50
-    return table
-
-
-FOLD = _fold()
-
-
-def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all positions of the texts, one after another, and where each text ends; a text starts after blanks."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    pad = b" " * (ORDER - 1)
-    symbols = FOLD[np.frombuffer(pad + pad.join(texts), np.uint8)].astype(np.uint32)
-    keys = symbols[ORDER - 1 :].copy()
-    for back in range(1, ORDER):
-        keys |= symbols[ORDER - 1 - back : len(symbols) - back] << np.uint32(BITS * back)
-    mine = np.ones(len(keys), bool)
-    ends = np.cumsum(lengths)
-    gaps = (ends[:-1] + (ORDER - 1) * np.arange(len(texts) - 1))[:, None] + np.arange(ORDER - 1)
-    mine[gaps.ravel()] = False
-    return keys[mine], ends
-
-
-def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each occurs."""
-    if counts is None:
-        keys = np.sort(keys)
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[starts], np.diff(np.append(starts, len(keys)))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
-
-
-def count(docs: DataFrame, group: str | None = None) -> DataFrame:
-    """key and k, the times it occurs in all texts; with a group column, for each of its values. Tasks count first, then sums are shuffled."""
-    grouped = [F.col(group).cast("int").alias("grp")] if group else [F.lit(0).alias("grp")]
-
-    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for frame in batches(frames):
-            texts, groups = text_bytes(frame.column(0)), frame.column(1).to_pylist()
-            for g in sorted(set(groups)):
-                keys, _ = keys_of([t for t, x in zip(texts, groups, strict=True) if x == g])
-                held.setdefault(g, []).append(summed(keys))
-                if len(held[g]) >= 8:
-                    held[g] = [summed(*map(np.concatenate, zip(*held[g], strict=True)))]
-        for g, parts in held.items():
-            keys, counts = summed(*map(np.concatenate, zip(*parts, strict=True)))
-            for a in range(0, len(keys), 1 << 16):
-                b = min(len(keys), a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array([g] * (b - a), pa.int32()), pa.array(keys[a:b].astype(np.int32)), pa.array(counts[a:b].astype(np.int64))], names=["grp", "key", "k"])
-
-    return map_arrow(docs.select("text", *grouped), rows, "grp int, key int, k long").groupBy("grp", "key").agg(F.sum("k").alias("k"))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """D(0), D(1), D(2), D(3+) from the counts of counts."""
-    n1, n2, n3, n4 = ((counts == i).sum() for i in (1, 2, 3, 4))
-    if not min(n1, n2, n3, n4):
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
-
-
-@dataclass
-class KneserNey:
-    """keys: sorted hashes of the seen n-grams; own: their discounted probabilities; left: what each history leaves to lower orders; lower: their probabilities."""
-
-    keys: np.ndarray
-    own: np.ndarray
-    left: np.ndarray
-    lower: np.ndarray
-
-    @classmethod
-    def from_counts(cls, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.uint32), counts[order].astype(np.float64)
-        levels = [(keys, counts)]
-        for n in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols stand before
-            short, kinds = np.unique(levels[-1][0] & np.uint32((1 << BITS * n) - 1), return_counts=True)
-            levels.append((short, kinds.astype(np.float64)))
-        lower = np.full(SYMBOLS, 1 / SYMBOLS)
-        for n, (short, kinds) in enumerate(reversed(levels), 1):
-            histories = 1 << BITS * (n - 1)
-            d = _discounts(kinds)[np.minimum(kinds, 3).astype(int)]
-            h = (short >> np.uint32(BITS)).astype(np.int64)
-            total = np.bincount(h, kinds, histories)
-            own = (kinds - d) / total[h]
-            left = np.ones(histories)
-            left[total > 0] = np.bincount(h, d, histories)[total > 0] / total[total > 0]
-            if n == ORDER:
-                return cls(short, own.astype(np.float32), left.astype(np.float32), lower.astype(np.float32))
-            full = np.repeat(left, SYMBOLS) * np.tile(lower, histories * SYMBOLS // len(lower))
-            full[short.astype(np.int64)] += own
-            lower = full
-        raise AssertionError
-
-    def probability(self, keys: np.ndarray) -> np.ndarray:
-        """By search in the sorted hashes."""
-        base = self.left[keys >> np.uint32(BITS)] * self.lower[keys & np.uint32(HISTORIES - 1)]
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            base = base + np.where(self.keys[at] == keys, self.own[at], 0)
-        return base
-
-    def losses(self) -> np.ndarray:
-        """Natural-log loss by key, laid out over the whole key space once a worker: 64 MB."""
-        table = self._base().ravel()
-        table[self.keys.astype(np.int64)] += self.own
-        return -np.log(table, out=table)
-
-    def _base(self) -> np.ndarray:
-        shorter = self.lower.reshape(-1, SYMBOLS)
-        return (self.left.reshape(SYMBOLS, -1, 1) * shorter[None]).astype(np.float32)
-
-
-def from_table(table: pa.Table, groups: list[int]) -> KneserNey:
-    """The model of counted n-grams (grp, key, k) of the given groups, summed."""
-    grp, keys, counts = (table.column(c).to_numpy() for c in ("grp", "key", "k"))
-    mine = np.isin(grp, groups)
-    return KneserNey.from_counts(*summed(keys[mine].astype(np.uint32), counts[mine]))
-
-
-def fit(counted: DataFrame) -> KneserNey:
-    """The model of all counts, of which at most 2**24 reach the driver."""
-    return from_table(counted.toArrow(), [0])
-
-
-def mean_losses(losses: np.ndarray, keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mean loss of each text; 0 for an empty one."""
-    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-    full = ends > starts
-    out = np.zeros(len(ends))
-    if full.any():  # each sum depends on its own text alone
-        out[full] = np.add.reduceat(losses[keys], starts[full], dtype=np.float64) / (ends - starts)[full]
+from varileaf.llm.common import materialize
+from varileaf.llm.rolling import Prefix, mixed
+
+#: Bytes of text for each bucket, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 12
+#: What stands before the first words of a text.
+START = np.uint64(1)
+#: Columns of a packed row besides a document's own: bucket, where it comes from, arrays, documents of the occurrences.
+PACKED = "bucket int, kind int, chunk long, payload binary, docs binary"
+_NAMES = ["bucket", "kind", "chunk", "payload", "docs"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Sizes and arrays as one compressed string."""
+    raw = b"".join([np.array([a.size for a in arrays], np.int64).tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
     return out
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(h) >> np.uint64(16)) % np.uint64(buckets)
+
+
+def buckets_for(docs: DataFrame) -> int:
+    return max(LEAST_BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, one text after another, and how many each text has."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True))
+    starts, stops = edge[::2], edge[1::2]
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    return Prefix(data).of(starts, stops), np.diff(ends, prepend=0)
+
+
+def summed(keys: tuple[np.ndarray, ...], k: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct keys in order, their sums of k (a column a model), and the place of each given row among them."""
+    order = np.lexsort(keys[::-1])
+    keys = tuple(x[order] for x in keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    starts = np.flatnonzero(new)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [x[starts] for x in keys], np.add.reduceat(k[order], starts, axis=0) if len(starts) else k, place
+
+
+def split(texts: list[bytes], member: list[np.ndarray], buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes, bytes]]]:
+    """Words of each text; and for each bucket its trigrams (hash of the history, last two words, counts) and the texts they occur in.
+
+    member: for each further model, which texts it counts; the last model counts all.
+    """
+    w, sizes = words_of(texts)
+    if not len(w):
+        return sizes, []
+    doc = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
+    place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    v, u = np.full(len(w), START), np.full(len(w), START)
+    v[1:], u[2:] = w[:-1], w[:-2]
+    v[place < 1] = u[place < 2] = START
+    h = mixed(mixed(u) * np.uint64(3) + v)
+    bucket = bucket_of(h, buckets)
+    order = np.lexsort((w, h, bucket))
+    bucket, h, v, w, doc = (x[order] for x in (bucket, h, v, w, doc))
+    starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]))))
+    k = np.stack([np.add.reduceat(m[doc].astype(np.int32), starts) for m in (*member, np.ones(len(texts), bool))], 1)
+    first = np.flatnonzero(np.concatenate(([True], bucket[starts][1:] != bucket[starts][:-1])))
+    out = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(starts)], strict=True):
+        at, stop = starts[a:b], starts[b] if b < len(starts) else len(w)
+        out.append((int(bucket[starts[a]]), pack(h[at], v[at], w[at], k[a:b].astype(np.int32)), pack(doc[starts[a] : stop])))
+    return sizes, out
+
+
+def chunk_id(number: int) -> int:
+    """Of the batch of that number in this task, unlike any other's."""
+    return TaskContext.get().partitionId() << 32 | number
+
+
+def packed(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], names=_NAMES)
+
+
+def _dealt(keys: list[np.ndarray], by: np.ndarray, k: np.ndarray, buckets: int, kind: int, source: int) -> list[tuple]:
+    """Packed rows of the arrays, one for each bucket of `by`."""
+    bucket = bucket_of(by, buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    return [(b, kind, source, pack(*[x[s] for x in keys], k[s]), None) for b in range(buckets) if len(s := order[edges[b] : edges[b + 1]])]
+
+
+def _counts(k: np.ndarray) -> tuple:
+    """A row of one bucket for the driver: of each model, n-grams found once to four times, all found, their sum, and all of any model."""
+    return -1, 0, 0, pack(np.stack([*[(k == i).sum(0) for i in (1, 2, 3, 4)], (k > 0).sum(0), k.sum(0), np.full(k.shape[1], len(k))]).astype(np.int64)), None
+
+
+def _totals(table: DataFrame, models: int) -> np.ndarray:
+    rows = table.where("bucket = -1").select("payload").collect()
+    return sum((unpack(bytes(r.payload), "i8")[0].reshape(7, models) for r in rows), np.zeros((7, models), np.int64))
+
+
+def discounts(totals: np.ndarray) -> np.ndarray:
+    """D(0), D(1), D(2), D(3+) of each model from its counts of counts."""
+    out = []
+    for n1, n2, n3, n4 in totals[:4].T.tolist():
+        if not min(n1, n2, n3, n4):
+            out.append([0, 0.5, 0.75, 0.9])
+            continue
+        y = n1 / (n1 + 2 * n2)
+        out.append(np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95]))
+    return np.array(out, float)
+
+
+def smoothed(history: np.ndarray, k: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted probabilities of n-grams sorted by history, and what their histories leave to lower orders (all where not found)."""
+    starts = np.flatnonzero(np.concatenate(([True], history[1:] != history[:-1])))
+    each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(history))))
+    off = np.stack([d[g][np.minimum(k[:, g], 3)] for g in range(k.shape[1])], 1)
+    total, left = np.add.reduceat(k, starts, axis=0)[each], np.add.reduceat(off, starts, axis=0)[each]
+    least = np.maximum(total, 1)
+    return (k - off) / least, np.where(total > 0, left / least, 1.0)
+
+
+def _read(table: pa.Table, kind: int, models: int, *kinds: str) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Sources, keys and values (a column a model) of the rows of a kind in the order of their sources, and where each row ends."""
+    rows = [(c, p) for c, k, p in zip(*(table.column(x).to_pylist() for x in ("chunk", "kind", "payload")), strict=True) if k == kind]
+    got = [unpack(p, *kinds) for _, p in rows]
+    arrays = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in enumerate(kinds)]
+    values = arrays[-1].reshape(-1, models)
+    return [c for c, _ in rows], arrays[:-1], values.astype(np.int64) if kinds[-1] == "i4" else values, np.cumsum([len(g[0]) for g in got], dtype=np.int64)
+
+
+def _slices(ends: np.ndarray) -> Iterator[slice]:
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        yield slice(a, b)
+
+
+def losses(dealt: DataFrame, buckets: int, models: int) -> DataFrame:
+    """chunk and payload: places of texts in their chunk, and the natural-log losses under each model that add up to theirs.
+
+    dealt: the packed rows that split() makes, written once.
+    """
+
+    def trigrams(table: pa.Table) -> pa.Table:
+        source = table.column("bucket")[0].as_py()
+        _, (h, v, w), k, _ = _read(table, 0, models, "u8", "u8", "u8", "i4")
+        (_, w, v), k, _ = summed((h, w, v), k)
+        (v, w), found, _ = summed((v, w), (k > 0).astype(np.int64))
+        return packed([_counts(k), *_dealt([v, w], v, found, buckets, 0, source)])
+
+    def bigrams(table: pa.Table) -> pa.Table:
+        source = table.column("bucket")[0].as_py()
+        _, keys, k, _ = _read(table, 0, models, "u8", "u8", "i8")
+        (_, w), k, _ = summed(tuple(keys), k)
+        (w,), found, _ = summed((w,), (k > 0).astype(np.int64))
+        return packed([_counts(k), *_dealt([w], w, found, buckets, 0, source)])
+
+    def words(table: pa.Table) -> pa.Table:
+        _, keys, k, _ = _read(table, 0, models, "u8", "i8")
+        return packed([_counts(summed(tuple(keys), k)[1])])
+
+    def by_bucket(df: DataFrame):
+        return df.where("bucket >= 0").groupBy("bucket")
+
+    rows = dealt.select(*_NAMES)
+    slim = rows.withColumn("docs", F.lit(None).cast("binary"))
+    pairs = materialize(by_bucket(slim).applyInArrow(trigrams, PACKED), "bigrams")
+    singles = materialize(by_bucket(pairs).applyInArrow(bigrams, PACKED), "words")
+    n1 = _totals(by_bucket(singles).applyInArrow(words, PACKED), models)
+    d1, d2, d3 = (discounts(n) for n in (n1, _totals(singles, models), _totals(pairs, models)))
+    found, total, vocabulary = n1[4], n1[5], max(1, int(n1[6].max()))
+    left1 = np.where(total > 0, (d1[:, 1] * n1[0] + d1[:, 2] * n1[1] + d1[:, 3] * (found - n1[0] - n1[1])) / np.maximum(total, 1), 1.0)
+
+    def word_replies(table: pa.Table) -> pa.Table:
+        mine = table.column("bucket")[0].as_py()
+        sources, (w,), k, ends = _read(table, 0, models, "u8", "i8")
+        _, k, place = summed((w,), k)
+        off = np.stack([d1[g][np.minimum(k[:, g], 3)] for g in range(models)], 1)
+        p = ((k - off) / np.maximum(total, 1) + left1 / vocabulary)[place]
+        return packed([(b, 1, mine, pack(w[s], p[s]), None) for b, s in zip(sources, _slices(ends), strict=True)])
+
+    def bigram_replies(table: pa.Table) -> pa.Table:
+        mine = table.column("bucket")[0].as_py()
+        sources, (v, w), k, ends = _read(table, 0, models, "u8", "u8", "i8")
+        _, (known,), p, _ = _read(table, 1, models, "u8", "f8")
+        (history, last), k, place = summed((v, w), k)
+        own, left = smoothed(history, k, d2)
+        order = np.argsort(known)
+        p = (own + left * p[order[np.searchsorted(known[order], last)]])[place]
+        return packed([(b, 1, mine, pack(v[s], w[s], p[s]), None) for b, s in zip(sources, _slices(ends), strict=True)])
+
+    def text_losses(table: pa.Table) -> pa.Table:
+        chunks, (h, v, w), k, ends = _read(table, 0, models, "u8", "u8", "u8", "i4")
+        texts = [x for x, kind in zip(table.column("docs").to_pylist(), table.column("kind").to_pylist(), strict=True) if kind == 0]
+        _, (a, b), p, _ = _read(table, 1, models, "u8", "u8", "f8")
+        times = k[:, -1]
+        (history, w, v), k, place = summed((h, w, v), k)
+        own, left = smoothed(history, k, d3)
+        code, wanted = mixed(mixed(a) * np.uint64(3) + b), mixed(mixed(v) * np.uint64(3) + w)
+        order = np.argsort(code)
+        loss = -np.log(own + left * p[order[np.searchsorted(code[order], wanted)]])
+        out = []
+        for chunk, text, s in zip(chunks, texts, _slices(ends), strict=True):
+            ids, at = np.unique(unpack(text, "u4")[0], return_inverse=True)
+            each = np.repeat(loss[place[s]], times[s], axis=0)
+            out.append((None, 2, chunk, pack(ids, np.stack([np.bincount(at, each[:, g], len(ids)) for g in range(models)], 1)), None))
+        return packed(out)
+
+    low = by_bucket(singles).applyInArrow(word_replies, PACKED)
+    middle = by_bucket(pairs.unionByName(low)).applyInArrow(bigram_replies, PACKED)
+    return by_bucket(rows.unionByName(middle)).applyInArrow(text_losses, PACKED).select("chunk", "payload")
+
+
+def mean_losses(table: DataFrame, fields: str, buckets: int, models: int) -> DataFrame:
+    """The fields of each text and losses, the mean over its words under each model; 0 for a text without words.
+
+    table: written once; rows of texts (the fields with n_words, chunk and place) and packed rows of split(), whose bucket isn't null.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+    texts = table.where("bucket is null").select(*names, "chunk", "place", F.lit(None).cast("binary").alias("payload"))
+    sums = losses(table.where("bucket is not null"), buckets, models)
+    both = texts.unionByName(sums, allowMissingColumns=True)
+
+    def rows(group: pa.Table) -> pa.Table:
+        blobs = group.column("payload").to_pylist()
+        given = group.filter(pa.array([b is None for b in blobs]))
+        place = given.column("place").to_numpy()
+        total = np.zeros((int(place.max()) + 1, models))
+        for ids, loss in sorted((unpack(b, "u4", "f8") for b in blobs if b is not None), key=lambda x: x[1].tobytes()):
+            total[ids] += loss.reshape(-1, models)
+        mean = total[place] / np.maximum(given.column("n_words").to_numpy(), 1)[:, None]
+        return pa.table([*[given.column(c) for c in names], pa.array(mean.tolist(), pa.list_(pa.float64()))], names=[*names, "losses"])
+
+    return both.groupBy("chunk").applyInArrow(rows, f"{fields}, losses array<double>")
+
+
+def table_rows(fields: list[tuple[str, pa.DataType, object]], chunk: int, n: int, dealt: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of one chunk for mean_losses(): its n texts and its packed rows."""
+    names, kinds = [f[0] for f in fields], [f[1] for f in fields]
+    own = [c if isinstance(c, pa.Array) else pa.array(c, t) for _, t, c in fields]
+    rest = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+    yield pa.RecordBatch.from_arrays([*own, pa.array([chunk] * n, pa.int64()), pa.array(range(n), pa.int64()), *rest], names=[*names, "chunk", "place", "bucket", "kind", "payload", "docs"])
+    m = len(dealt)
+    rest = [pa.array([d[0] for d in dealt], pa.int32()), pa.array([0] * m, pa.int32()), pa.array([d[1] for d in dealt], pa.binary()), pa.array([d[2] for d in dealt], pa.binary())]
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in kinds], pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int64()), *rest], names=[*names, "chunk", "place", "bucket", "kind", "payload", "docs"])
+
+
+#: What table_rows() adds to the fields.
+ADDED = "chunk long, place long, bucket int, kind int, payload binary, docs binary"

@@ -58,26 +58,27 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(docs: DataFrame, model: ngrams.KneserNey) -> DataFrame:
+_FIELDS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string"
+
+
+def measure(docs: DataFrame) -> DataFrame:
     """The base counts and the log perplexity of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    buckets = ngrams.buckets_for(docs)
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        losses = shared.value.losses()
-        for frame in batches(frames):
+        for number, frame in enumerate(batches(frames)):
             texts = text_bytes(frame.column(1))
             words = [t.split() for t in texts]
-            n = np.array([len(w) for w in words], np.int64)
             code_points = [sum(map(len, w)) if t.isascii() else len(b"".join(w).decode("utf-8", "replace")) for t, w in zip(texts, words, strict=True)]
             symbols = [len(t) - len(t.translate(None, _SYMBOLS)) for t in texts]
-            keys, ends = ngrams.keys_of(texts)
-            yield pa.RecordBatch.from_arrays(
-                [frame.column(0), pa.array(n), pa.array(code_points, pa.int64()), pa.array(symbols, pa.int64()), pa.array([duplicate_lines(t) for t in texts], pa.int64()), pa.array(repeat_words(words)), pa.array(ngrams.mean_losses(losses, keys, ends)), frame.column(2)],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "loss", "lang"],
-            )
+            sizes, dealt = ngrams.split(texts, [], buckets)
+            own = [frame.column(0), pa.array(sizes, pa.int64()), code_points, symbols, [duplicate_lines(t) for t in texts], pa.array(repeat_words(words)), frame.column(2)]
+            fields = [(f.split()[0], pa.string() if f.endswith("string") else pa.int64(), c) for f, c in zip(_FIELDS.split(", "), own, strict=True)]
+            yield from ngrams.table_rows(fields, ngrams.chunk_id(number), len(texts), dealt)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return map_arrow(given, rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, loss double, lang string")
+    table = materialize(map_arrow(given, rows, f"{_FIELDS}, {ngrams.ADDED}"), "trigrams")
+    return ngrams.mean_losses(table, _FIELDS, buckets, 1).withColumn("loss", F.col("losses")[0]).drop("losses")
 
 
 def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -87,7 +88,7 @@ def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     an empty table gives none; other columns are left out. The model counts all texts; a language's band comes from all its documents
     that pass the base rules, and a document on its edge is kept.
     """
-    measured = materialize(measure(docs, ngrams.fit(ngrams.count(docs))), "quality")
+    measured = materialize(measure(docs), "quality")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     bands = measured.where(~failed).groupBy("lang").agg(F.percentile_approx("loss", F.array(F.lit(0.25), F.lit(0.75)), 10000).alias("q"))
     reach = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST)) * width
