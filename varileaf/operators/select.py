@@ -5,11 +5,13 @@ Input: a table with ids, z columns and partition_id; budgets: partition_id -> ro
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +20,10 @@ from varileaf.functions import draws
 from varileaf.operators.budgets import largest_remainder
 from varileaf.operators.neighbours import squared_distances
 
-#: Rows that one kernel call holds; a larger partition is dealt by hash into equal parts that share its budget.
+#: Rows of a partition that one kernel call holds; rounds over all tasks make the same picks from a larger one.
 GROUP_ROWS = 20_000
+#: Rows that a round of distributed picks brings to the driver, over all tasks and partitions.
+CANDIDATES = 100_000
 NEIGHBOURS = 10
 
 
@@ -101,35 +105,189 @@ def mixed_fps(z: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
 
 
 def grouped(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], kernel: SelectionStrategy, seed: int = 42) -> DataFrame:
-    """Runs a kernel on every partition, or on equal parts of those above GROUP_ROWS."""
+    """Runs a kernel on every whole partition; beyond GROUP_ROWS the known ones are distributed, a custom one still gets all rows."""
     wanted = budget_table(df, budgets)
-    sizes = {r.partition_id: r["count"] for r in df.join(F.broadcast(wanted), "partition_id", "left_semi").groupBy("partition_id").count().collect()}
-    parts = df.sparkSession.createDataFrame([(p, -(-n // GROUP_ROWS)) for p, n in sizes.items()], "partition_id int, _parts int")
-    dealt = df.select(*ids, *z, "partition_id").join(F.broadcast(parts), "partition_id").withColumn("_part", F.pmod(F.xxhash64(*ids), F.col("_parts")).cast("int")).drop("_parts")
-    counts: dict[int, dict[int, int]] = {}
-    if any(n > GROUP_ROWS for n in sizes.values()):
-        for r in dealt.groupBy("partition_id", "_part").count().collect():  # a row for each GROUP_ROWS rows of data
-            counts.setdefault(r.partition_id, {})[r["_part"]] = r["count"]
-    shares: dict[tuple[int, int], int] = {}
-    for p, n in sizes.items():
-        own = counts.get(p, {0: n})
-        keys = sorted(own)
-        have = np.array([own[k] for k in keys])
-        for k, b in zip(keys, largest_remainder(have, min(budgets[p], n), have), strict=True):
-            shares[p, k] = int(b)
-    table = df.sparkSession.createDataFrame([(p, k, b) for (p, k), b in shares.items() if b], "partition_id int, _part int, _budget int")
+    table = df.select(*ids, *z, "partition_id").join(F.broadcast(wanted), "partition_id")
+    sizes = {r.partition_id: r["count"] for r in table.groupBy("partition_id").count().collect()}
+    large = {p: min(budgets[p], n) for p, n in sizes.items() if n > GROUP_ROWS and kernel in DISTRIBUTED}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(ids, kind="stable")
-        budget = int(frame["_budget"].iloc[0])
+        budget = int(frame["budget"].iloc[0])
         at = np.asarray(kernel(frame[z].to_numpy(float), min(budget, len(frame)), seed), int)
         out = frame.iloc[at][[*ids, "partition_id"]]
-        return out.assign(selection_rank=np.arange(len(out)) + (int(frame["_part"].iloc[0]) << 32))
+        return out.assign(selection_rank=np.arange(len(out)))
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*ids, "partition_id").schema) + ", selection_rank long"
-    return dealt.join(table, ["partition_id", "_part"]).groupBy("partition_id", "_part").applyInPandas(run, shape)
-
-
+    small = table.where(~F.col("partition_id").isin(list(large))) if large else table
+    out = small.groupBy("partition_id").applyInPandas(run, shape)
+    return out.unionByName(distributed(df, ids, z, large, kernel, sizes)) if large else out
+
+
+def distributed(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], kernel: SelectionStrategy, sizes: dict[int, int]) -> DataFrame:
+    """What a kernel picks from whole partitions that are too large for one call."""
+    mine = df.select(*ids, *z, "partition_id").where(F.col("partition_id").isin(list(budgets)))
+    # numbered in the order of the ids, so that ties end as in one kernel
+    rows = mine.orderBy(*ids).withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    heads = {p: max(1, round(0.7 * b)) for p, b in budgets.items()} if kernel is mixed_fps else budgets
+    picks = None
+    if kernel is not variance_ordered:
+        found = farthest_rounds(rows, z, heads, kernel is medoid_fps, sizes)
+        flat = pd.DataFrame([(r, i) for own in found.values() for i, r in enumerate(own)], columns=["_row", "selection_rank"])
+        picks = rows.join(df.sparkSession.createDataFrame(flat, "_row long, selection_rank long"), "_row")
+    if kernel in (variance_ordered, mixed_fps):
+        left = {p: (budgets[p] - (heads[p] if picks is not None else 0), heads[p] if picks is not None else 0) for p in budgets}
+        quota = df.sparkSession.createDataFrame([(p, n, at) for p, (n, at) in left.items()], "partition_id int, _n long, _at long")
+        scored = rows.join(neighbour_variance(rows, z, sizes), ["partition_id", "_row"])
+        if picks is not None:
+            scored = scored.join(picks.select("_row"), "_row", "left_anti")
+        place = F.row_number().over(W.partitionBy("partition_id").orderBy(F.desc("_score"), "_row")) - 1
+        rest = scored.withColumn("_place", place).join(F.broadcast(quota), "partition_id").where("_place < _n").withColumn("selection_rank", (F.col("_at") + F.col("_place")).cast("long"))
+        picks = rest if picks is None else picks.select(*ids, "partition_id", "selection_rank").unionByName(rest.select(*ids, "partition_id", "selection_rank"))
+    return picks.select(*ids, "partition_id", "selection_rank")
+
+
+def _center(rows: DataFrame, z: list[str]) -> dict[int, np.ndarray]:
+    means = rows.groupBy("partition_id").agg(*[F.avg(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(z)]).collect()
+    return {r.partition_id: np.array(r[1:], float) for r in means}
+
+
+def _nearest_center(rows: DataFrame, z: list[str], most: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each partition the numbers and z of the rows nearest to its mean, so many, the nearest first."""
+    center = _center(rows, z)
+
+    def top(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, number, x, _ in _by_partition(frames, z):
+            at = np.argsort(((x - center[p]) ** 2).sum(1), kind="stable")[: most[p]]
+            yield _candidates(p, number[at], x[at], ((x[at] - center[p]) ** 2).sum(1))
+
+    out = {}
+    got = rows.select("partition_id", "_row", F.lit(0.0).alias("_least"), *z).mapInArrow(top, _SHAPE).toPandas()
+    for p, own in got.groupby("partition_id"):
+        own = own.sort_values(["_least", "_row"]).head(most[p])
+        out[p] = own["_row"].to_numpy(), np.frombuffer(b"".join(own["_z"])).reshape(len(own), -1)
+    return out
+
+
+_SHAPE = "partition_id int, _row long, _least double, _z binary"
+
+
+def _candidates(p: int, number: np.ndarray, x: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    n = len(number)
+    return pa.RecordBatch.from_arrays([pa.array([p] * n, pa.int32()), pa.array(number, pa.int64()), pa.array(least, pa.float64()), pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())], names=["partition_id", "_row", "_least", "_z"])
+
+
+def _by_partition(frames: Iterator[pa.RecordBatch], z: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a task's rows (partition_id, _row, _least, z): each partition's, in the order of their numbers."""
+    for frame in frames:
+        p = frame.column(0).to_numpy()
+        number, least = frame.column(1).to_numpy(), frame.column(2).to_numpy()
+        x = np.stack([np.asarray(frame.column(3 + i).to_numpy(zero_copy_only=False), float) for i in range(len(z))], 1)
+        for own in np.unique(p):
+            at = np.flatnonzero(p == own)
+            at = at[np.argsort(number[at], kind="stable")]
+            yield int(own), number[at], x[at], least[at]
+
+
+def farthest_rounds(rows: DataFrame, z: list[str], budgets: dict[int, int], medoid: bool, sizes: dict[int, int]) -> dict[int, list[int]]:
+    """Row numbers that farthest() picks from each whole partition, in order.
+
+    A round adds the new picks to every row's least distance, and each batch sends its farthest rows. Distances only shrink, so the
+    driver goes on among the sent rows as long as its pick is ahead of the last row that any batch with more rows has sent.
+    """
+    pool = {p: min(max(30, int(sizes[p] ** 0.5)), sizes[p]) if medoid else 1 for p in budgets}
+    picked: dict[int, list[int]] = {}
+    new: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for p, (number, x) in _nearest_center(rows, z, pool).items():
+        order = np.argsort(number)
+        first = int(order[squared_distances(x[order], x[order]).sum(1).argmin()]) if medoid else 0
+        picked[p], new[p] = [int(number[first])], (x[[first]], number[[first]])
+    state = rows.select("partition_id", "_row", F.lit(float("inf")).alias("_least"), *z)
+    shape = state.schema
+    batches = max(1, rows.rdd.getNumPartitions())
+    most = max(16, CANDIDATES // (batches * len(budgets)))
+    while any(len(picked[p]) < b for p, b in budgets.items()):
+        shared = rows.sparkSession.sparkContext.broadcast(new)
+
+        def update(frames: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for p, number, x, least in _by_partition(frames, z):
+                least = least.copy()
+                c, chosen = shared.value.get(p, (np.zeros((0, x.shape[1])), np.zeros(0, np.int64)))
+                for one in c:
+                    np.minimum(least, ((x - one) ** 2).sum(1), out=least)
+                least[np.isin(number, chosen)] = -1
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(number), pa.int32()), pa.array(number), pa.array(least), *[pa.array(x[:, i]) for i in range(x.shape[1])]], names=["partition_id", "_row", "_least", *z])
+
+        def top(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p, number, x, least in _by_partition(frames, z):
+                at = np.lexsort((number, -least))
+                # one row more than most tells that others stay behind; its distance bounds theirs
+                yield _candidates(p, number[at[: most + 1]], x[at[: most + 1]], least[at[: most + 1]])
+                if len(at) > most:
+                    last = at[most : most + 1]
+                    yield _candidates(p, number[last], x[last][:, :0], least[last])
+
+        before, state = state, state.mapInArrow(update, ", ".join(f"`{f.name}` {'double' if f.name in z else f.dataType.simpleString()}" for f in shape)).persist(StorageLevel.DISK_ONLY)
+        got = state.mapInArrow(top, _SHAPE).toPandas()
+        before.unpersist()
+        new = {}
+        for p, own in got.groupby("partition_id"):
+            if len(picked[p]) >= budgets[p]:
+                continue
+            bound = own["_z"].map(len) == 0
+            ahead = max(((d, -n) for d, n in zip(own["_least"][bound], own["_row"][bound], strict=True)), default=(-2.0, 0))
+            own = own[~bound].sort_values("_row")
+            number, least, x = own["_row"].to_numpy(), own["_least"].to_numpy().copy(), np.frombuffer(b"".join(own["_z"])).reshape(len(own), -1)
+            at: list[int] = []
+            while len(picked[p]) < budgets[p]:
+                best = int(least.argmax())
+                if least[best] < 0 or (least[best], -number[best]) < ahead:
+                    break
+                at.append(best)
+                picked[p].append(int(number[best]))
+                np.minimum(least, ((x - x[best]) ** 2).sum(1), out=least)
+                least[best] = -1
+            new[p] = x[at], number[at]
+    state.unpersist()
+    return picked
+
+
+def neighbour_variance(rows: DataFrame, z: list[str], sizes: dict[int, int]) -> DataFrame:
+    """partition_id, _row and _score of variance_ordered() over whole partitions: all pairs of parts, then each row's nearest of all."""
+    parts = rows.sparkSession.createDataFrame([(p, -(-n // GROUP_ROWS)) for p, n in sizes.items()], "partition_id int, _parts int")
+    dealt = rows.join(F.broadcast(parts), "partition_id").select("partition_id", "_row", *z, F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int").alias("_part"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = np.stack([np.asarray(table.column(c).to_numpy(), float) for c in z], 1)
+        return pa.table({"partition_id": table.column("partition_id")[:1], "_part": table.column("_part")[:1], "_rows": pa.array([np.ascontiguousarray(table.column("_row").to_numpy()).tobytes()], pa.binary()), "_x": pa.array([x.tobytes()], pa.binary())})
+
+    blocks = dealt.groupBy("partition_id", "_part").applyInArrow(pack, "partition_id int, _part int, _rows binary, _x binary").persist(StorageLevel.DISK_ONLY)
+    other = blocks.select("partition_id", F.col("_rows").alias("_rows2"), F.col("_x").alias("_x2"))
+
+    def near(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for p, _, a, x, b, y in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                x, y = np.frombuffer(x).reshape(len(a), -1), np.frombuffer(y).reshape(len(b), -1)
+                k = min(NEIGHBOURS, len(b))
+                step = max(1, (1 << 22) // len(b))
+                for i in range(0, len(a), step):
+                    d = squared_distances(x[i : i + step], y)
+                    d[a[i : i + step, None] == b[None]] = 0
+                    d = np.partition(d, k - 1, axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(d), pa.int32()), pa.array(a[i : i + step]), pa.array(d.tolist(), pa.list_(pa.float64()))], names=["partition_id", "_row", "_d"])
+
+    pairs = blocks.join(other, "partition_id").select("partition_id", "_part", "_rows", "_x", "_rows2", "_x2").repartition(max(8, len(sizes)))
+    found = pairs.mapInArrow(near, "partition_id int, _row long, _d array<double>")
+    every = F.slice(F.array_sort(F.flatten(F.collect_list("_d"))), 1, NEIGHBOURS)
+    root = found.groupBy("partition_id", "_row").agg(F.transform(every, F.sqrt).alias("_d"))
+    mean = F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / F.size("_d")
+    spread = root.withColumn("_mean", mean).withColumn("_score", F.round(F.aggregate("_d", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.size("_d"), 12))
+    return spread.select("partition_id", "_row", "_score")
+
+
+#: Kernels that distributed() follows.
+DISTRIBUTED = (centroid_fps, medoid_fps, variance_ordered, mixed_fps)
 KERNELS: dict[str, SelectionStrategy] = {"fps": centroid_fps, "centroid_fps": centroid_fps, "medoid_fps": medoid_fps, "variance_ordered": variance_ordered, "variance": variance_ordered, "mixed_fps": mixed_fps}
 
 
