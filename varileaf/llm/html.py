@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,13 @@ CLOSES = {"li": frozenset(("li",)), "p": frozenset(("p",)), "dt": frozenset(("dt
 NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo search alert".split()
 )
+#: First parts of names that tell a state of an element, not what it is.
+STATES = frozenset("has is no not with without show hide hidden enable enabled disable disabled use uses layout".split())
 
 #: First pass: characters of a short and a long block, share of stop words that a text and a sure text have, share of linked characters.
 SHORT, LONG, LOW_STOP, HIGH_STOP, LINKED = 70, 200, 0.08, 0.15, 0.33
+#: A named element that holds more than this share of the page's unlinked text isn't boilerplate for its name.
+MOST = 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>?|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -51,13 +56,16 @@ class Block:
     main: bool
     boiler: bool
     heading: bool
+    named: tuple[int, ...] = ()
     label: str = ""
 
 
 def _named(attributes: str) -> bool:
+    """Whether a whole class, id or role, or its final part, names what isn't the article; "has-comments", "no-sidebar" and the like say something else."""
     for m in _NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
-            if any(x.lower() in NAMES for x in (name, *_PART.findall(name))):
+            parts = [x.lower() for x in _PART.findall(name)]
+            if name.lower() in NAMES or parts and parts[-1] in NAMES and parts[0] not in STATES:
                 return True
     return False
 
@@ -65,7 +73,8 @@ def _named(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. An element that is never closed ends with its parent."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, boiler, main, link
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]  # name, boiler, main, link, named elements around
+    elements = 0
     heading = False
     parts: list[tuple[str, bool]] = []
 
@@ -74,7 +83,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 linked = len(" ".join("".join(p for p, link in parts if link).split()))
-                out.append(Block(text, linked, stack[-1][2], stack[-1][1], heading))
+                out.append(Block(text, linked, stack[-1][2], stack[-1][1], heading, stack[-1][4]))
             parts.clear()
 
     at, n = 0, len(page)
@@ -110,10 +119,13 @@ def blocks(page: str) -> list[Block]:
                             break
             if name in VOID or attributes.rstrip().endswith("/"):
                 continue
-            _, boiler, main, link = stack[-1]
+            _, boiler, main, link, named = stack[-1]
             main = main or name in MAIN
-            boiler = boiler or name in BOILER or name == "header" and not main or name not in ("html", "body") and (_named(attributes) or bool(_HIDDEN.search(attributes)))
-            stack.append((name, boiler, main, link or name == "a"))
+            boiler = boiler or name in BOILER or name == "header" and not main or name not in ("html", "body") and bool(_HIDDEN.search(attributes))
+            if name not in ("html", "body", *MAIN) and _named(attributes):
+                elements += 1
+                named = (*named, elements)
+            stack.append((name, boiler, main, link or name == "a", named))
             heading = name[0] == "h" and name[1:].isdigit() or heading and name not in BLOCK
         elif name := m["end"]:
             name = name.lower()
@@ -137,12 +149,20 @@ def classify(found: list[Block]) -> list[Block]:
 
     An undecided block takes the label of its nearest decided neighbours: between two of one kind theirs; between two kinds
     a near one is good, and a short one good only where the nearer side is. Blocks of an article element start as good when not
-    linked, blocks of navigation, adverts and the like are bad.
+    linked, blocks of navigation, adverts and the like are bad. A name makes the blocks of its element bad, unless they hold most of the
+    page's unlinked text (of its article elements, where it has them).
     """
+    body = [b for b in found if not b.boiler and b.linked <= LINKED * len(b.text)]
+    body = [b for b in body if b.main] or body
+    held: Counter[int] = Counter()
+    for b in body:
+        for element in b.named:
+            held[element] += len(b.text)
+    most = MOST * sum(len(b.text) for b in body)
     for b in found:
         words = _LETTERS.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.boiler or b.linked > LINKED * len(b.text):
+        if b.boiler or b.linked > LINKED * len(b.text) or any(held[x] <= most for x in b.named):
             b.label = "bad"
         elif b.main:
             b.label = "good"
