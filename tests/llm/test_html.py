@@ -19,3 +19,23 @@ def test_named_parts_go():
     for name in ("ad", "sidebar", "post-comments", "pageFooter", "social share"):
         text = html.main_text(f'<body><p>{LONG}</p><div class="{name}"><p>{LONG[:127]}</p></div><p>{LONG}</p></body>')
         assert text.count("story of the town") == 6
+
+
+@pytest.mark.parametrize(
+    "sentence",
+    [
+        "Старый город стоял у реки, и люди жили там много лет, рассказывая друг другу истории о войне и мире. ",
+        "Stare miasto stało nad rzeką, a ludzie mieszkali tam przez wiele lat, opowiadając sobie historie. ",
+        "Eski şehir nehrin kıyısında duruyordu ve insanlar orada uzun yıllar birbirlerine hikâyeler anlatarak yaşadı. ",
+        "古老的城市坐落在河边，人们在那里生活了许多年，互相讲述关于战争与和平的故事，孩子们在街上玩耍，老人们坐在门前看着过往的行人。",
+    ],
+)
+def test_other_languages(sentence):
+    menu = "<div>" + "".join(f"<a href='/{i}'>{sentence[:12]}</a> " for i in range(9)) + "</div>"
+    text = html.main_text(f"<body>{menu}<div><p>{sentence * 5}</p><p>{sentence}</p><p>{sentence * 4}</p></div>{menu}</body>")
+    assert text.count(sentence.strip()) == 10 and len(text.split("\n")) == 3
+
+
+def test_low_density_goes_where_the_language_is_known():
+    words = "Alpha Beta Gamma Delta Epsilon Zeta Theta Kappa Lambda Sigma Omega Phi Chi Psi Rho Tau " * 2
+    assert "Gamma" not in html.main_text(f"<body><p>{LONG}</p><p>{LONG}</p><div>{words}</div></body>")

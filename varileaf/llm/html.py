@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame
 from varileaf.llm.common import batches, map_arrow
 
 # Frequent words of four languages.
-STOP_WORDS = frozenset(
-    """
+STOP_LISTS = [
+    frozenset(line.split())
+    for line in """
     a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was were what which who will with you
     au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous
     als am an auch auf aus bei das dass dem den der des die doch du durch ein eine einen einer er es für hat ich im in ist mit nach nicht noch oder sich sie sind so über um und uns von war was wenn werden wie wir zu zum zur
     al como con de del el ella en entre era es esta este fue ha hay la las le lo los más me muy no nos o para pero por que se sin sobre su sus también un una y ya
-    """.split()
-)
+    """.strip().splitlines()
+]
+STOP_WORDS = frozenset().union(*STOP_LISTS)
 # Elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math select".split())
@@ -144,8 +146,14 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def listed(words: list[str]) -> bool:
+    """Whether the page's unlinked blocks are in a language whose frequent words are known."""
+    return max(sum(w in own for w in words) for own in STOP_LISTS) >= HIGH_STOP * len(words)
+
+
 def classify(found: list[Block]) -> list[Block]:
-    """First pass: bad, good, near or short by length, link density and stop-word density. Second: near and short ones inherit.
+    """First pass: bad, good, near or short by length, link density and stop-word density; on a page in a language without a list
+    long unlinked blocks are good and others near. Second: near and short ones inherit.
 
     An undecided block takes the label of its nearest decided neighbours: between two of one kind theirs; between two kinds
     a near one is good, and a short one good only where the nearer side is. Blocks of an article element start as good when not
@@ -159,9 +167,10 @@ def classify(found: list[Block]) -> list[Block]:
         for element in b.named:
             held[element] += len(b.text)
     most = MOST * sum(len(b.text) for b in body)
-    for b in found:
-        words = _LETTERS.findall(b.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    words = {i: _LETTERS.findall(b.text.lower()) for i, b in enumerate(found) if not (b.boiler or b.main or b.linked > LINKED * len(b.text)) and len(b.text) >= SHORT}
+    known = listed([w for own in words.values() for w in own])
+    for i, b in enumerate(found):
+        density = sum(w in STOP_WORDS for w in words[i]) / max(1, len(words[i])) if i in words else 0.0
         if b.boiler or b.linked > LINKED * len(b.text) or any(held[x] <= most for x in b.named):
             b.label = "bad"
         elif b.main:
@@ -172,6 +181,8 @@ def classify(found: list[Block]) -> list[Block]:
             b.label = "good" if len(b.text) > LONG else "near"
         elif density >= LOW_STOP:
             b.label = "near"
+        elif not known:
+            b.label = "good" if len(b.text) > LONG else "near"
         else:
             b.label = "bad"
     decided = [i for i, b in enumerate(found) if b.label in ("good", "bad")]
