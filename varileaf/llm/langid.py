@@ -11,15 +11,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varileaf.llm.common import batches, map_arrow
+from varileaf.llm.rolling import Prefix
 
 #: The model is fitted on about so many labelled documents of each language, chosen by a hash of doc_id (fewer where there are fewer).
 FIT_DOCS = 3000
-#: It keeps so many words and, for each length, n-grams of a language; and so many languages at most, the most frequent.
-WORDS, GRAMS, LANGUAGES = 20_000, 5_000, 64
 #: Lengths of n-grams, in the order in which they are tried.
 LENGTHS = (5, 4, 3, 2, 1)
 #: An unseen word counts less than a known one, by the length that knew it.
@@ -27,27 +25,82 @@ TRUST = {5: 0.9, 4: 0.8, 3: 0.6, 2: 0.4, 1: 0.2}
 #: Add-so-much smoothing.
 ALPHA = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Scores of distinct words that a Python worker keeps.
-KEPT = 400_000
+#: Numbers in the scores of distinct words that a Python worker keeps.
+KEPT = 1_600_000
+
+
+def hashed(keys: list[str]) -> np.ndarray:
+    """64-bit hashes of strings, the same everywhere."""
+    raw = [k.encode("utf-8", "surrogatepass") for k in keys]
+    stops = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return Prefix(data).of(np.concatenate(([0], stops[:-1])).astype(np.int64), stops)
+
+
+@dataclass
+class Scores:
+    """Sorted hashes, and for each the languages that counted it: log frequencies above the one of an uncounted key."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, lang: np.ndarray, k: np.ndarray, languages: int) -> Scores:
+        order = np.lexsort((lang, keys))
+        keys, lang, k = keys[order], lang[order], k[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        totals = np.bincount(lang, k, languages) + ALPHA * len(starts)
+        return cls(keys[starts], np.append(starts, len(keys)), lang, np.log((k + ALPHA) / ALPHA), np.log(ALPHA / np.maximum(totals, ALPHA)))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+    def values(self, at: np.ndarray) -> np.ndarray:
+        """Log frequencies in each language, less their mean, of found places."""
+        n = self.starts[at + 1] - self.starts[at]
+        each = np.repeat(np.arange(len(at)), n)
+        entry = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(len(each))
+        out = np.tile(self.base, (len(at), 1))
+        out[each, self.lang[entry]] += self.above[entry]
+        return out - out.mean(1, keepdims=True)
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
-
-    def word(self, word: str) -> tuple[float, ...] | None:
-        """Log-frequency of a lower-case word in each language, less their mean; None if not even its letters are known."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        padded = f"^{word}$"
+    words: Scores
+    grams: dict[int, Scores] = field(default_factory=dict)
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-frequencies of lower-case words in each language, less their mean, and which words are known by themselves or their letters."""
+        out, known = np.zeros((len(words), len(self.languages))), np.zeros(len(words), bool)
+        at = self.words.find(hashed(words))
+        known = at >= 0
+        out[known] = self.words.values(at[known])
         for n in LENGTHS:
-            table = self.grams.get(n, {})
-            found = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i : i + n])) is not None]
-            if found:
-                return tuple(TRUST[n] * sum(x) / len(found) for x in zip(*found, strict=True))
-        return None
+            left = np.flatnonzero(~known)
+            if not len(left):
+                break
+            padded = [f"^{words[i]}$" for i in left]
+            parts = [p[i : i + n] for p in padded for i in range(len(p) - n + 1)]
+            if not parts:
+                continue
+            at = self.grams[n].find(hashed(parts))
+            owner = np.repeat(np.arange(len(left)), [max(0, len(p) - n + 1) for p in padded])[at >= 0]
+            times = np.bincount(owner, minlength=len(left))
+            total = np.zeros((len(left), len(self.languages)))
+            np.add.at(total, owner, self.grams[n].values(at[at >= 0]))
+            hit = times > 0
+            out[left[hit]] = TRUST[n] * total[hit] / times[hit, None]
+            known[left[hit]] = True
+        return out, known
 
 
 def _grams(words: Counter[str]) -> dict[int, Counter[str]]:
@@ -68,19 +121,22 @@ def held_out(doc_id):
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
     """Counts words and n-grams of a bounded sample of labelled documents that aren't held out."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # a row for each language
     languages = sorted(r.lang for r in sizes)
-    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, fit_docs / r["count"]))) for r in sizes]) if sizes else F.lit(0.0)
+    number = {lang: i for i, lang in enumerate(languages)}
+    shares = docs.sparkSession.createDataFrame([(r.lang, number[r.lang], min(1.0, fit_docs / r["count"])) for r in sizes], "lang string, number int, share double")
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter[str]] = {}
+        words: dict[int, Counter[str]] = {}
 
         def rows() -> pa.RecordBatch:
-            out = [(lang, 0, w, k) for lang, c in words.items() for w, k in c.items()]
-            out += [(lang, n, g, k) for lang, c in words.items() for n, table in _grams(c).items() for g, k in table.items()]
+            parts = []
+            for lang, c in words.items():
+                for n, table in ((0, c), *_grams(c).items()):
+                    parts.append((np.full(len(table), lang, np.int32), np.full(len(table), n, np.int32), hashed(list(table)).view(np.int64), np.fromiter(table.values(), np.int64, len(table))))
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "n", "key", "k"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["lang", "n", "key", "k"])
 
         for frame in batches(frames):
             for text, lang in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
@@ -90,27 +146,15 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
         if any(words.values()):
             yield rows()
 
-    found = map_arrow(labelled.where(draw < share).select("text", "lang"), counts, "lang string, n int, key string, k long").groupBy("lang", "n", "key").agg(F.sum("k").alias("k"))
-    rank = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("k"), "key"))
-    kept = found.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).drop("rank")
-    # LANGUAGES * (WORDS + 5 * GRAMS) rows at most
-    return build(languages, [tuple(r) for r in kept.toLocalIterator()])
-
-
-def build(languages: list[str], rows: list[tuple[str, int, str, int]]) -> LanguageModel:
-    at = {lang: i for i, lang in enumerate(languages)}
-    tables: dict[int, dict[str, list[int]]] = {n: {} for n in (0, *LENGTHS)}
-    for lang, n, key, k in rows:
-        tables[n].setdefault(key, [0] * len(at))[at[lang]] += k
-    scored: dict[int, dict[str, tuple[float, ...]]] = {}
-    for n, table in tables.items():
-        totals = [sum(v[i] for v in table.values()) + ALPHA * len(table) for i in range(len(at))]
-        out = {}
-        for key, v in table.items():
-            logs = [math.log((c + ALPHA) / t) for c, t in zip(v, totals, strict=True)]
-            mean = sum(logs) / len(logs)
-            out[key] = tuple(x - mean for x in logs)
-        scored[n] = out
+    sample = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("text", "number")
+    found = map_arrow(sample, counts, "lang int, n int, key long, k long").groupBy("lang", "n", "key").agg(F.sum("k").alias("k"))
+    return build(languages, found.toArrow())  # what the bounded sample counts
+
+
+def build(languages: list[str], counted: pa.Table) -> LanguageModel:
+    """Of the counts (number of the language, length or 0 for words, hash, times), all of them."""
+    lang, n, key, k = (counted.column(c).to_numpy() for c in ("lang", "n", "key", "k"))
+    scored = {x: Scores.of(key[n == x].view(np.uint64), lang[n == x], k[n == x].astype(float), len(languages)) for x in (0, *LENGTHS)}
     return LanguageModel(languages, scored.pop(0), scored)
 
 
@@ -123,26 +167,28 @@ class Scorer:
         self.counted = np.zeros(1024)
 
     def _learn(self, raw: list[str]) -> None:
-        for token in raw:
-            at = len(self.rows)
-            if at == len(self.values):
-                self.values = np.concatenate((self.values, np.zeros_like(self.values)))
-                self.counted = np.concatenate((self.counted, np.zeros_like(self.counted)))
-            total, n = 0.0, 0
-            for word in _LETTERS.findall(token):
-                if (v := self.model.word(word)) is not None:
-                    total, n = total + np.array(v), n + 1
-            self.values[at], self.counted[at] = total, n
-            self.rows[token] = at
+        found = [_LETTERS.findall(t) for t in raw]
+        first = len(self.rows)
+        while first + len(raw) > len(self.values):
+            self.values = np.concatenate((self.values, np.zeros_like(self.values)))
+            self.counted = np.concatenate((self.counted, np.zeros_like(self.counted)))
+        self.values[first : first + len(raw)] = self.counted[first : first + len(raw)] = 0
+        if flat := [w for own in found for w in own]:
+            scores, known = self.model.score(flat)
+            owner = first + np.repeat(np.arange(len(raw)), [len(own) for own in found])
+            np.add.at(self.values, owner, scores)
+            np.add.at(self.counted, owner, known)
+        self.rows.update(zip(raw, range(first, first + len(raw)), strict=True))
 
     def score(self, text: str | None) -> tuple[str, float]:
         """Language and posterior: a softmax of the summed scores, tempered by the root of the number of words."""
         if not text or not self.model.languages:
             return "und", 0.0
         seen = Counter(text.lower().split())
-        if len(self.rows) > KEPT:
+        if len(self.rows) * len(self.model.languages) > KEPT:
             self.rows = {}
-        self._learn([t for t in seen if t not in self.rows])
+        if new := [t for t in seen if t not in self.rows]:
+            self._learn(new)
         at = np.fromiter(map(self.rows.__getitem__, seen), np.int64, len(seen))
         times = np.fromiter(seen.values(), np.float64, len(seen))
         n = float(times @ self.counted[at])
