@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from varileaf.llm import crossentropy, eliasfano, html, jaccard, langid, mixing, packing, quality, repeats, transport
-from varileaf.llm.common import documents, pages
+from varileaf.llm.common import documents, materialize, pages
 from varileaf.llm.tokens import tokenizer_path
 
 
@@ -17,7 +17,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.read_media(transport.encode_media(documents(spark, sf_dir)))
+    """The media are written and read again; the arrays of the index are stored with them and aren't columns of the result."""
+    stored = materialize(transport.encode_media(documents(spark, sf_dir)), "media")
+    return transport.read_media(stored).drop("pts", "random_access")
 
 
 def op3_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:

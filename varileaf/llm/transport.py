@@ -57,7 +57,13 @@ def payload_of(text: bytes) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """A single-program stream: program tables, then a PES packet with a timestamp for each access unit."""
-    out, counter = [TABLES], 0
+    return indexed(payload)[0]
+
+
+def indexed(payload: bytes) -> tuple[bytes, list[int], list[tuple[int, int, int]]]:
+    """The stream, the timestamps of its access units, and its random-access points: access unit, timestamp, byte offset of its first packet."""
+    out, counter, at_byte = [TABLES], 0, len(TABLES)
+    stamps, points = [], []
     for k, at in enumerate(range(0, len(payload), AU)):
         body = payload[at : at + AU]
         pts = k * CLOCK // RATE
@@ -84,8 +90,12 @@ def mux(payload: bytes) -> bytes:
                 rows[-1, 5] = 0
                 rows[-1, 6 : 4 + stuffed] = 0xFF
             rows[-1, 4 + stuffed :] = data[len(data) - tail :]
+        stamps.append(pts)
+        if k % GROUP == 0:
+            points.append((k, pts, at_byte))
+        at_byte += rows.size
         out.append(rows.tobytes())
-    return b"".join(out)
+    return b"".join(out), stamps, points
 
 
 class Demuxed:
@@ -110,7 +120,7 @@ class Demuxed:
         flagged = (rows[:, 3] >> 5 & 1 > 0) & (rows[:, 4] > 0) & (rows[:, 5] & 0x40 > 0)
         flat = rows[np.arange(PACKET) >= start[:, None]].tobytes()
         ends = np.cumsum(PACKET - start)
-        self.pts, self.random_access, units = [], [], []
+        self.pts, self.random_access, self.points, units = [], [], [], []
         for i, row in enumerate(begins.tolist()):
             a = int(ends[row] - PACKET + start[row])
             b = int(ends[begins[i + 1] - 1]) if i + 1 < len(begins) else len(flat)
@@ -120,6 +130,7 @@ class Demuxed:
             self.pts.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
             if flagged[row]:
                 self.random_access.append(self.pts[-1])
+                self.points.append((i, self.pts[-1], int(mine[row]) * PACKET))
             units.append(flat[a + 9 + flat[a + 8] : b])
         self.units = len(units)
         self.payload = b"".join(units)
@@ -153,32 +164,47 @@ def feature(stream: Demuxed) -> str:
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each whole text as a transport stream. Null is empty; an empty text is 192 spaces.
+    """doc_id, n_bytes, media, pts and random_access: each whole text as a transport stream, with its timestamps and random-access points.
 
+    Null is empty; an empty text is 192 spaces.
     Repeated rows stay, a null doc_id too; an empty table gives none; other columns are left out.
     """
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
             texts = text_bytes(frame.column(1))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(map(len, texts), pa.int64()), pa.array([mux(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            media, stamps, points = zip(*(indexed(payload_of(t)) for t in texts), strict=True)
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary()), pa.array(stamps, pa.list_(pa.int64())), _points(points)], names=["doc_id", "n_bytes", "media", "pts", "random_access"])
+
+    return map_arrow(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), rows, f"doc_id long, n_bytes long, media binary, {_INDEX}")
+
+
+_INDEX = "pts array<long>, random_access array<struct<access_unit: long, pts: long, byte_offset: long>>"
+_POINT = ("access_unit", "pts", "byte_offset")
+
 
-    return map_arrow(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), rows, "doc_id long, n_bytes long, media binary")
+def _points(points) -> pa.Array:
+    return pa.array([[dict(zip(_POINT, x, strict=True)) for x in own] for own in points], pa.list_(pa.struct([(c, pa.int64()) for c in _POINT])))
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Demultiplexes every stream: payload and stream figures, timestamps and random-access points."""
+    """Demultiplexes every stored stream: payload and stream figures, timestamps and random-access points, which must be the stored ones."""
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, "media"):
-            out = []
-            for doc_id, n, raw in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+            out, stamps, points = [], [], []
+            for doc_id, n, raw, pts, access in zip(*(c.to_pylist() for c in frame.columns), strict=True):
                 s = Demuxed(raw)
+                if s.pts != pts or s.points != [tuple(x[c] for c in _POINT) for x in access]:
+                    raise ValueError("the stored timestamps or random-access points aren't those of the stream")
+                stamps.append(s.pts)
+                points.append(s.points)
                 out.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s), s.units, len(s.random_access), s.pts[-1]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
+            own = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(stamps, pa.list_(pa.int64())), _points(points)], names=[*_NAMES, "pts", "random_access"])
 
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access_units long, random_access_points long, last_pts long")
+    return map_arrow(media.select("doc_id", "n_bytes", "media", "pts", "random_access"), rows, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access_units long, random_access_points long, last_pts long, {_INDEX}")
 
 
 _NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_units", "random_access_points", "last_pts"]
