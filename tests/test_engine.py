@@ -184,3 +184,34 @@ def test_quantile_functions(spark):
 def test_orthants_are_linearly_spaced(spark):
     df = spark.createDataFrame([(i, float(i % 7) - 3, float(i)) for i in range(70)], "id long, z double, y double")
     assert select.orthants(df, ["id"], ["z"], "y", 20).count() == 20
+
+
+def test_novelty_is_refused_where_it_has_no_effect(spark):
+    from varileaf.operators import generate
+
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), i % 2) for i in range(60)], "id long, z_a double, z_b double, partition_id int")
+    with pytest.raises(ValueError):
+        generate.generate(df, ["id"], ["z_a", "z_b"], {0: 5, 1: 5}, "epanechnikov", novelty=0.5)
+    made = generate.generate(df, ["id"], ["z_a", "z_b"], {0: 5, 1: 5}, "independent_kde", novelty=0.5)
+    assert made.count() == 10
+
+
+def test_hashed_numbers_fill_the_unit_interval(spark):
+    from pyspark.sql import functions as F
+
+    from varileaf.functions import draws
+
+    row = spark.range(4000).select(draws.uniform(1, F.col("id")).alias("u"), draws.normal(1, F.col("id")).alias("n"), draws.epanechnikov(1, F.col("id")).alias("e")).agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("n"), F.stddev("n"), F.min("e"), F.max("e"), F.var_pop("e")).first()
+    assert 0 <= row[0] < 0.01 and 0.99 < row[1] < 1 and abs(row[2] - 0.5) < 0.02
+    assert abs(row[3]) < 0.06 and abs(row[4] - 1) < 0.05 and row[5] > -1 and row[6] < 1 and abs(row[7] - 0.2) < 0.02
+
+
+def test_statistics_of_one_partition_and_ties(spark):
+    from varileaf.operators import metrics
+
+    df = spark.createDataFrame([(0, "a", 1.0), (0, "b", 0.5), (1, "a", 0.25)], "partition_id int, label string, p double")
+    assert [(r.partition_id, r.label, r.place) for r in metrics.composition(df, "label").orderBy("partition_id", "place").collect()] == [(0, "a", 1), (0, "b", 2), (1, "a", 1)]
+    assert metrics.weighted_purity(df, "label").first().purity == pytest.approx(2 / 3)
+    assert {(r.label, r.wins) for r in metrics.wins(df, "p", "higher", "partition_id", "label").collect()} == {("a", 2), ("b", 0)}
+    assert {(r.place, r.heat) for r in metrics.ranks(df, "p", "half", "partition_id", "label").collect()} == {(1, 1.0), (2, 0.0)}
+    assert metrics.at_risk(df, 2).first()[:] == (1.0, 0.5)

@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 GOLDEN = 0.6180339887498949
 
 
+def uniforms(seed: int, *keys: Column | int) -> list[Column]:
+    """Three numbers in [0, 1) from the keys, 40 bits each: parts of one md5 digest, which any SQL engine can compute."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.lit(str(k)) if isinstance(k, int) else k.cast("string") for k in keys]))
+    return [F.conv(F.substring(h, 1 + 10 * part, 10), 16, 10).cast("double") * F.lit(2.0**-40) for part in range(3)]
+
+
 def uniform(seed: int, *keys: Column | int) -> Column:
     """A number in [0, 1) from the keys."""
-    h = F.xxhash64(F.lit(seed), *[F.lit(k) if isinstance(k, int) else k for k in keys])
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0**-53)
+    return uniforms(seed, *keys)[0]
 
 
 def normal(seed: int, *keys: Column | int) -> Column:
     """A standard normal number by Box and Muller's formula."""
-    radius = F.sqrt(-2 * F.log(1 - uniform(seed, *keys, 1)))
-    return radius * F.cos(2 * math.pi * uniform(seed, *keys, 2))
+    a, b, _ = uniforms(seed, *keys)
+    return F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * math.pi * b)
 
 
 def epanechnikov(seed: int, *keys: Column | int) -> Column:
     """Epanechnikov noise from three uniforms: the second, where the third is the largest in size, else the third."""
-    a, b, c = (2 * uniform(seed, *keys, k) - 1 for k in (1, 2, 3))
+    a, b, c = (2 * u - 1 for u in uniforms(seed, *keys))
     return F.when((F.abs(c) >= F.abs(b)) & (F.abs(c) >= F.abs(a)), b).otherwise(c)
 
 

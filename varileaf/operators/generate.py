@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from varileaf.functions import draws
 from varileaf.functions import geometry as g
 from varileaf.operators.budgets import largest_remainder
-from varileaf.operators.select import GROUP_ROWS, ranked
 from varileaf.operators.scaling import MAD_FACTOR
+from varileaf.operators.select import GROUP_ROWS, ranked
 
 #: Slots that one row of the slot table unfolds to.
 CHUNK = 100_000
@@ -303,9 +303,12 @@ def pushed(z: np.ndarray, made: np.ndarray, least: float = 0.3) -> np.ndarray:
 
     if len(z) < 2:
         return made
-    own = squared_distances(z, z) if len(z) <= 4096 else squared_distances(z[:4096], z)
-    own[np.arange(len(own)), np.arange(len(own))] = np.inf
-    limit = least * float(np.sqrt(own.min(1)).mean())
+    step, nearest = max(1, (1 << 22) // len(z)), np.empty(len(z))
+    for a in range(0, len(z), step):
+        own = squared_distances(z[a : a + step], z)
+        own[np.arange(len(own)), np.arange(a, a + len(own))] = np.inf
+        nearest[a : a + step] = np.sqrt(own.min(1))
+    limit = least * float(nearest.mean())
     dist = squared_distances(made, z)
     at = dist.argmin(1)
     near = np.sqrt(dist[np.arange(len(made)), at])
@@ -358,6 +361,8 @@ def generate(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int
     if isinstance(strategy, str):
         name = ALIASES.get(strategy, strategy)
         if name in EXPRESSIONS:
+            if novelty:
+                raise ValueError("novelty needs a strategy that works on whole partitions: a callable or one of " + str(sorted(KERNELS)))
             return by_expression(df, ids, z, budgets, name, bandwidth, seed)
         if name not in KERNELS:
             raise ValueError(f"unknown generation strategy {strategy!r}, expected one of {sorted([*EXPRESSIONS, *KERNELS])}")

@@ -208,6 +208,67 @@ def moments(df: DataFrame, columns: list[str], by: str = "partition_id") -> Data
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (sum((flat(c, F.skewness) for c in columns), F.lit(0.0)) / n).alias("skewness"), (sum((flat(c, F.kurtosis) for c in columns), F.lit(0.0)) / n).alias("kurtosis")).where("n >= 4")
 
 
+def composition(df: DataFrame, label: str, by: str = "partition_id") -> DataFrame:
+    """partition, label, share and place: each partition's labels, the most frequent first."""
+    counts = df.groupBy(by, label).agg(F.count(F.lit(1)).alias("k"))
+    whole = W.partitionBy(by)
+    return counts.select(by, label, (F.col("k") / F.sum("k").over(whole)).alias("share"), F.row_number().over(whole.orderBy(F.desc("k"), label)).alias("place"))
+
+
+def weighted_purity(df: DataFrame, label: str, by: str = "partition_id") -> DataFrame:
+    """One row: the mean purity of partitions, weighted by their sizes."""
+    return purity(df, label, by).agg((F.sum(F.col("purity") * F.col("n")) / F.sum("n")).alias("purity"))
+
+
+def signal_to_noise(df: DataFrame, y: str, fitted: str) -> DataFrame:
+    """One row: the variance of what a model fits over that of what it leaves."""
+    return df.agg((F.var_pop(fitted) / F.var_pop(F.col(y) - F.col(fitted))).alias("snr"))
+
+
+def log_ratio_bias(df: DataFrame, label: str, expected: str, by: str = "partition_id") -> DataFrame:
+    """partition, label and bias: the log share of a label in a partition over the log of its mean expected probability there."""
+    share = F.col("k") / F.sum("k").over(W.partitionBy(by))
+    return df.groupBy(by, label).agg(F.count(F.lit(1)).alias("k"), F.avg(expected).alias("p")).select(by, label, (F.log(share) - F.log("p")).alias("bias"))
+
+
+def restricted_bias(df: DataFrame, label: str, top: int, by: str = "partition_id") -> DataFrame:
+    """partition, label and log_share over the `top` most frequent labels alone, ties by label; a label that a partition lacks has no row."""
+    often = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(top)
+    counts = df.join(F.broadcast(often.select(label)), label).groupBy(by, label).agg(F.count(F.lit(1)).alias("k"))  # `top` rows
+    return counts.select(by, label, F.log(F.col("k") / F.sum("k").over(W.partitionBy(by))).alias("log_share"))
+
+
+def density(df: DataFrame, low: float, by: str = "partition_id") -> DataFrame:
+    """partition, density (its share of all rows) and confidence: LOW below `low`, else OK."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("k"))
+    share = F.col("k") / F.sum("k").over(W.partitionBy())  # a row for each partition of a tree
+    return counts.select(by, share.alias("density"), F.when(share < low, "LOW").otherwise("OK").alias("confidence"))
+
+
+def at_risk(df: DataFrame, d: int, by: str = "partition_id") -> DataFrame:
+    """One row: the share of partitions with fewer rows than d + 1, and the share with fewer than two, which have no density estimate."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("k"))
+    return counts.agg(F.avg((F.col("k") < d + 1).cast("double")).alias("at_risk"), F.avg((F.col("k") < 2).cast("double")).alias("failed"))
+
+
+#: How good a value of a metric is: the higher the better, the lower, or the nearer to a target.
+DIRECTIONS = {"higher": lambda v: v, "lower": lambda v: -v, "one": lambda v: -F.abs(v - 1), "half": lambda v: -F.abs(v - 0.5)}
+
+
+def ranks(results: DataFrame, value: str, direction: str, by: str, name: str) -> DataFrame:
+    """Adds place (1 is best, ties by name) and heat (0 to 1, 1 is best; 1 where all are equal) of each row among those of its condition."""
+    scored = results.withColumn("_score", DIRECTIONS[direction](F.col(value)))
+    own = W.partitionBy(by)
+    low, high = F.min("_score").over(own), F.max("_score").over(own)
+    heat = F.when(high > low, (F.col("_score") - low) / (high - low)).otherwise(1.0)
+    return scored.withColumn("place", F.row_number().over(own.orderBy(F.desc("_score"), name))).withColumn("heat", heat).drop("_score")
+
+
+def wins(results: DataFrame, value: str, direction: str, by: str, name: str) -> DataFrame:
+    """name and wins: in how many conditions it is best."""
+    return ranks(results, value, direction, by, name).groupBy(name).agg(F.sum((F.col("place") == 1).cast("long")).alias("wins"))
+
+
 def evaluate_reduction(real: DataFrame, reduced: DataFrame, columns: list[str]) -> dict[str, float]:
     return {"marginal_fidelity": marginal_fidelity(real, reduced, columns), "correlation_fidelity": correlation_fidelity(real, reduced, columns), "tail_preservation": tail_preservation(real, reduced, columns)}
 

@@ -277,6 +277,21 @@ def geometry_by_partition(frame: DataFrame, z: list[str]) -> DataFrame:
     )
 
 
+def sign_by_partition(frame: DataFrame, z: list[str]) -> DataFrame:
+    """Of each partition: size, means and deviations of S, Q, T and A, the mean minority sign, and the share of rows in the cone.
+
+    A deviation is null in a partition of one row.
+    """
+    c = [F.col(x) for x in z]
+    named = {"S": g.signed_sum(c), "Q": g.square_sum(c), "T": g.cooperation(c), "A": g.sign_deficit(c)}
+    rows = frame.select("partition_id", *[v.alias(f"_{k}") for k, v in named.items()], g.minority_sign(c).alias("_M"))
+    n = F.count(F.lit(1))
+    aggs = [n.alias("n")]
+    for k in named:
+        aggs += [F.avg(f"_{k}").alias(f"{k}_mean"), F.when(n > 1, F.stddev_pop(f"_{k}")).alias(f"{k}_std")]
+    return rows.groupBy(F.col("partition_id").alias("id")).agg(*aggs, F.avg("_M").alias("minority_sign_mean"), F.avg((F.col("_T") > 0).cast("double")).alias("cone_fraction"))
+
+
 def sign_summary(frame: DataFrame, z: list[str]) -> DataFrame:
     """One row about S, Q, T, A and the minority sign: moments, ranges, correlations, and how A and T scale when z doubles."""
     c = [F.col(x) for x in z]
