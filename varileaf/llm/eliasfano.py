@@ -77,15 +77,6 @@ class Boundaries:
             byte += len(window) >> 3
             window = np.unpackbits(self.high[byte : byte + 1 + SAMPLE // 8], bitorder="little")
 
-    def all(self) -> np.ndarray:
-        """select(0), ..., select(n)."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        values = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.bits)
-        if self.bits:
-            cells = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits)
-            values |= (cells.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return np.concatenate(([0], values.astype(np.int64)))
-
 
 def write_file(documents: list[np.ndarray], vocabulary: int) -> bytes:
     """One token file; ids take two bytes where the vocabulary allows it."""
@@ -107,8 +98,10 @@ class TokenFile:
         self.n, self.boundaries = n, Boundaries(n, total, raw[a:b], raw[b:c], np.frombuffer(raw, "<u8", samples // 8, c))
         self.ids = np.frombuffer(raw, f"<u{width}", total, c + samples)
 
-    def document(self, i: int) -> np.ndarray:
-        return self.ids[self.boundaries.select(i) : self.boundaries.select(i + 1)]
+    def document(self, i: int) -> tuple[int, np.ndarray]:
+        """Where document i starts among the file's ids, and its ids."""
+        start = self.boundaries.select(i)
+        return start, self.ids[start : self.boundaries.select(i + 1)]
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
@@ -135,9 +128,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
 
         for frame in batches(frames):
             names += frame.column(0).to_pylist()
-            for ids in enc.encode([t or "" for t in frame.column(1).to_pylist()]):
-                kept.append(np.append(ids, np.uint32(end_id)))
-                held += len(ids) + 1
+            ids, stops = enc.encode(frame.column(1), end_id)
+            kept += np.split(ids, stops[:-1])
+            held += len(ids)
             if held >= FILE_IDS:
                 yield close()
                 seq, start, held, names, kept = seq + 1, start + held, 0, [], []
@@ -148,7 +141,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone; each document is found by select.
+
+    Rows keep what write_tokens() wrote of them: null doc_ids stay null, a null or empty text has its end id, repeated rows come as
+    often as they were written. Without files there are no rows.
+    """
     bases, total = {}, 0
     # a row for each task that wrote, however long the table is
     for part, n in sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
@@ -161,9 +158,13 @@ def read_tokens(files: DataFrame) -> DataFrame:
         for frame in frames:
             for r in frame.to_pylist():
                 file = TokenFile(r["file"])
-                bounds = file.boundaries.all()
-                ids = file.ids.astype("<u4")
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(bounds[:-1] + (bases[r["part"]] + r["part_start"])), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                base = bases[r["part"]] + r["part_start"]
+                starts, sizes, crc = [], [], []
+                for i in range(file.n):
+                    start, ids = file.document(i)
+                    starts.append(base + start)
+                    sizes.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype("<u4")))
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return map_arrow(files.select("part", "part_start", "doc_ids", "file"), rows, "doc_id long, start long, n_tokens long, ids_crc32 long")

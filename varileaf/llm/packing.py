@@ -143,12 +143,13 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH) -> D
             return out
 
         for frame in batches(frames):
-            for name, ids in zip(frame.column(0).to_pylist(), enc.encode([t or "" for t in frame.column(1).to_pylist()]), strict=True):
-                names.append(name)
-                totals.append(len(ids) + 1)
-                done.append(0)
-                parts.append(np.append(ids, np.uint32(end_id)))
-                held += len(ids) + 1
+            ids, stops = enc.encode(frame.column(1), end_id)
+            sizes = np.diff(stops, prepend=0).tolist()
+            names += frame.column(0).to_pylist()
+            totals += sizes
+            done += [0] * len(sizes)
+            parts += np.split(ids, stops[:-1])
+            held += len(ids)
             if held >= BLOCK and (out := flush(False)) is not None:
                 yield out
         if parts:
