@@ -88,7 +88,7 @@ class LanguageModel:
             left = np.flatnonzero(~known)
             if not len(left):
                 break
-            padded = [f"^{words[i]}$" for i in left]
+            padded = [_padded(words[i], n) for i in left]
             parts = [p[i : i + n] for p in padded for i in range(len(p) - n + 1)]
             if not parts:
                 continue
@@ -103,11 +103,16 @@ class LanguageModel:
         return out, known
 
 
+def _padded(word: str, n: int) -> str:
+    """A word with its ends marked; single letters come from the word alone, as every word has ends."""
+    return f"^{word}$" if n > 1 else word
+
+
 def _grams(words: Counter[str]) -> dict[int, Counter[str]]:
     out: dict[int, Counter[str]] = {n: Counter() for n in LENGTHS}
     for word, k in words.items():
-        padded = f"^{word}$"
         for n in LENGTHS:
+            padded = _padded(word, n)
             for i in range(len(padded) - n + 1):
                 out[n][padded[i : i + n]] += k
     return out
@@ -119,7 +124,11 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """Counts words and n-grams of a bounded sample of labelled documents that aren't held out."""
+    """Counts words and n-grams of a bounded sample of labelled documents that aren't held out.
+
+    Null texts and languages teach nothing; repeated rows are drawn together and count each time; empty and letterless texts add
+    no words; an empty table gives a model without languages; other columns are not read.
+    """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = labelled.groupBy("lang").count().collect()  # a row for each language
     languages = sorted(r.lang for r in sizes)
@@ -182,7 +191,7 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[str, float]:
         """Language and posterior: a softmax of the summed scores, tempered by the root of the number of words."""
-        if not text or not self.model.languages:
+        if not text or not self.model.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         seen = Counter(text.lower().split())
         if len(self.rows) * len(self.model.languages) > KEPT:
@@ -193,8 +202,6 @@ class Scorer:
         times = np.fromiter(seen.values(), np.float64, len(seen))
         n = float(times @ self.counted[at])
         if not n:
-            if not any(c.isalpha() for c in text):
-                return "und", 0.0
             return self.model.languages[0], 1.0 / len(self.model.languages)
         total = times @ self.values[at] / math.sqrt(n)
         best = int(total.argmax())
@@ -220,7 +227,10 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def confident(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The documents whose language is told with a score of `least` or more, with all their columns."""
+    """The documents whose language is told with a score of `least` or more, with all their columns, whatever their names.
+
+    Null texts and those without a letter go; repeated rows and null doc_ids are judged by their text alone; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
