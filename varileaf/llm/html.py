@@ -27,6 +27,7 @@ STOP_WORDS = frozenset().union(*STOP_LISTS)
 # Elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math select".split())
+FOREIGN = frozenset(("svg", "math"))
 BOILER = frozenset("nav footer aside form button dialog menu head object canvas".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = frozenset(("article", "main"))
@@ -46,6 +47,8 @@ MOST = 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>?|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+#: A slash that isn't the end of an unquoted value.
+_SLASH = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CLOSE = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
@@ -100,9 +103,9 @@ def blocks(page: str) -> list[Block]:
         if name := m["start"]:
             name, attributes = name.lower(), m["attributes"] or ""
             if name in RAW:
-                close = _CLOSE[name].search(page, at)
-                if attributes.rstrip().endswith("/"):
+                if name in FOREIGN and _SLASH.search(attributes):
                     continue
+                close = _CLOSE[name].search(page, at)
                 at = n if not close else page.find(">", close.start()) + 1 or n
                 continue
             if name == "br" or name == "wbr":
@@ -119,7 +122,7 @@ def blocks(page: str) -> list[Block]:
                             break
                         if stack[k][0] in BLOCK:
                             break
-            if name in VOID or attributes.rstrip().endswith("/"):
+            if name in VOID:  # on other elements a slash before the end says nothing
                 continue
             _, boiler, main, link, named = stack[-1]
             main = main or name in MAIN
