@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from varileaf.llm.common import materialize, word_count
 
-#: Words in a block; quotas are whole blocks.
+#: Words in a block; quotas are whole blocks, and what is left of a target is settled in words.
 BLOCK = 16
-#: A source is dealt over shards of about this many documents, over MOST_SHARDS at most.
-SHARD_DOCS, MOST_SHARDS = 256, 1024
+#: A source is dealt over shards of about this many documents.
+SHARD_DOCS = 1 << 15
 #: A target stops at so many times its source's size.
 REPEATS = 3
 SEED = 20
@@ -43,17 +44,17 @@ def targets(sizes: list[int], weights: list[int], repeats: int = REPEATS) -> lis
 def apportion(votes: list[float], seats: int) -> list[int]:
     """Sainte-Laguë: every seat goes to the highest of votes / (2 * seats so far + 1); ties to the first.
 
-    The seats that any divisor gives everybody are dealt at once, the last ones one by one from a heap.
+    Rounding at a divisor that is surely too large deals at once seats that everybody keeps, no more than there are; the others
+    go one by one from a heap.
     """
-    total = sum(votes)
+    total, n = sum(votes), sum(v > 0 for v in votes)
     out = [0] * len(votes)
-    if not total or not seats:
+    if not total or seats <= 0:
         return out
-    out = [max(0, int(v * seats / total - 0.5)) for v in votes]
-    while sum(out) > seats:  # rounding of doubles
-        k = max((i for i, n in enumerate(out) if n), key=lambda i: (out[i] - 0.5) / votes[i])
-        out[k] -= 1
-    heap = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, out, strict=True)) if v]
+    if 2 * seats > n:
+        divisor = total / (seats - n / 2)
+        out = [max(0, math.floor(v / divisor + 0.5 - 1e-9)) for v in votes]
+    heap = [(-v / (2 * k + 1), i) for i, (v, k) in enumerate(zip(votes, out, strict=True)) if v]
     heapq.heapify(heap)
     for _ in range(seats - sum(out)):
         _, i = heap[0]
@@ -62,6 +63,17 @@ def apportion(votes: list[float], seats: int) -> list[int]:
     return out
 
 
+def shard_quotas(words: list[int], blocks: int, target: int, repeats: int = REPEATS) -> list[int]:
+    """Words that each shard of a source gives: its blocks of the source's, then word by word what is left of the target, as far as it has room."""
+    out = [min(n * BLOCK, repeats * w) for n, w in zip(apportion([float(w) for w in words], blocks), words, strict=True)]
+    left = target - sum(out)
+    for i, w in enumerate(words):
+        step = min(left, repeats * w - out[i]) if left > 0 else max(left, -out[i])
+        out[i] += step
+        left -= step
+    return out
+
+
 def _blocks(words: int) -> int:
     return -(-words // BLOCK)
 
@@ -79,13 +91,16 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def plan(sized: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target and taken to a written table that has doc_id, source and size."""
+    """Adds source_size, target and taken to a written table that has doc_id, source and size; rows alike are mixed each by itself.
+
+    Null sources are one source, the last; rows of size 0 are taken 0 times; an empty table gives none.
+    """
     spark = sized.sparkSession
     sources = sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
     if len(sources) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     sources.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
-    shards = [min(MOST_SHARDS, -(-r.docs // SHARD_DOCS)) for r in sources]
+    shards = [-(-r.docs // SHARD_DOCS) for r in sources]
     wanted = targets([r.words for r in sources], [1 + i % 3 for i in range(len(sources))])
     blocks = apportion(wanted, round(sum(wanted) / BLOCK))
     shape = "source string, of long, source_size long, target double"
@@ -99,16 +114,15 @@ def plan(sized: DataFrame, seed: int = SEED) -> DataFrame:
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.col("of")))
     )
     totals: dict = {}
-    for r in dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect():  # MOST_SHARDS rows a source at most
+    for r in dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect():  # a row for every SHARD_DOCS documents
         totals.setdefault(r.source, []).append((r.shard, r.words))
     quotas = []
-    for r, quota in zip(sources, blocks, strict=True):
+    for r, quota, want in zip(sources, blocks, wanted, strict=True):
         own = sorted(totals.get(r.source, []))
-        # a shard has at most REPEATS rounds of its words to give
-        given = apportion([float(w) for _, w in own], quota)
+        given = shard_quotas([w for _, w in own], quota, round(want))
         for (shard, words), n in zip(own, given, strict=True):
             start = (hash_start(seed, len(quotas)) % _blocks(words)) * BLOCK if words else 0
-            quotas.append((r.source, shard, words, min(n * BLOCK, REPEATS * words), start))
+            quotas.append((r.source, shard, words, n, start))
     quota = spark.createDataFrame(quotas, "source string, shard long, words long, quota long, begin long")
     both = dealt.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard"))).select("d.*", "q.words", "q.quota", "q.begin")
     line = W.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -128,10 +142,14 @@ def hash_start(seed: int, k: int) -> int:
 
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mixed table itself: each document as often as the mix takes it, rounded to whole copies, with its own columns."""
-    sized = materialize(docs.withColumn("size", word_count(F.col("text"))), "mix-docs")
+    """The mixed table itself: each document as often as the mix takes it, rounded to whole copies, with its own columns, whatever their names.
+
+    Null and wordless texts go; rows that repeat a doc_id, source and size are taken equally often; an empty table gives none.
+    """
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    sized = materialize(row, "mix-docs")
     counted = plan(sized.select("doc_id", "source", "size"), seed)
     copies = counted.select("doc_id", "source", "size", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("size > 0 and copies > 0")
     times = copies.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
     joined = sized.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.size") == F.col("t.size")))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("_copy")).drop("_copy")
+    return joined.select(F.col("d.row").alias("row"), F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("copy")).select("row.*")
