@@ -60,7 +60,9 @@ def segments(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.n
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
     last = np.append(new[1:], len(p)) - 1
     lo, hi, own = p[new], p[last], owner[new]
-    return own, grams[anchor[new]], prefix.of(lo, hi + length), lo - starts[own], hi - starts[own]
+    view = memoryview(data)
+    prints = b"".join([hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)])
+    return own, grams[anchor[new]], np.frombuffer(prints, np.uint64), lo - starts[own], hi - starts[own]
 
 
 def _pieces(texts: list[bytes]) -> tuple[list[int], list[int], list[bytes]]:
@@ -170,14 +172,14 @@ def _by_counting(cut: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """d and r tell a row's text; rows that repeat one another share them."""
+    """row (all columns), text, and d and r, which tell a row's text; rows that repeat one another share them."""
     text = F.col("text").cast("string")
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).withColumn("r", F.xxhash64("doc_id", text))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64("doc_id", text).alias("r"))
 
 
 def intervals(docs: DataFrame) -> DataFrame:
     """d, r and starts: first and last starts of repeated windows, of every text that has any. Written to the shared folder."""
-    given = _keyed(docs).select("d", "r", F.col("text").cast("string").alias("text"))
+    given = _keyed(docs).select("d", "r", "text")
     found = materialize(_found(given), "segments")
     kinds = materialize(found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "r", "lo", "hi")).alias("at")), "kinds")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("anchor", "k")
@@ -226,7 +228,7 @@ def remove(docs: DataFrame) -> DataFrame:
     A null text is empty; texts shorter than LENGTH lose nothing; a row that repeats another loses all that is long enough; null doc_ids
     stay; an empty table gives none; other columns are left out.
     """
-    joined = _keyed(docs).join(intervals(docs), ["d", "r"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "starts")
+    joined = _keyed(docs.select("doc_id", "text")).join(intervals(docs), ["d", "r"], "left").select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "starts")
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
@@ -242,25 +244,26 @@ def remove(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes, with all their columns; one that nothing is left of goes.
 
-    Characters of which a byte is removed go whole. n_chars, where there is one, is counted anew.
+    Characters of which a byte is removed go whole. n_chars, where there is one, is counted anew. Null and short texts stay as they are;
+    rows that repeat one another lose all that is long enough; null doc_ids stay; an empty table gives none; column names don't matter.
     """
     columns = docs.columns
-    joined = _keyed(docs).join(intervals(docs), ["d", "r"], "left").select(*[F.col(f"`{c}`") for c in columns], F.col("starts").alias("_starts"))
+    joined = _keyed(docs).join(intervals(docs), ["d", "r"], "left").select("starts", "row")
     at = columns.index("text")
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in batches(frames):
+        for frame in frames:
             texts, keep = [], []
-            for text, starts in zip(frame.column(at).to_pylist(), frame.column(len(columns)).to_pylist(), strict=True):
+            given = frame.column(1).flatten()
+            for text, starts in zip(given[at].to_pylist(), frame.column(0).to_pylist(), strict=True):
                 if starts:
                     text = without(text.encode(), spans(starts)).decode("utf-8", "ignore")
                     keep.append(bool(text.strip()))
                 else:
                     keep.append(True)
                 texts.append(text)
-            out = [frame.column(i) for i in range(len(columns))]
-            out[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep, pa.bool_()))
+            given[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(given, names=columns).filter(pa.array(keep, pa.bool_()))
 
     kept = joined.mapInArrow(rows, docs.schema)
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else kept
