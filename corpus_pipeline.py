@@ -12,17 +12,20 @@ from varileaf.llm.tokens import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told go on; the model learns from the labelled ones."""
+    """Documents whose language is told go on; the model learns from the labelled ones.
+
+    Null texts and texts without a letter go; repeated rows share their fate; an empty table stays empty.
+    """
     return langid.confident(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, as one row; rows without a doc_id stay."""
-    heads = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = kept.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    heads = jaccard.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.col("text").cast("string")).alias("order"))
+    kept = row.where("key is not null").join(heads, F.col("key") == F.col("head"), "left_semi")
+    one = kept.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("order"))).where("place = 1")
+    return one.select("row").union(row.where("key is null").select("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +34,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the quotas of its source take it."""
+    """Each document as often as the quotas of its source take it; wordless texts go, null sources are one source."""
     return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of the packing length."""
+    """Pieces of documents in sequences of the packing length; a null or empty text is its end id alone."""
     return packing.pack(docs, tokenizer_path())
 
 
