@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varileaf.llm import ngrams
-from varileaf.llm.common import batches, map_arrow, materialize, text_bytes
+from varileaf.llm.common import discard, materialize, text_bytes
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -22,17 +20,16 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     wanted = target.select(F.col("doc_id").cast("long").alias("of")).where("of is not null").distinct().withColumn("hit", F.lit(True))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = given.join(wanted, given.doc_id == wanted.of, "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
-    buckets = ngrams.buckets_for(given)
-
-    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, frame in enumerate(batches(frames)):
-            texts = text_bytes(frame.column(1))
-            sizes, dealt = ngrams.split(texts, [np.array(frame.column(2).to_pylist(), bool)], buckets)
-            yield from ngrams.table_rows([("doc_id", pa.int64(), frame.column(0)), ("n_words", pa.int64(), sizes)], ngrams.chunk_id(number), len(texts), dealt)
-
-    fields = "doc_id long, n_words long"
-    table = materialize(map_arrow(marked, rows, f"{fields}, {ngrams.ADDED}"), "trigrams")
-    scored = ngrams.mean_losses(table, fields, buckets, 2)
+    # written once, as both passes over the texts read it
+    marked = materialize(given.join(wanted, given.doc_id == wanted.of, "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit")), "marked")
+
+    def read(frame: pa.RecordBatch) -> tuple[list[bytes], list[np.ndarray]]:
+        return text_bytes(frame.column(1)), [np.array(frame.column(2).to_pylist(), bool)]
+
+    def describe(frame: pa.RecordBatch, texts: list[bytes], sizes: np.ndarray) -> list:
+        return [frame.column(0), pa.array(sizes, pa.int64())]
+
+    scored = ngrams.mean_losses(marked, read, describe, "doc_id long, n_words long", 2)
+    discard(marked)
     a, b = F.col("losses")[0], F.col("losses")[1]
     return scored.select("doc_id", F.col("n_words").alias("n_tokens"), a.alias("loss_target"), b.alias("loss_background"), (a - b).alias("score"))

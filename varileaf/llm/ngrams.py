@@ -1,13 +1,14 @@
 """Word trigram models with interpolated modified Kneser-Ney smoothing, in hash-partitioned sorted arrays that stay distributed.
 
-Trigrams are dealt to buckets by the hash of their history, so a history's totals are local to its bucket. Each bucket sends the
-continuation counts of its bigrams to the bucket of their first word, and those send the ones of single words on. Probabilities come
-back the same way and end in sums of losses of each document. Rows between buckets are packed arrays; the driver sees counts of counts.
+Trigrams (u, v, w) are dealt to buckets by the hash of their middle word, so the totals of a history (u, v) and the continuation counts of a
+bigram (v, w) are local to a bucket, which holds its trigrams as one sorted array of keys. The continuation counts of single words are summed in the
+bucket of the word and come back. Every batch of texts is one chunk: it sends each of its trigrams once, as places in a table of its words, with
+the texts that they occur in, and gets sums of losses back. Rows between buckets are packed arrays; the driver sees counts of counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,119 +16,124 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varileaf.llm.common import materialize
-from varileaf.llm.rolling import Prefix, mixed
+from varileaf.llm.common import batches, discard, map_arrow, materialize
+from varileaf.llm.rolling import distinct_words, mixed
 
-#: Bytes of text for each bucket, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 12
+#: Bytes of text for each bucket and in a chunk, and the least number of buckets.
+BUCKET_BYTES, CHUNK, LEAST_BUCKETS = 16 << 20, 12 << 20, 12
 #: What stands before the first words of a text.
-START = np.uint64(1)
-#: Columns of a packed row besides a document's own: bucket, where it comes from, arrays, documents of the occurrences.
+START = 1
+#: Kinds of packed rows: trigrams, replies, texts, counts of counts.
+TRIGRAMS, REPLIES, TEXTS, COUNTS = range(4)
 PACKED = "bucket int, kind int, chunk long, payload binary, docs binary"
 _NAMES = ["bucket", "kind", "chunk", "payload", "docs"]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_STORED = ("u1", "u2", "u4", "u8", "f8")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Sizes and arrays as one compressed string."""
-    raw = b"".join([np.array([a.size for a in arrays], np.int64).tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+    """Arrays as one compressed string: numbers without sign in as few bytes as they need, byte planes apart."""
+    head, parts = [len(arrays)], []
+    for a in arrays:
+        if a.dtype.kind != "f":
+            a = a.astype(np.min_scalar_type(int(a.max())) if a.size else np.uint8)
+        head += [a.size, _STORED.index(a.dtype.str[1:])]
+        parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+    raw = b"".join([np.array(head, "<i8").tobytes(), *parts])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """Signed 64-bit numbers or doubles; 64-bit hashes stay without sign."""
     raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
-    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head, at, out = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2).tolist(), 8 + 16 * n, []
+    for size, code in head:
+        kind = np.dtype(_STORED[code])
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        found = np.ascontiguousarray(planes.T).view(kind).ravel()
+        out.append(found if code > 2 else found.astype(np.int64))
+        at += size * kind.itemsize
     return out
 
 
+def steps(codes: np.ndarray) -> np.ndarray:
+    """Differences of sorted codes, which take fewer bytes."""
+    return np.diff(codes, prepend=np.uint64(0))
+
+
+def codes_of(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.astype(np.uint64))
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(h) >> np.uint64(16)) % np.uint64(buckets)
+    return ((mixed(h) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
 
 def buckets_for(docs: DataFrame) -> int:
     return max(LEAST_BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, one text after another, and how many each text has."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True))
-    starts, stops = edge[::2], edge[1::2]
-    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
-    return Prefix(data).of(starts, stops), np.diff(ends, prepend=0)
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
 
 
-def summed(keys: tuple[np.ndarray, ...], k: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct keys in order, their sums of k (a column a model), and the place of each given row among them."""
-    order = np.lexsort(keys[::-1])
-    keys = tuple(x[order] for x in keys)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for x in keys:
-        new[1:] |= x[1:] != x[:-1]
-    starts = np.flatnonzero(new)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return [x[starts] for x in keys], np.add.reduceat(k[order], starts, axis=0) if len(starts) else k, place
+def _sorted(first: np.ndarray, second: np.ndarray, third: np.ndarray, size: int) -> np.ndarray:
+    """Order of triples of numbers below `size`."""
+    if size <= 1 << 21:
+        return np.argsort(first << 42 | second << 21 | third, kind="stable")
+    return np.lexsort((third, second, first))
 
 
-def split(texts: list[bytes], member: list[np.ndarray], buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes, bytes]]]:
-    """Words of each text; and for each bucket its trigrams (hash of the history, last two words, counts) and the texts they occur in.
+def split(texts: list[bytes], member: list[np.ndarray], buckets: int, places: bool) -> tuple[np.ndarray, list[tuple[int, bytes, bytes | None]]]:
+    """Words of each text; and for each bucket its trigrams (a table of words, places of v, u and w in it, counts) and the texts they occur in.
 
-    member: for each further model, which texts it counts; the last model counts all.
+    member: for each further model, which texts it counts; the last model counts all. places: whether the texts are wanted.
     """
-    w, sizes = words_of(texts)
-    if not len(w):
+    codes, index, sizes = distinct_words(texts)
+    if not len(index):
         return sizes, []
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
+    # 48 bits of each word's code, and words numbered by code
+    table, number = np.unique(np.concatenate((np.array([START], np.uint64), codes >> np.uint64(16))), return_inverse=True)
+    home = bucket_of(table, buckets)
+    turn = np.empty(len(table), np.int64)  # of a word as a middle one: bucket by bucket
+    turn[np.argsort(home, kind="stable")] = np.arange(len(table))
+    w, start = number[index + 1], number[0]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
     place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    v, u = np.full(len(w), START), np.full(len(w), START)
+    v, u = np.full(len(w), start), np.full(len(w), start)
     v[1:], u[2:] = w[:-1], w[:-2]
-    v[place < 1] = u[place < 2] = START
-    h = mixed(mixed(u) * np.uint64(3) + v)
-    bucket = bucket_of(h, buckets)
-    order = np.lexsort((w, h, bucket))
-    bucket, h, v, w, doc = (x[order] for x in (bucket, h, v, w, doc))
-    starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]))))
-    k = np.stack([np.add.reduceat(m[doc].astype(np.int32), starts) for m in (*member, np.ones(len(texts), bool))], 1)
-    first = np.flatnonzero(np.concatenate(([True], bucket[starts][1:] != bucket[starts][:-1])))
+    v[place < 1] = u[place < 2] = start
+    order = _sorted(turn[v], u, w, len(table))
+    v, u, w, doc = v[order], u[order], w[order], doc[order]
+    starts = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
+    counts = [*(np.add.reduceat(m[doc].astype(np.int64), starts) for m in member), np.diff(np.append(starts, len(w)))]
+    v, u, w, stops = v[starts], u[starts], w[starts], np.append(starts, len(doc))
+    first = _runs(home[v])
     out = []
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(starts)], strict=True):
-        at, stop = starts[a:b], starts[b] if b < len(starts) else len(w)
-        out.append((int(bucket[starts[a]]), pack(h[at], v[at], w[at], k[a:b].astype(np.int32)), pack(doc[starts[a] : stop])))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(v)], strict=True):
+        used, local = np.unique(np.concatenate((v[a:b], u[a:b], w[a:b])), return_inverse=True)
+        payload = pack(steps(table[used]), *np.split(local, 3), *(k[a:b] for k in counts))
+        out.append((int(home[v[a]]), payload, pack(doc[stops[a] : stops[b]]) if places else None))
     return sizes, out
 
 
-def chunk_id(number: int) -> int:
-    """Of the batch of that number in this task, unlike any other's."""
-    return TaskContext.get().partitionId() << 32 | number
-
-
 def packed(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], names=_NAMES)
 
 
-def _dealt(keys: list[np.ndarray], by: np.ndarray, k: np.ndarray, buckets: int, kind: int, source: int) -> list[tuple]:
-    """Packed rows of the arrays, one for each bucket of `by`."""
-    bucket = bucket_of(by, buckets)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
-    return [(b, kind, source, pack(*[x[s] for x in keys], k[s]), None) for b in range(buckets) if len(s := order[edges[b] : edges[b + 1]])]
-
-
-def _counts(k: np.ndarray) -> tuple:
+def _counts(level: int, k: list[np.ndarray]) -> tuple:
     """A row of one bucket for the driver: of each model, n-grams found once to four times, all found, their sum, and all of any model."""
-    return -1, 0, 0, pack(np.stack([*[(k == i).sum(0) for i in (1, 2, 3, 4)], (k > 0).sum(0), k.sum(0), np.full(k.shape[1], len(k))]).astype(np.int64)), None
+    return -1, COUNTS, level, pack(*[np.array([*[(x == i).sum() for i in (1, 2, 3, 4)], (x > 0).sum(), x.sum(), len(x)], np.int64) for x in k]), None
 
 
 def _totals(table: DataFrame, models: int) -> np.ndarray:
-    rows = table.where("bucket = -1").select("payload").collect()
-    return sum((unpack(bytes(r.payload), "i8")[0].reshape(7, models) for r in rows), np.zeros((7, models), np.int64))
+    """By level, what _counts() says of all buckets: columns are models."""
+    out = np.zeros((4, 7, models), np.int64)
+    for r in table.where(F.col("kind") == COUNTS).select("chunk", "payload").collect():
+        out[r.chunk] += np.stack(unpack(bytes(r.payload)), 1)
+    return out
 
 
 def discounts(totals: np.ndarray) -> np.ndarray:
@@ -142,139 +148,152 @@ def discounts(totals: np.ndarray) -> np.ndarray:
     return np.array(out, float)
 
 
-def smoothed(history: np.ndarray, k: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted probabilities of n-grams sorted by history, and what their histories leave to lower orders (all where not found)."""
-    starts = np.flatnonzero(np.concatenate(([True], history[1:] != history[:-1])))
-    each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(history))))
-    off = np.stack([d[g][np.minimum(k[:, g], 3)] for g in range(k.shape[1])], 1)
-    total, left = np.add.reduceat(k, starts, axis=0)[each], np.add.reduceat(off, starts, axis=0)[each]
-    least = np.maximum(total, 1)
-    return (k - off) / least, np.where(total > 0, left / least, 1.0)
-
-
-def _read(table: pa.Table, kind: int, models: int, *kinds: str) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Sources, keys and values (a column a model) of the rows of a kind in the order of their sources, and where each row ends."""
-    rows = [(c, p) for c, k, p in zip(*(table.column(x).to_pylist() for x in ("chunk", "kind", "payload")), strict=True) if k == kind]
-    got = [unpack(p, *kinds) for _, p in rows]
-    arrays = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in enumerate(kinds)]
-    values = arrays[-1].reshape(-1, models)
-    return [c for c, _ in rows], arrays[:-1], values.astype(np.int64) if kinds[-1] == "i4" else values, np.cumsum([len(g[0]) for g in got], dtype=np.int64)
-
-
-def _slices(ends: np.ndarray) -> Iterator[slice]:
-    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        yield slice(a, b)
-
-
-def losses(dealt: DataFrame, buckets: int, models: int) -> DataFrame:
-    """chunk and payload: places of texts in their chunk, and the natural-log losses under each model that add up to theirs.
+def smoothed(starts: np.ndarray, k: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one model, discounted probabilities of n-grams whose histories start at `starts`, and what these leave to lower orders (all where not found)."""
+    off = d[np.minimum(k, 3)]
+    lengths = np.diff(np.append(starts, len(k)))
+    total, left = np.add.reduceat(k, starts), np.add.reduceat(off, starts)
+    rest = np.where(total > 0, left / np.maximum(total, 1), 1.0)
+    return (k - off) / np.repeat(np.maximum(total, 1), lengths), np.repeat(rest, lengths)
+
+
+class Bucket:
+    """The trigrams of a bucket as sorted keys, and the bigrams and last words among them, with their counts under each model."""
+
+    def __init__(self, payloads: list[bytes], models: int):
+        given = [unpack(p) for p in payloads]
+        self.words, number = np.unique(np.concatenate([codes_of(g[0]) for g in given]), return_inverse=True)
+        if len(self.words) > 1 << 21:
+            raise ValueError("more distinct words in a bucket than its keys tell apart; lower BUCKET_BYTES")
+        parts, at = [], 0
+        for g in given:
+            own = number[at : at + len(g[0])]
+            at += len(g[0])
+            parts.append(own[g[1]] << 42 | own[g[2]] << 21 | own[g[3]])
+        self.ends = np.cumsum([len(p) for p in parts]).tolist()
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        self.starts = _runs(keys[order])
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(keys))))
+        self.keys = keys[order][self.starts]
+        self.times = np.concatenate([g[-1] for g in given])
+        self.k3 = [np.add.reduceat(np.concatenate([g[4 + m] for g in given])[order], self.starts) for m in range(models)]
+        mask = (1 << 21) - 1
+        self.keys2, self.at2 = np.unique(self.keys >> 42 << 21 | self.keys & mask, return_inverse=True)
+        self.k2 = [np.bincount(self.at2, k > 0, len(self.keys2)).astype(np.int64) for k in self.k3]
+        self.last, self.at1 = np.unique(self.keys2 & mask, return_inverse=True)
+        self.k1 = [np.bincount(self.at1, k > 0, len(self.last)).astype(np.int64) for k in self.k2]
+
+    def probabilities(self, m: int, p1: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> np.ndarray:
+        """Of each trigram under model m, given the last words' own."""
+        own, left = smoothed(_runs(self.keys2 >> 21), self.k2[m], d2)
+        p2 = own + left * p1[self.at1]
+        own, left = smoothed(_runs(self.keys >> 21), self.k3[m], d3)
+        return own + left * p2[self.at2]
+
+
+def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str, models: int) -> DataFrame:
+    """The fields of each text and losses, the mean over its words under each model; 0 for a text without words.
 
-    dealt: the packed rows that split() makes, written once.
+    read: of an Arrow batch of docs, its texts and the members of the models but the last. describe: of the batch, its texts and their
+    numbers of words, the columns of `fields`. The texts are split twice, once to count and once to score, so that no table of trigrams is stored.
     """
-
-    def trigrams(table: pa.Table) -> pa.Table:
-        source = table.column("bucket")[0].as_py()
-        _, (h, v, w), k, _ = _read(table, 0, models, "u8", "u8", "u8", "i4")
-        (_, w, v), k, _ = summed((h, w, v), k)
-        (v, w), found, _ = summed((v, w), (k > 0).astype(np.int64))
-        return packed([_counts(k), *_dealt([v, w], v, found, buckets, 0, source)])
-
-    def bigrams(table: pa.Table) -> pa.Table:
-        source = table.column("bucket")[0].as_py()
-        _, keys, k, _ = _read(table, 0, models, "u8", "u8", "i8")
-        (_, w), k, _ = summed(tuple(keys), k)
-        (w,), found, _ = summed((w,), (k > 0).astype(np.int64))
-        return packed([_counts(k), *_dealt([w], w, found, buckets, 0, source)])
-
-    def words(table: pa.Table) -> pa.Table:
-        _, keys, k, _ = _read(table, 0, models, "u8", "i8")
-        return packed([_counts(summed(tuple(keys), k)[1])])
+    kinds = [(f.split()[0], pa.string() if f.endswith("string") else pa.int64()) for f in fields.split(", ")]
+    names = [n for n, _ in kinds]
+    buckets = buckets_for(docs)
+
+    def counting(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in batches(frames, most=CHUNK):
+            yield from packed([(b, TRIGRAMS, 0, payload, None) for b, payload, _ in split(*read(frame), buckets, False)[1]]).to_batches()
+
+    def scoring(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, frame in enumerate(batches(frames, most=CHUNK)):
+            texts, member = read(frame)
+            chunk, n = TaskContext.get().partitionId() << 32 | number, len(texts)
+            sizes, dealt = split(texts, member, buckets, True)
+            own = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(describe(frame, texts, sizes), kinds, strict=True)]
+            first = [pa.array([x] * n, t) for x, t in zip((chunk % buckets, TEXTS, chunk, None, None), _KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([*first, pa.array(range(n), pa.int64()), *own], names=[*_NAMES, "place", *names])
+            rows = packed([(b, TRIGRAMS, chunk, payload, where) for b, payload, where in dealt])
+            for part in rows.to_batches():
+                blank = [pa.nulls(part.num_rows, t) for t in (pa.int64(), *[t for _, t in kinds])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *blank], names=[*_NAMES, "place", *names])
+
+    def counts(table: pa.Table) -> pa.Table:
+        found = Bucket(table.column("payload").to_pylist(), models)
+        source, words = table.column("bucket")[0].as_py(), found.words[found.last]
+        home = bucket_of(words, buckets)
+        order = np.argsort(home, kind="stable")
+        edges = np.searchsorted(home[order], np.arange(buckets + 1)).tolist()
+        sent = [(b, TRIGRAMS, source, pack(steps(words[s]), *(k[s] for k in found.k1)), None) for b in range(buckets) if len(s := order[edges[b] : edges[b + 1]])]
+        return packed([_counts(3, found.k3), _counts(2, found.k2), *sent])
+
+    def summed(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, list[np.ndarray]]:
+        """Sources of a word bucket's rows, where each ends, the places of its words among all, and their sums."""
+        given = sorted(zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist(), strict=True), key=lambda x: x[0])
+        got = [unpack(p) for _, p in given]
+        words, place = np.unique(np.concatenate([codes_of(g[0]) for g in got]), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([g[1 + m] for g in got]), len(words)).astype(np.int64) for m in range(models)]
+        return [c for c, _ in given], np.cumsum([len(g[0]) for g in got]).tolist(), place, sums
+
+    def word_counts(table: pa.Table) -> pa.Table:
+        return packed([_counts(1, summed(table)[3])])
+
+    def replies(table: pa.Table) -> pa.Table:
+        mine = table.column("bucket")[0].as_py()
+        sources, ends, place, sums = summed(table)
+        return packed([(b, REPLIES, mine, pack(*(k[place[a:e]] for k in sums)), None) for b, a, e in zip(sources, [0, *ends[:-1]], ends, strict=True)])
 
     def by_bucket(df: DataFrame):
         return df.where("bucket >= 0").groupBy("bucket")
 
-    rows = dealt.select(*_NAMES)
-    slim = rows.withColumn("docs", F.lit(None).cast("binary"))
-    pairs = materialize(by_bucket(slim).applyInArrow(trigrams, PACKED), "bigrams")
-    singles = materialize(by_bucket(pairs).applyInArrow(bigrams, PACKED), "words")
-    n1 = _totals(by_bucket(singles).applyInArrow(words, PACKED), models)
-    d1, d2, d3 = (discounts(n) for n in (n1, _totals(singles, models), _totals(pairs, models)))
-    found, total, vocabulary = n1[4], n1[5], max(1, int(n1[6].max()))
-    left1 = np.where(total > 0, (d1[:, 1] * n1[0] + d1[:, 2] * n1[1] + d1[:, 3] * (found - n1[0] - n1[1])) / np.maximum(total, 1), 1.0)
-
-    def word_replies(table: pa.Table) -> pa.Table:
-        mine = table.column("bucket")[0].as_py()
-        sources, (w,), k, ends = _read(table, 0, models, "u8", "i8")
-        _, k, place = summed((w,), k)
-        off = np.stack([d1[g][np.minimum(k[:, g], 3)] for g in range(models)], 1)
-        p = ((k - off) / np.maximum(total, 1) + left1 / vocabulary)[place]
-        return packed([(b, 1, mine, pack(w[s], p[s]), None) for b, s in zip(sources, _slices(ends), strict=True)])
-
-    def bigram_replies(table: pa.Table) -> pa.Table:
-        mine = table.column("bucket")[0].as_py()
-        sources, (v, w), k, ends = _read(table, 0, models, "u8", "u8", "i8")
-        _, (known,), p, _ = _read(table, 1, models, "u8", "f8")
-        (history, last), k, place = summed((v, w), k)
-        own, left = smoothed(history, k, d2)
-        order = np.argsort(known)
-        p = (own + left * p[order[np.searchsorted(known[order], last)]])[place]
-        return packed([(b, 1, mine, pack(v[s], w[s], p[s]), None) for b, s in zip(sources, _slices(ends), strict=True)])
-
-    def text_losses(table: pa.Table) -> pa.Table:
-        chunks, (h, v, w), k, ends = _read(table, 0, models, "u8", "u8", "u8", "i4")
-        texts = [x for x, kind in zip(table.column("docs").to_pylist(), table.column("kind").to_pylist(), strict=True) if kind == 0]
-        _, (a, b), p, _ = _read(table, 1, models, "u8", "u8", "f8")
-        times = k[:, -1]
-        (history, w, v), k, place = summed((h, w, v), k)
-        own, left = smoothed(history, k, d3)
-        code, wanted = mixed(mixed(a) * np.uint64(3) + b), mixed(mixed(v) * np.uint64(3) + w)
-        order = np.argsort(code)
-        loss = -np.log(own + left * p[order[np.searchsorted(code[order], wanted)]])
-        out = []
-        for chunk, text, s in zip(chunks, texts, _slices(ends), strict=True):
-            ids, at = np.unique(unpack(text, "u4")[0], return_inverse=True)
-            each = np.repeat(loss[place[s]], times[s], axis=0)
-            out.append((None, 2, chunk, pack(ids, np.stack([np.bincount(at, each[:, g], len(ids)) for g in range(models)], 1)), None))
-        return packed(out)
-
-    low = by_bucket(singles).applyInArrow(word_replies, PACKED)
-    middle = by_bucket(pairs.unionByName(low)).applyInArrow(bigram_replies, PACKED)
-    return by_bucket(rows.unionByName(middle)).applyInArrow(text_losses, PACKED).select("chunk", "payload")
-
-
-def mean_losses(table: DataFrame, fields: str, buckets: int, models: int) -> DataFrame:
-    """The fields of each text and losses, the mean over its words under each model; 0 for a text without words.
-
-    table: written once; rows of texts (the fields with n_words, chunk and place) and packed rows of split(), whose bucket isn't null.
-    """
-    names = [f.split()[0] for f in fields.split(", ")]
-    texts = table.where("bucket is null").select(*names, "chunk", "place", F.lit(None).cast("binary").alias("payload"))
-    sums = losses(table.where("bucket is not null"), buckets, models)
-    both = texts.unionByName(sums, allowMissingColumns=True)
-
-    def rows(group: pa.Table) -> pa.Table:
+    singles = materialize(by_bucket(map_arrow(docs, counting, PACKED)).applyInArrow(counts, PACKED), "words")
+    totals = _totals(singles, models) + _totals(by_bucket(singles).applyInArrow(word_counts, PACKED), models)
+    d1, d2, d3 = (discounts(totals[level]) for level in (1, 2, 3))
+    found, total, vocabulary = totals[1][4], totals[1][5], max(1, int(totals[1][6].max()))
+    left1 = np.where(total > 0, (d1[:, 1] * totals[1][0] + d1[:, 2] * totals[1][1] + d1[:, 3] * (found - totals[1][0] - totals[1][1])) / np.maximum(total, 1), 1.0)
+
+    def losses(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        texts = table.filter(pa.array(kind == TEXTS)).select([*names, "chunk", "place"])
+        texts = texts.append_column("payload", pa.nulls(texts.num_rows, pa.binary()))
+        mine = table.filter(pa.array(kind == TRIGRAMS))
+        if not mine.num_rows:
+            return texts
+        bucket = Bucket(mine.column("payload").to_pylist(), models)
+        answers = table.filter(pa.array(kind == REPLIES))
+        home = bucket_of(bucket.words[bucket.last], buckets)
+        known = np.zeros((models, len(home)), np.int64)
+        for source, payload in zip(answers.column("chunk").to_pylist(), answers.column("payload").to_pylist(), strict=True):
+            known[:, home == source] = np.stack(unpack(payload))
+        loss = []
+        for m in range(models):
+            p1 = (known[m] - d1[m][np.minimum(known[m], 3)]) / max(total[m], 1) + left1[m] / vocabulary
+            loss.append(-np.log(bucket.probabilities(m, p1, d2[m], d3[m])))
+        out, a = [], 0
+        for e, where in zip(bucket.ends, mine.column("docs").to_pylist(), strict=True):
+            ids, at = np.unique(unpack(where)[0], return_inverse=True)
+            each = np.repeat(bucket.place[a:e], bucket.times[a:e])
+            out.append(pack(ids, *(np.bincount(at, x[each], len(ids)) for x in loss)))
+            a = e
+        blank = [pa.nulls(len(out), t) for _, t in kinds]
+        sums = pa.table([*blank, mine.column("chunk"), pa.nulls(len(out), pa.int64()), pa.array(out, pa.binary())], names=texts.column_names)
+        return pa.concat_tables([texts, sums])
+
+    def means(group: pa.Table) -> pa.Table:
         blobs = group.column("payload").to_pylist()
         given = group.filter(pa.array([b is None for b in blobs]))
         place = given.column("place").to_numpy()
         total = np.zeros((int(place.max()) + 1, models))
-        for ids, loss in sorted((unpack(b, "u4", "f8") for b in blobs if b is not None), key=lambda x: x[1].tobytes()):
-            total[ids] += loss.reshape(-1, models)
+        for ids, *loss in sorted((unpack(b) for b in blobs if b is not None), key=lambda x: x[1].tobytes()):
+            total[ids] += np.stack(loss, 1)
         mean = total[place] / np.maximum(given.column("n_words").to_numpy(), 1)[:, None]
         return pa.table([*[given.column(c) for c in names], pa.array(mean.tolist(), pa.list_(pa.float64()))], names=[*names, "losses"])
 
-    return both.groupBy("chunk").applyInArrow(rows, f"{fields}, losses array<double>")
-
-
-def table_rows(fields: list[tuple[str, pa.DataType, object]], chunk: int, n: int, dealt: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Rows of one chunk for mean_losses(): its n texts and its packed rows."""
-    names, kinds = [f[0] for f in fields], [f[1] for f in fields]
-    own = [c if isinstance(c, pa.Array) else pa.array(c, t) for _, t, c in fields]
-    rest = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
-    yield pa.RecordBatch.from_arrays([*own, pa.array([chunk] * n, pa.int64()), pa.array(range(n), pa.int64()), *rest], names=[*names, "chunk", "place", "bucket", "kind", "payload", "docs"])
-    m = len(dealt)
-    rest = [pa.array([d[0] for d in dealt], pa.int32()), pa.array([0] * m, pa.int32()), pa.array([d[1] for d in dealt], pa.binary()), pa.array([d[2] for d in dealt], pa.binary())]
-    yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in kinds], pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int64()), *rest], names=[*names, "chunk", "place", "bucket", "kind", "payload", "docs"])
-
-
-#: What table_rows() adds to the fields.
-ADDED = "chunk long, place long, bucket int, kind int, payload binary, docs binary"
+    rows = map_arrow(docs, scoring, f"{PACKED}, place long, {fields}")
+    asked = by_bucket(singles).applyInArrow(replies, PACKED)
+    both = by_bucket(rows.unionByName(asked, allowMissingColumns=True)).applyInArrow(losses, f"{fields}, chunk long, place long, payload binary")
+    out = materialize(both.groupBy("chunk").applyInArrow(means, f"{fields}, losses array<double>"), "losses")
+    discard(singles)
+    return out

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varileaf.llm import ngrams
-from varileaf.llm.common import batches, map_arrow, materialize, text_bytes
+from varileaf.llm.common import text_bytes
 
 #: A document's log perplexity may lie so many quartile distances (at least LEAST) beyond its language's quartiles.
 WIDTH, LEAST = 4.0, 0.02
@@ -63,22 +61,18 @@ _FIELDS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 def measure(docs: DataFrame) -> DataFrame:
     """The base counts and the log perplexity of every whole text."""
-    buckets = ngrams.buckets_for(docs)
-
-    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, frame in enumerate(batches(frames)):
-            texts = text_bytes(frame.column(1))
-            words = [t.split() for t in texts]
-            code_points = [sum(map(len, w)) if t.isascii() else len(b"".join(w).decode("utf-8", "replace")) for t, w in zip(texts, words, strict=True)]
-            symbols = [len(t) - len(t.translate(None, _SYMBOLS)) for t in texts]
-            sizes, dealt = ngrams.split(texts, [], buckets)
-            own = [frame.column(0), pa.array(sizes, pa.int64()), code_points, symbols, [duplicate_lines(t) for t in texts], pa.array(repeat_words(words)), frame.column(2)]
-            fields = [(f.split()[0], pa.string() if f.endswith("string") else pa.int64(), c) for f, c in zip(_FIELDS.split(", "), own, strict=True)]
-            yield from ngrams.table_rows(fields, ngrams.chunk_id(number), len(texts), dealt)
+
+    def read(frame: pa.RecordBatch) -> tuple[list[bytes], list[np.ndarray]]:
+        return text_bytes(frame.column(1)), []
+
+    def describe(frame: pa.RecordBatch, texts: list[bytes], sizes: np.ndarray) -> list:
+        words = [t.split() for t in texts]
+        code_points = [sum(map(len, w)) if t.isascii() else len(b"".join(w).decode("utf-8", "replace")) for t, w in zip(texts, words, strict=True)]
+        symbols = [len(t) - len(t.translate(None, _SYMBOLS)) for t in texts]
+        return [frame.column(0), pa.array(sizes, pa.int64()), code_points, symbols, [duplicate_lines(t) for t in texts], pa.array(repeat_words(words)), frame.column(2)]
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    table = materialize(map_arrow(given, rows, f"{_FIELDS}, {ngrams.ADDED}"), "trigrams")
-    return ngrams.mean_losses(table, _FIELDS, buckets, 1).withColumn("loss", F.col("losses")[0]).drop("losses")
+    return ngrams.mean_losses(given, read, describe, _FIELDS, 1).withColumn("loss", F.col("losses")[0]).drop("losses")
 
 
 def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -88,7 +82,7 @@ def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     an empty table gives none; other columns are left out. The model counts all texts; a language's band comes from all its documents
     that pass the base rules, and a document on its edge is kept.
     """
-    measured = materialize(measure(docs), "quality")
+    measured = measure(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     bands = measured.where(~failed).groupBy("lang").agg(F.percentile_approx("loss", F.array(F.lit(0.25), F.lit(0.75)), 10000).alias("q"))
     reach = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST)) * width
