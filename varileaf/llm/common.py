@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that Spark hands to Python carry at most about this many bytes of text at a time.
 CHUNK_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where the session has none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one set here where a session on one machine has none (tests)."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -25,21 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
         if found.isDefined():
             base = found.get()
         else:
-            base = "/tmp/checkpoints"
-            spark.sparkContext.setCheckpointDir(base)
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
             base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table once into the shared folder and returns a reader of it, so lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table once into the shared folder and returns a reader of it, so lineage ends there.
+
+    Spark deletes the shuffle files of the write when it ends: nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files behind a table made by materialize()."""
+    """Deletes the files behind a table made by materialize(). Nothing may read it later."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)

@@ -61,4 +61,16 @@ _ALL = (op1_packing, op2_transport_streams, op3_word_backoff_language, op4_knese
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = (str().join(map(chr, range(a, a + 26))) for a in (65, 97))
+#: Shingle sets as lists, pairs through common shingles, and the smallest doc_id that is reachable by links.
+_JACCARD = f"""with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from t),
+n as (select doc_id, len(s) as n from s),
+e as (select doc_id, md5_number(x) as x from (select doc_id, unnest(s) as x from s)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+r as (select a as doc_id, a as c from l union select r.doc_id, l.b from r join l on l.a = r.c),
+m as (select doc_id, min(c) as c from r group by 1)
+select n.doc_id, cast(n.n as bigint) as n_shingles, coalesce(m.c, n.doc_id) as component_id from n left join m using (doc_id)"""
+
+ORACLES: dict[str, str] = {"op10_jaccard_join": _JACCARD}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -52,19 +54,27 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit codes of the distinct words (blake2b digests), which of them each word is, one text after another, and how many words each text has."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    blank = _BLANK[data]
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    starts, stops = edge[::2], edge[1::2]
+    offsets = np.concatenate(([0], np.cumsum(stops - starts))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank])]).dictionary_encode()
+    codes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist()]), np.uint64)
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    return codes, words.indices.to_numpy(), np.diff(ends, prepend=0)
+
+
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its shingles of `width` words; a shorter text is one shingle, one without words has none.
 
     A-Z count as a-z; words are split at ASCII white space.
     """
-    joined = b" ".join(texts).lower() + b" "
-    data = np.frombuffer(joined, np.uint8)
-    blank = _BLANK[data]
-    edge = np.flatnonzero(np.diff(blank, prepend=True))
-    starts, stops = edge[::2], edge[1::2]
-    words = Prefix(data).of(starts, stops)
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    bounds = np.concatenate(([0], np.searchsorted(starts, text_ends))).tolist()
+    codes, index, sizes = distinct_words([t.lower() for t in texts])
+    words = codes[index]
+    bounds = np.concatenate(([0], np.cumsum(sizes))).tolist()
     n = len(words) - width + 1
     code = mixed(words[: max(n, 0)])
     for k in range(1, width):
