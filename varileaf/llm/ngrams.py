@@ -179,6 +179,7 @@ class Bucket:
         self.keys = keys[order][self.starts]
         self.times = np.concatenate([g[-1] for g in given])
         self.k3 = [np.add.reduceat(np.concatenate([g[4 + m] for g in given])[order], self.starts) for m in range(models)]
+        del given, parts, keys, order, number  # what was sent is not held while the bigrams are counted
         mask = (1 << 21) - 1
         self.keys2, self.at2 = np.unique(self.keys >> 42 << 21 | self.keys & mask, return_inverse=True)
         self.k2 = [np.bincount(self.at2, k > 0, len(self.keys2)).astype(np.int64) for k in self.k3]
