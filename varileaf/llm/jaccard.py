@@ -31,7 +31,7 @@ SAMPLE_DOCS, OFTEN, MOST_FREQUENT = 50_000, 500, 200_000
 COUNTED, MULTIPLIED, LEAST_BLOCKS = 1 << 21, 1 << 22, 4
 #: Columns of one smallest class are dealt to so many blocks; how often a block compares each class with one of a column before the product.
 SPLIT, TURNS = 4, 8
-#: Pairs that a block holds before it counts them.
+#: Pairs that a block counts at a time; one document's are not parted.
 PAIRS = 1 << 21
 
 
@@ -83,66 +83,49 @@ def incidence(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), rows, "doc_id long, n long, s1 long, s2 long")
 
 
-def block_pairs(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The product of one block: pairs of documents (by index, the lower first) with different labels and fitting sizes, and how many columns they share.
-
-    A pair may come more than once; its counts add up.
-    """
-    order = np.lexsort((size[doc], hashes))
-    h, d = hashes[order], doc[order]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(starts, len(h)))
-    mixed = np.zeros(len(starts), bool)
-    many = np.flatnonzero(lengths > 1)
-    if len(many):
-        own = label[d]
-        mixed[many] = np.maximum.reduceat(own, starts)[many] != np.minimum.reduceat(own, starts)[many]
-    held: list[np.ndarray] = []
-    total, n = 0, len(size)
-
-    def kept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        fits = (label[x] != label[y]) & (100 * size[x] >= PERCENT * size[y])
-        x, y = x[fits], y[fits]
-        return np.minimum(x, y).astype(np.int64) * n + np.maximum(x, y)
-
-    def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, k = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return codes // n, codes % n, k
-
-    for length in np.unique(lengths[mixed]).tolist():
-        at = starts[mixed & (lengths == length)]
-        if length <= 64:
-            i, j = np.triu_indices(length, 1)
-            step = max(1, PAIRS // len(i))
-            for a in range(0, len(at), step):
-                rows = d[at[a : a + step, None] + np.arange(length)]
-                held.append(kept(rows[:, i].ravel(), rows[:, j].ravel()))
-                total += len(held[-1])
-                if total > PAIRS:
-                    yield counted()
-                    total = 0
-        else:
-            for a in at.tolist():
-                run = d[a : a + length]
-                for i in range(length - 1):
-                    stop = int(np.searchsorted(size[run], 100 * size[run[i]] // PERCENT, side="right"))
-                    if stop > i + 1:
-                        held.append(kept(np.full(stop - i - 1, run[i]), run[i + 1 : stop]))
-                        total += len(held[-1])
-                        if total > PAIRS:
-                            yield counted()
-                            total = 0
-    if held:
-        yield counted()
-
-
 def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of equal values of a sorted array start, and their lengths."""
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
     return starts, np.diff(np.append(starts, len(h)))
 
 
+def block_pairs(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The product of one block: pairs of documents (by index, the smaller set first) with different labels and fitting sizes, and how many columns they share.
+
+    Each pair comes once, with all its columns: those in which a document is the smaller one are counted together.
+    """
+    n = len(size)
+    by_size = np.argsort(size, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by_size] = np.arange(n)
+    order = np.lexsort((rank[doc], hashes))
+    h, d = hashes[order], rank[doc][order]
+    size, label = size[by_size], label[by_size]
+    starts, lengths = _runs(h)
+    if not len(starts):
+        return
+    several = np.maximum.reduceat(label[d], starts) != np.minimum.reduceat(label[d], starts)
+    run = np.repeat(np.arange(len(starts)), lengths)
+    reach = np.searchsorted(size, 100 * size // PERCENT, side="right")
+    after = np.arange(1, len(d) + 1)
+    k = np.where(several[run], np.searchsorted(run * (n + 1) + d, run * (n + 1) + reach[d]) - after, 0)
+    own = np.argsort(d, kind="stable")
+    own = own[k[own] > 0]
+    first, _ = _runs(d[own])
+    edges = np.append(first, len(own))
+    total = np.concatenate(([0], np.cumsum(k[own])))[edges]
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1)
+        at = own[edges[a] : edges[b]]
+        x = np.repeat(d[at], k[at])
+        y = d[np.arange(len(x)) + np.repeat(after[at] - (np.cumsum(k[at]) - k[at]), k[at])]
+        other = label[x] != label[y]
+        codes, times = np.unique(x[other] * n + y[other], return_counts=True)
+        yield by_size[codes // n], by_size[codes % n], times
+        a = b
+
+
 def counted(docs: DataFrame, often: np.ndarray, blocks: int) -> DataFrame:
     """Packed rows for each part of the classes: cls, n and each (how many columns), low, df and head: the shingles of each class that another
     class has too, how many classes have them, and the smallest one.
