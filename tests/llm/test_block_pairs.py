@@ -1,6 +1,7 @@
 """The product of a block counts every pair whole, however many pairs there are."""
 
 import numpy as np
+import pyarrow as pa
 
 from varileaf.llm import jaccard
 
@@ -43,3 +44,9 @@ def test_links_of_crowded_columns(monkeypatch):
             parts.append(np.array([2] * 6 + [0] * 14, np.uint8))
     found = jaccard.block_links(np.arange(400), np.full(400, 20), lows, parts)
     assert sorted(tuple(sorted(x)) for x in found) == [(i, i + 1) for i in range(0, 400, 2)]
+
+
+def test_blocks_come_one_by_one():
+    frames = [pa.RecordBatch.from_pydict({"block": b, "x": x}, pa.schema({"block": pa.int64(), "x": pa.int64()})) for b, x in (([1, 1, 2], [0, 1, 2]), ([2], [3]), ([], []), ([2, 5], [4, 5]))]
+    found = [[(b, x) for f in block for b, x in zip(f.column(0).to_pylist(), f.column(1).to_pylist(), strict=True)] for block in jaccard.one_by_one(iter(frames))]
+    assert found == [[(1, 0), (1, 1)], [(2, 2), (2, 3), (2, 4)], [(5, 5)]]

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ COUNTED, MULTIPLIED, LEAST_BLOCKS = 1 << 21, 1 << 22, 4
 #: Columns of one smallest class are dealt to so many blocks; how often a block compares each class with one of a column before the product.
 SPLIT, TURNS = 4, 8
 #: Pairs that a block counts at a time; one document's are not parted.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -99,7 +100,7 @@ def block_pairs(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np
     rank = np.empty(n, np.int64)
     rank[by_size] = np.arange(n)
     order = np.lexsort((rank[doc], hashes))
-    h, d = hashes[order], rank[doc][order]
+    h, d = hashes[order], rank[doc][order].astype(np.int32)
     size, label = size[by_size], label[by_size]
     starts, lengths = _runs(h)
     if not len(starts):
@@ -121,11 +122,37 @@ def block_pairs(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np
         x = np.repeat(d[at], k[at])
         y = d[np.arange(len(x)) + np.repeat(after[at] - (np.cumsum(k[at]) - k[at]), k[at])]
         other = label[x] != label[y]
-        codes, times = np.unique(x[other] * n + y[other], return_counts=True)
+        codes, times = np.unique(x[other].astype(np.int64) * n + y[other], return_counts=True)
+        del x, y, other
         yield by_size[codes // n], by_size[codes % n], times
         a = b
 
 
+def together(table: DataFrame, column: str, *blocks: int) -> DataFrame:
+    """Rows of one block in one task, block by block; a task gets several blocks."""
+    return table.repartition(*blocks, column).sortWithinPartitions(column)
+
+
+def flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The bytes of a binary column as one array of numbers, not copied."""
+    edges = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(kind)
+
+
+def one_by_one(frames: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one block after another (the first column), so that a task holds the arrays of one only."""
+    held: list[pa.RecordBatch] = []
+    for frame in frames:
+        keys = frame.column(0).to_numpy()
+        for a, k in zip(*(x.tolist() for x in _runs(keys)), strict=True):
+            if held and held[0].column(0)[0].as_py() != keys[a]:
+                yield held
+                held = []
+            held.append(frame.slice(a, k))
+    if held:
+        yield held
+
+
 def counted(docs: DataFrame, often: np.ndarray, blocks: int) -> DataFrame:
     """Packed rows for each part of the classes: cls, n and each (how many columns), low, df and head: the shingles of each class that another
     class has too, how many classes have them, and the smallest one.
@@ -160,17 +187,19 @@ def counted(docs: DataFrame, often: np.ndarray, blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["block", "frequent", "cls", "n", "each", "low"])
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in one_by_one(frames):
+            yield from count_one(block)
+
+    def count_one(frames: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
-        parts: dict[bool, list[list[np.ndarray]]] = {False: [[], [], [], []], True: [[], [], [], []]}
-        for frame in frames:
-            for row in zip(*(c.to_pylist() for c in frame.columns[1:]), strict=True):
-                for held, raw, kind in zip(parts[row[0]], row[1:], (np.int64, np.int64, np.int64, np.uint64), strict=True):
-                    held.append(np.frombuffer(raw, kind))
-        for frequent_ones, held in parts.items():
-            if not held[0]:
+        table = pa.Table.from_batches(frames)
+        frames.clear()
+        for frequent_ones in (False, True):
+            held = table.filter(pc.equal(table["frequent"], frequent_ones))
+            if not held.num_rows:
                 continue
-            cls, n, each, h = (np.concatenate(x) for x in held)
-            held.clear()
+            cls, n, each, h = (np.concatenate([flat(c, kind) for c in held[name].chunks if len(c)]) for name, kind in (("cls", np.int64), ("n", np.int64), ("each", np.int64), ("low", np.uint64)))
+            del held
             ids, doc = np.unique(cls, return_inverse=True)
             sizes = np.empty(len(ids), np.int64)
             sizes[doc] = n
@@ -196,7 +225,7 @@ def counted(docs: DataFrame, often: np.ndarray, blocks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(target[a])]), *[pa.array([x.tobytes()], pa.binary()) for x in row]], names=["part", "cls", "n", "each", "low", "df", "head"])
 
     dealt = map_arrow(docs.select("text"), deal, "block long, frequent boolean, cls binary, n binary, each binary, low binary")
-    return map_arrow(dealt.repartition(blocks, "block"), count, "part long, cls binary, n binary, each binary, low binary, df binary, head binary")
+    return map_arrow(together(dealt, "block", blocks), count, "part long, cls binary, n binary, each binary, low binary, df binary, head binary")
 
 
 def columns(parts: DataFrame, blocks: int) -> DataFrame:
@@ -206,6 +235,10 @@ def columns(parts: DataFrame, blocks: int) -> DataFrame:
     """
 
     def chosen(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in one_by_one(frames):
+            yield from chosen_of(part)
+
+    def chosen_of(frames: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], [], [], [], []]
         for frame in frames:
             for column, values in zip(held, frame.columns[1:], strict=True):
@@ -248,7 +281,7 @@ def columns(parts: DataFrame, blocks: int) -> DataFrame:
     def batch(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], names=["block", "cls", "n", "low", "part"])
 
-    return map_arrow(parts.repartition("part"), chosen, "block long, cls long, n long, low binary, part binary")
+    return map_arrow(together(parts, "part"), chosen, "block long, cls long, n long, low binary, part binary")
 
 
 class Forest:
@@ -277,19 +310,21 @@ class Forest:
 
 
 def block_links(cls: np.ndarray, sizes: np.ndarray, lows: list[np.ndarray], parts: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links among the classes of a block that join all similar ones which have their share of first elements in it."""
-    whole = [np.sort(x) for x in lows]
+    """Links among the classes of a block that join all similar ones which have their share of first elements in it. `lows` are sorted in place."""
     here = [x[p == 2] for x, p in zip(lows, parts, strict=True)]
     owner = np.repeat(np.arange(len(cls)), [len(x) for x in here])
     hashes = np.concatenate(here)
     own, first = np.array([len(x) for x in here]), np.array([int((p > 0).sum()) for p in parts])
+    del here
+    for x in lows:
+        x.sort()
     forest, out = Forest(len(cls)), []
 
     def decide(a: np.ndarray, b: np.ndarray) -> None:
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             if forest.root(x) == forest.root(y):
                 continue
-            z = np.concatenate((whole[x], whole[y]))
+            z = np.concatenate((lows[x], lows[y]))
             z.sort(kind="stable")
             if np.count_nonzero(z[1:] == z[:-1]) >= needed(int(sizes[x]), int(sizes[y])):
                 forest.join(x, y)
@@ -321,19 +356,16 @@ def links(table: DataFrame, blocks: int) -> DataFrame:
     """Pairs (a, b) of similar classes that join all similar ones; table: what columns() gives."""
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(frames)
-        if not sum(f.num_rows for f in held):
-            return
-        block, cls, n = (np.concatenate([f.column(i).to_numpy() for f in held]) for i in range(3))
-        lows = [np.frombuffer(x, np.uint64) for f in held for x in f.column(3).to_pylist()]
-        parts = [np.frombuffer(x, np.uint8) for f in held for x in f.column(4).to_pylist()]
-        for b in np.unique(block):
-            at = np.flatnonzero(block == b)
-            at = at[np.argsort(cls[at], kind="stable")]
+        for held in one_by_one(frames):
+            cls, n = (np.concatenate([f.column(i).to_numpy() for f in held]) for i in (1, 2))
+            edges = np.cumsum(np.concatenate([pc.binary_length(f.column(4)).to_numpy() for f in held]))[:-1]
+            lows, parts = (np.split(np.concatenate([flat(f.column(i), kind) for f in held]), edges) for i, kind in ((3, np.uint64), (4, np.uint8)))
+            held.clear()
+            at = np.argsort(cls, kind="stable")
             found = block_links(cls[at], n[at], [lows[i] for i in at.tolist()], [parts[i] for i in at.tolist()])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return map_arrow(table.repartition(blocks, "block"), rows, "a long, b long")
+    return map_arrow(together(table, "block", blocks), rows, "a long, b long")
 
 
 def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
