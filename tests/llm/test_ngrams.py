@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from varileaf.llm import crossentropy, quality
+from varileaf.llm import crossentropy, ngrams, quality
 
 
 def off(counts, k):
@@ -66,3 +66,18 @@ def test_losses(spark):
         assert r.loss_target == pytest.approx(loss(target, t), rel=1e-9) and r.loss_background == pytest.approx(loss(every, t), rel=1e-9)
     for r in quality.apply_rules(docs).collect():
         assert r.perplexity == pytest.approx(math.exp(loss(every, split[r.doc_id])), rel=1e-9)
+
+
+def test_losses_with_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "OFTEN_BYTES", 200)
+    text = spark.createDataFrame([(t,) for t in texts()], "text string")
+    assert len(ngrams.buckets_for(text)[1]) > 5
+    test_losses(spark)
+
+
+def test_a_frequent_word_is_dealt_to_all_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "OFTEN_BYTES", 5000)
+    given = [" ".join(f"a{i}x{j} the" for j in range(100)) for i in range(30)]
+    buckets, often = ngrams.buckets_for(spark.createDataFrame([(t,) for t in given], "text string"))
+    sizes = [len(ngrams.Bucket([payload], 1, often).keys) for _, payload, _ in ngrams.split([t.encode() for t in given], [], buckets, often, False)[1]]
+    assert sum(sizes) == 6000 and max(sizes) < 1000  # about 3,000 of them have one middle word

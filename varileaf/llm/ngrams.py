@@ -1,8 +1,9 @@
 """Word trigram models with interpolated modified Kneser-Ney smoothing, in hash-partitioned sorted arrays that stay distributed.
 
 Trigrams (u, v, w) are dealt to buckets by the hash of their middle word, so the totals of a history (u, v) and the continuation counts of a
-bigram (v, w) are local to a bucket, which holds its trigrams as one sorted array of keys. The continuation counts of single words are summed in the
-bucket of the word and come back. Every batch of texts is one chunk: it sends each of its trigrams once, as places in a table of its words, with
+bigram (v, w) are local to a bucket, which holds its trigrams as one sorted array of keys. The trigrams around a frequent middle word are dealt by
+the hash of (u, v) instead; the continuation counts of its bigrams are summed in the bucket of v and come back. Those of single words are summed in
+the bucket of the word and come back. Every batch of texts is one chunk: it sends each of its trigrams once, as places in a table of its words, with
 the texts that they occur in, and gets sums of losses back. Rows between buckets are packed arrays; the driver sees counts of counts.
 """
 
@@ -16,15 +17,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varileaf.llm.common import batches, discard, map_arrow, materialize
+from varileaf.llm.common import batches, discard, map_arrow, materialize, text_bytes
 from varileaf.llm.rolling import distinct_words, mixed
 
 #: Bytes of text for each bucket and in a chunk, and the least number of buckets.
 BUCKET_BYTES, CHUNK, LEAST_BUCKETS = 16 << 20, 12 << 20, 12
+#: A word that as a middle one stands for more bytes than this has its trigrams dealt to all buckets; looked for in about so many texts. This decides
+#: the work, never the result.
+OFTEN_BYTES, SAMPLE_TEXTS = BUCKET_BYTES // 2, 20_000
 #: What stands before the first words of a text.
 START = 1
-#: Kinds of packed rows: trigrams, replies, texts, counts of counts.
-TRIGRAMS, REPLIES, TEXTS, COUNTS = range(4)
+#: Kinds of packed rows: trigrams (or the last words of bigrams), replies, texts, counts of counts, bigrams of frequent words, replies on them.
+TRIGRAMS, REPLIES, TEXTS, COUNTS, BIGRAMS, SUMS = range(6)
 PACKED = "bucket int, kind int, chunk long, payload binary, docs binary"
 _NAMES = ["bucket", "kind", "chunk", "payload", "docs"]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
@@ -70,8 +74,23 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed(h) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
 
-def buckets_for(docs: DataFrame) -> int:
-    return max(LEAST_BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+def buckets_for(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """How many buckets, and the codes of frequent words."""
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.count("text")).first()
+    if (size or 0) <= OFTEN_BYTES:
+        return LEAST_BUCKETS, np.zeros(0, np.uint64)
+    draw = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in batches(frames):
+            codes, index, _ = distinct_words(text_bytes(frame.column(0)))
+            k, least = np.bincount(index, minlength=len(codes)), len(index) * OFTEN_BYTES // (4 * size)
+            many = k > least
+            yield pa.RecordBatch.from_arrays([pa.array([0, *(codes[many] >> np.uint64(16)).tolist()], pa.int64()), pa.array([len(index), *k[many].tolist()], pa.int64())], names=["code", "n"])
+
+    found = map_arrow(docs.where(draw < min(1.0, SAMPLE_TEXTS / n)).select("text"), counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    words = max([r.n for r in found if not r.code], default=0)
+    return max(LEAST_BUCKETS, size // BUCKET_BYTES), np.sort(np.array([r.code for r in found if r.code and r.n * size > words * OFTEN_BYTES], np.uint64))
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -86,19 +105,19 @@ def _sorted(first: np.ndarray, second: np.ndarray, third: np.ndarray, size: int)
     return np.lexsort((third, second, first))
 
 
-def split(texts: list[bytes], member: list[np.ndarray], buckets: int, places: bool) -> tuple[np.ndarray, list[tuple[int, bytes, bytes | None]]]:
+def split(texts: list[bytes], member: list[np.ndarray], buckets: int, often: np.ndarray, places: bool) -> tuple[np.ndarray, list[tuple[int, bytes, bytes | None]]]:
     """Words of each text; and for each bucket its trigrams (a table of words, places of v, u and w in it, counts) and the texts they occur in.
 
-    member: for each further model, which texts it counts; the last model counts all. places: whether the texts are wanted.
+    member: for each further model, which texts it counts; the last model counts all. often: codes of frequent words. places: whether the texts are wanted.
     """
     codes, index, sizes = distinct_words(texts)
     if not len(index):
         return sizes, []
     # 48 bits of each word's code, and words numbered by code
     table, number = np.unique(np.concatenate((np.array([START], np.uint64), codes >> np.uint64(16))), return_inverse=True)
-    home = bucket_of(table, buckets)
-    turn = np.empty(len(table), np.int64)  # of a word as a middle one: bucket by bucket
-    turn[np.argsort(home, kind="stable")] = np.arange(len(table))
+    home, spread = bucket_of(table, buckets), np.isin(table, often)
+    turn = np.empty(len(table), np.int64)  # of a word as a middle one: bucket by bucket, frequent ones last
+    turn[np.argsort(np.where(spread, buckets, home), kind="stable")] = np.arange(len(table))
     w, start = number[index + 1], number[0]
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
     place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -106,16 +125,25 @@ def split(texts: list[bytes], member: list[np.ndarray], buckets: int, places: bo
     v[1:], u[2:] = w[:-1], w[:-2]
     v[place < 1] = u[place < 2] = start
     order = _sorted(turn[v], u, w, len(table))
+    first = len(order) - np.count_nonzero(spread[v])
+    if first < len(order):  # frequent words' trigrams go in among the others
+        to = home[v[order]]
+        rest = order[first:]
+        to[first:] = bucket_of(mixed(table[v[rest]]) + table[u[rest]], buckets)
+        again = np.argsort(to, kind="stable")
+        order, to = order[again], to[again]
+    else:
+        to = home[v[order]]
     v, u, w, doc = v[order], u[order], w[order], doc[order]
     starts = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
     counts = [*(np.add.reduceat(m[doc].astype(np.int64), starts) for m in member), np.diff(np.append(starts, len(w)))]
-    v, u, w, stops = v[starts], u[starts], w[starts], np.append(starts, len(doc))
-    first = _runs(home[v])
+    v, u, w, to, stops = v[starts], u[starts], w[starts], to[starts], np.append(starts, len(doc))
+    first = _runs(to)
     out = []
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(v)], strict=True):
         used, local = np.unique(np.concatenate((v[a:b], u[a:b], w[a:b])), return_inverse=True)
         payload = pack(steps(table[used]), *np.split(local, 3), *(k[a:b] for k in counts))
-        out.append((int(home[v[a]]), payload, pack(doc[stops[a] : stops[b]]) if places else None))
+        out.append((int(to[a]), payload, pack(doc[stops[a] : stops[b]]) if places else None))
     return sizes, out
 
 
@@ -160,7 +188,7 @@ def smoothed(starts: np.ndarray, k: np.ndarray, d: np.ndarray) -> tuple[np.ndarr
 class Bucket:
     """The trigrams of a bucket as sorted keys, and the bigrams and last words among them, with their counts under each model."""
 
-    def __init__(self, payloads: list[bytes], models: int):
+    def __init__(self, payloads: list[bytes], models: int, often: np.ndarray):
         given = [unpack(p) for p in payloads]
         self.words, number = np.unique(np.concatenate([codes_of(g[0]) for g in given]), return_inverse=True)
         if len(self.words) > 1 << 21:
@@ -184,11 +212,25 @@ class Bucket:
         self.keys2, self.at2 = np.unique(self.keys >> 42 << 21 | self.keys & mask, return_inverse=True)
         self.k2 = [np.bincount(self.at2, k > 0, len(self.keys2)).astype(np.int64) for k in self.k3]
         self.last, self.at1 = np.unique(self.keys2 & mask, return_inverse=True)
-        self.k1 = [np.bincount(self.at1, k > 0, len(self.last)).astype(np.int64) for k in self.k2]
-
-    def probabilities(self, m: int, p1: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> np.ndarray:
-        """Of each trigram under model m, given the last words' own."""
+        self.spread = np.isin(self.words, often)[self.keys2 >> 21]  # bigrams that other buckets may have too
+        self.k1 = [np.bincount(self.at1, (k > 0) & ~self.spread, len(self.last)).astype(np.int64) for k in self.k2]
+
+    def shared(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By bucket of their first words: that, places of the bigrams that other buckets may have too, and where their first words change."""
+        at = np.flatnonzero(self.spread)
+        first = self.keys2[at] >> 21
+        home = bucket_of(self.words[first], buckets)
+        for b in np.unique(home).tolist():
+            yield b, at[home == b], _runs(first[home == b])
+
+    def probabilities(self, m: int, p1: np.ndarray, d2: np.ndarray, d3: np.ndarray, sums: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """Of each trigram under model m, given the last words' own. sums: what other buckets' counts add up to for bigrams of frequent words."""
         own, left = smoothed(_runs(self.keys2 >> 21), self.k2[m], d2)
+        for at, starts, k, n in sums:
+            lengths, total = np.diff(np.append(starts, len(at))), n[m, 0]
+            rest = np.where(total > 0, (d2[1:, None] * n[m, 1:]).sum(0) / np.maximum(total, 1), 1.0)
+            own[at] = (k[m] - d2[np.minimum(k[m], 3)]) / np.repeat(np.maximum(total, 1), lengths)
+            left[at] = np.repeat(rest, lengths)
         p2 = own + left * p1[self.at1]
         own, left = smoothed(_runs(self.keys >> 21), self.k3[m], d3)
         return own + left * p2[self.at2]
@@ -202,17 +244,17 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
     """
     kinds = [(f.split()[0], pa.string() if f.endswith("string") else pa.int64()) for f in fields.split(", ")]
     names = [n for n, _ in kinds]
-    buckets = buckets_for(docs)
+    buckets, often = buckets_for(docs)
 
     def counting(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, most=CHUNK):
-            yield from packed([(b, TRIGRAMS, 0, payload, None) for b, payload, _ in split(*read(frame), buckets, False)[1]]).to_batches()
+            yield from packed([(b, TRIGRAMS, 0, payload, None) for b, payload, _ in split(*read(frame), buckets, often, False)[1]]).to_batches()
 
     def scoring(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, frame in enumerate(batches(frames, most=CHUNK)):
             texts, member = read(frame)
             chunk, n = TaskContext.get().partitionId() << 32 | number, len(texts)
-            sizes, dealt = split(texts, member, buckets, True)
+            sizes, dealt = split(texts, member, buckets, often, True)
             own = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(describe(frame, texts, sizes), kinds, strict=True)]
             first = [pa.array([x] * n, t) for x, t in zip((chunk % buckets, TEXTS, chunk, None, None), _KINDS, strict=True)]
             yield pa.RecordBatch.from_arrays([*first, pa.array(range(n), pa.int64()), *own], names=[*_NAMES, "place", *names])
@@ -222,13 +264,39 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
                 yield pa.RecordBatch.from_arrays([*part.columns, *blank], names=[*_NAMES, "place", *names])
 
     def counts(table: pa.Table) -> pa.Table:
-        found = Bucket(table.column("payload").to_pylist(), models)
-        source, words = table.column("bucket")[0].as_py(), found.words[found.last]
+        found = Bucket(table.column("payload").to_pylist(), models, often)
+        source, out = table.column("bucket")[0].as_py(), []
+        for b, at, _ in found.shared(buckets):
+            used, local = np.unique(np.concatenate((found.keys2[at] >> 21, found.keys2[at] & (1 << 21) - 1)), return_inverse=True)
+            out.append((b, BIGRAMS, source, pack(steps(found.words[used]), *np.split(local, 2), *(k[at] for k in found.k2)), None))
+        return packed([_counts(3, found.k3), _counts(2, [k[~found.spread] for k in found.k2]), *sent(source, found.words[found.last], found.k1), *out])
+
+    def sent(source: int, words: np.ndarray, k1: list[np.ndarray]) -> list[tuple]:
+        """Rows for the buckets of the words."""
         home = bucket_of(words, buckets)
         order = np.argsort(home, kind="stable")
         edges = np.searchsorted(home[order], np.arange(buckets + 1)).tolist()
-        sent = [(b, TRIGRAMS, source, pack(steps(words[s]), *(k[s] for k in found.k1)), None) for b in range(buckets) if len(s := order[edges[b] : edges[b + 1]])]
-        return packed([_counts(3, found.k3), _counts(2, found.k2), *sent])
+        return [(b, TRIGRAMS, source, pack(steps(words[s]), *(k[s] for k in k1)), None) for b in range(buckets) if len(s := order[edges[b] : edges[b + 1]])]
+
+    def bigrams(table: pa.Table) -> pa.Table:
+        """Of the frequent words of a bucket: the bigrams of all buckets added up; counts for the driver and for the last words, and what each bucket is told."""
+        given = sorted(zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist(), strict=True), key=lambda x: x[0])
+        got = [unpack(p) for _, p in given]
+        words, number = np.unique(np.concatenate([codes_of(g[0]) for g in got]), return_inverse=True)
+        bases = np.cumsum([0, *(len(g[0]) for g in got[:-1])]).tolist()
+        keys, place = np.unique(np.concatenate([number[a + g[1]] << 32 | number[a + g[2]] for a, g in zip(bases, got, strict=True)]), return_inverse=True)
+        k = np.array([np.bincount(place, np.concatenate([g[3 + m] for g in got]), len(keys)) for m in range(models)]).astype(np.int64)
+        starts = _runs(keys >> 32)
+        n = np.array([[np.add.reduceat(x, starts) for x in (row, row == 1, row == 2, row > 2)] for row in k]).astype(np.int64)
+        first = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+        last, at = np.unique(keys & (1 << 32) - 1, return_inverse=True)
+        out, a = [_counts(2, list(k)), *sent(-1, words[last], [np.bincount(at, row > 0, len(last)).astype(np.int64) for row in k])], 0
+        mine = table.column("bucket")[0].as_py()
+        for (source, _), g in zip(given, got, strict=True):
+            own = place[a : a + len(g[1])]
+            a += len(g[1])
+            out.append((source, SUMS, mine, pack(k[:, own].ravel(), n[:, :, np.unique(first[own])].ravel()), None))
+        return packed(out)
 
     def summed(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, list[np.ndarray]]:
         """Sources of a word bucket's rows, where each ends, the places of its words among all, and their sums."""
@@ -244,13 +312,18 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
     def replies(table: pa.Table) -> pa.Table:
         mine = table.column("bucket")[0].as_py()
         sources, ends, place, sums = summed(table)
-        return packed([(b, REPLIES, mine, pack(*(k[place[a:e]] for k in sums)), None) for b, a, e in zip(sources, [0, *ends[:-1]], ends, strict=True)])
+        return packed([(b, REPLIES, mine, pack(*(k[place[a:e]] for k in sums)), None) for b, a, e in zip(sources, [0, *ends[:-1]], ends, strict=True) if b >= 0])
 
     def by_bucket(df: DataFrame):
         return df.where("bucket >= 0").groupBy("bucket")
 
     singles = materialize(by_bucket(map_arrow(docs, counting, PACKED)).applyInArrow(counts, PACKED), "words")
-    totals = _totals(singles, models) + _totals(by_bucket(singles).applyInArrow(word_counts, PACKED), models)
+    told, total2 = None, 0
+    if len(often):
+        told = materialize(by_bucket(singles.where(F.col("kind") == BIGRAMS)).applyInArrow(bigrams, PACKED), "bigrams")
+        total2 = _totals(told, models)
+    words = (singles.union(told) if told else singles).where(F.col("kind") == TRIGRAMS)
+    totals = _totals(singles, models) + total2 + _totals(by_bucket(words).applyInArrow(word_counts, PACKED), models)
     d1, d2, d3 = (discounts(totals[level]) for level in (1, 2, 3))
     found, total, vocabulary = totals[1][4], totals[1][5], max(1, int(totals[1][6].max()))
     left1 = np.where(total > 0, (d1[:, 1] * totals[1][0] + d1[:, 2] * totals[1][1] + d1[:, 3] * (found - totals[1][0] - totals[1][1])) / np.maximum(total, 1), 1.0)
@@ -262,16 +335,22 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
         mine = table.filter(pa.array(kind == TRIGRAMS))
         if not mine.num_rows:
             return texts
-        bucket = Bucket(mine.column("payload").to_pylist(), models)
+        bucket = Bucket(mine.column("payload").to_pylist(), models, often)
         answers = table.filter(pa.array(kind == REPLIES))
         home = bucket_of(bucket.words[bucket.last], buckets)
         known = np.zeros((models, len(home)), np.int64)
         for source, payload in zip(answers.column("chunk").to_pylist(), answers.column("payload").to_pylist(), strict=True):
             known[:, home == source] = np.stack(unpack(payload))
+        of = table.filter(pa.array(kind == SUMS))
+        of = dict(zip(of.column("chunk").to_pylist(), of.column("payload").to_pylist(), strict=True))
+        sums = []
+        for b, at, starts in bucket.shared(buckets):
+            k, n = unpack(of[b])
+            sums.append((at, starts, k.reshape(models, -1), n.reshape(models, 4, -1)))
         loss = []
         for m in range(models):
             p1 = (known[m] - d1[m][np.minimum(known[m], 3)]) / max(total[m], 1) + left1[m] / vocabulary
-            loss.append(-np.log(bucket.probabilities(m, p1, d2[m], d3[m])))
+            loss.append(-np.log(bucket.probabilities(m, p1, d2[m], d3[m], sums)))
         out, a = [], 0
         for e, where in zip(bucket.ends, mine.column("docs").to_pylist(), strict=True):
             ids, at = np.unique(unpack(where)[0], return_inverse=True)
@@ -293,8 +372,12 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
         return pa.table([*[given.column(c) for c in names], pa.array(mean.tolist(), pa.list_(pa.float64()))], names=[*names, "losses"])
 
     rows = map_arrow(docs, scoring, f"{PACKED}, place long, {fields}")
-    asked = by_bucket(singles).applyInArrow(replies, PACKED)
+    asked = by_bucket(words).applyInArrow(replies, PACKED)
+    if told:
+        asked = asked.union(told.where(F.col("kind") == SUMS))
     both = by_bucket(rows.unionByName(asked, allowMissingColumns=True)).applyInArrow(losses, f"{fields}, chunk long, place long, payload binary")
     out = materialize(both.groupBy("chunk").applyInArrow(means, f"{fields}, losses array<double>"), "losses")
     discard(singles)
+    if told:
+        discard(told)
     return out
