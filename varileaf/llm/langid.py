@@ -243,4 +243,4 @@ def confident(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> Data
                 keep.append(lang != "und" and score >= least)
             yield frame.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_arrow(docs, rows, docs.schema)

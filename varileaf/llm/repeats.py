@@ -25,6 +25,8 @@ LENGTH, K = 400, 100
 HOT = 4096
 #: Bytes of a shard's suffix array, and starts that one piece of a long text has.
 SHARD, PIECE = 3 << 20, 1 << 22
+#: Bytes of texts that are cut into segments at a time; each byte takes about sixty in arrays.
+BATCH = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -78,7 +80,7 @@ def _pieces(texts: list[bytes]) -> tuple[list[int], list[int], list[bytes]]:
 
 def _found(docs: DataFrame) -> DataFrame:
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in batches(frames, most=2 << 20):
+        for frame in batches(frames, most=BATCH):
             index, base, texts = _pieces(text_bytes(frame.column(2)))
             d, r = (frame.column(c).to_numpy()[index] for c in (0, 1))
             base = np.array(base)
@@ -265,5 +267,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
             given[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(given, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    kept = joined.mapInArrow(rows, docs.schema)
+    kept = map_arrow(joined, rows, docs.schema)
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else kept
