@@ -81,3 +81,27 @@ def test_a_frequent_word_is_dealt_to_all_buckets(spark, monkeypatch):
     buckets, often = ngrams.buckets_for(spark.createDataFrame([(t,) for t in given], "text string"))
     sizes = [len(ngrams.Bucket([payload], 1, often).keys) for _, payload, _ in ngrams.split([t.encode() for t in given], [], buckets, often, False)[1]]
     assert sum(sizes) == 6000 and max(sizes) < 1000  # about 3,000 of them have one middle word
+
+
+def test_losses_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(ngrams, "OFTEN_BYTES", 200)
+    assert len(ngrams._sampled(spark.createDataFrame([(t,) for t in texts()], "text string"))[2]) > 30
+    test_losses(spark)
+
+
+def test_rounds_share_the_buckets():
+    given = [(t or "").encode() for t in texts()]
+    often = ngrams._NONE
+    whole = {b: (p, d) for b, p, d in ngrams.split(given, [], 50, often, True)[1]}
+    rounds = [{b: (p, d) for b, p, d in ngrams.split(given, [], 50, often, True, turn=(i, 3))[1]} for i in range(3)]
+    assert all(b % 3 == i for i, r in enumerate(rounds) for b in r) and rounds[0] | rounds[1] | rounds[2] == whole
+
+
+def test_many_buckets_take_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "OFTEN_BYTES", 5000)
+    rng = random.Random(5)
+    given = [" ".join(f"word{int(3000 * rng.random() ** 3)}" for _ in range(200)) for _ in range(500)]
+    _, often, *rest = getattr(ngrams, "_sampled", ngrams.buckets_for)(spark.createDataFrame([(t,) for t in given], "text string"))
+    sent = [p for _, p, _ in ngrams.split([t.encode() for t in given], [], 400, often, False, *rest)[1]]
+    assert sum(map(len, sent)) < 6.5 * 100_000  # bytes a trigram

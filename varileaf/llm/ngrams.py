@@ -3,13 +3,15 @@
 Trigrams (u, v, w) are dealt to buckets by the hash of their middle word, so the totals of a history (u, v) and the continuation counts of a
 bigram (v, w) are local to a bucket, which holds its trigrams as one sorted array of keys. The trigrams around a frequent middle word are dealt by
 the hash of (u, v) instead; the continuation counts of its bigrams are summed in the bucket of v and come back. Those of single words are summed in
-the bucket of the word and come back. Every batch of texts is one chunk: it sends each of its trigrams once, as places in a table of its words, with
-the texts that they occur in, and gets sums of losses back. Rows between buckets are packed arrays; the driver sees counts of counts.
+the bucket of the word and come back. Every batch of texts is one chunk: it sends each of its trigrams once, with the texts that they occur in, and gets sums of
+losses back. Common words (found in the sample) are numbers that all know; the others are places in a table that goes along. Rows between buckets
+are packed arrays; the driver sees the sample's common words and counts of counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,13 @@ BUCKET_BYTES, CHUNK, LEAST_BUCKETS = 16 << 20, 12 << 20, 12
 #: A word that as a middle one stands for more bytes than this has its trigrams dealt to all buckets; looked for in about so many texts. This decides
 #: the work, never the result.
 OFTEN_BYTES, SAMPLE_TEXTS = BUCKET_BYTES // 2, 20_000
+#: So many of the sample's words are common ones. This decides how words are written, never the result.
+COMMON = 1 << 18
 #: What stands before the first words of a text.
 START = 1
+#: Sums of losses are sent in so many steps for each unit.
+STEPS = float(1 << 36)
+_NONE = np.zeros(0, np.uint64)
 #: Kinds of packed rows: trigrams (or the last words of bigrams), replies, texts, counts of counts, bigrams of frequent words, replies on them.
 TRIGRAMS, REPLIES, TEXTS, COUNTS, BIGRAMS, SUMS = range(6)
 PACKED = "bucket int, kind int, chunk long, payload binary, docs binary"
@@ -74,23 +81,32 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed(h) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
 
-def buckets_for(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """How many buckets, and the codes of frequent words."""
+def _sampled(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many buckets, the codes of frequent words, and those of common words, the most common first."""
     size, n = docs.agg(F.sum(F.octet_length("text")), F.count("text")).first()
     if (size or 0) <= OFTEN_BYTES:
-        return LEAST_BUCKETS, np.zeros(0, np.uint64)
+        return LEAST_BUCKETS, _NONE, _NONE
     draw = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
             codes, index, _ = distinct_words(text_bytes(frame.column(0)))
-            k, least = np.bincount(index, minlength=len(codes)), len(index) * OFTEN_BYTES // (4 * size)
-            many = k > least
-            yield pa.RecordBatch.from_arrays([pa.array([0, *(codes[many] >> np.uint64(16)).tolist()], pa.int64()), pa.array([len(index), *k[many].tolist()], pa.int64())], names=["code", "n"])
+            code = np.concatenate((np.zeros(1, np.int64), (codes >> np.uint64(16)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.concatenate(([len(index)], np.bincount(index, minlength=len(codes)))))], names=["code", "n"])
+
+    kept = materialize(map_arrow(docs.where(draw < min(1.0, SAMPLE_TEXTS / n)).select("text"), counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1"), "sample")
+    found = kept.toArrow()
+    discard(kept)
+    code, k = (found.column(c).to_numpy() for c in ("code", "n"))
+    words = int(k[code == 0].max(initial=0))
+    code, k = code[code > 0], k[code > 0]
+    order = np.lexsort((code, -k))[:COMMON]
+    return max(LEAST_BUCKETS, size // BUCKET_BYTES), np.sort(code[k * size > words * OFTEN_BYTES].astype(np.uint64)), np.concatenate((np.array([START], np.uint64), code[order].astype(np.uint64)))
 
-    found = map_arrow(docs.where(draw < min(1.0, SAMPLE_TEXTS / n)).select("text"), counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    words = max([r.n for r in found if not r.code], default=0)
-    return max(LEAST_BUCKETS, size // BUCKET_BYTES), np.sort(np.array([r.code for r in found if r.code and r.n * size > words * OFTEN_BYTES], np.uint64))
+
+def buckets_for(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """How many buckets, and the codes of frequent words."""
+    return _sampled(docs)[:2]
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -105,26 +121,41 @@ def _sorted(first: np.ndarray, second: np.ndarray, third: np.ndarray, size: int)
     return np.lexsort((third, second, first))
 
 
-def split(texts: list[bytes], member: list[np.ndarray], buckets: int, often: np.ndarray, places: bool) -> tuple[np.ndarray, list[tuple[int, bytes, bytes | None]]]:
-    """Words of each text; and for each bucket its trigrams (a table of words, places of v, u and w in it, counts) and the texts they occur in.
+def split(texts: list[bytes], member: list[np.ndarray], buckets: int, often: np.ndarray, places: bool, common: np.ndarray = _NONE, turn: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, list[tuple[int, bytes, bytes | None]]]:
+    """Words of each text; and for each bucket its trigrams (a table of words that aren't common; the numbers of v and how many trigrams each has,
+    the differences of u within these, w, and counts) and the texts they occur in.
 
     member: for each further model, which texts it counts; the last model counts all. often: codes of frequent words. places: whether the texts are wanted.
+    turn: of so many rounds the one whose buckets are wanted.
     """
     codes, index, sizes = distinct_words(texts)
     if not len(index):
         return sizes, []
-    # 48 bits of each word's code, and words numbered by code
+    # 48 bits of each word's code; words are numbered as the common ones are, the others after them by code
     table, number = np.unique(np.concatenate((np.array([START], np.uint64), codes >> np.uint64(16))), return_inverse=True)
+    known = np.argsort(common)
+    at = np.minimum(np.searchsorted(common, table, sorter=known), max(0, len(common) - 1))
+    rare = common[known[at]] != table if len(common) else np.ones(len(table), bool)
+    turned = len(common) + np.cumsum(rare) - 1
+    turned[~rare] = known[at[~rare]]
+    table, number = np.concatenate((common, table[rare])), turned[number]
     home, spread = bucket_of(table, buckets), np.isin(table, often)
-    turn = np.empty(len(table), np.int64)  # of a word as a middle one: bucket by bucket, frequent ones last
-    turn[np.argsort(np.where(spread, buckets, home), kind="stable")] = np.arange(len(table))
+    rank = np.empty(len(table), np.int64)  # of a word as a middle one: bucket by bucket, frequent ones last
+    rank[np.argsort(np.where(spread, buckets, home), kind="stable")] = np.arange(len(table))
     w, start = number[index + 1], number[0]
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
     place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     v, u = np.full(len(w), start), np.full(len(w), start)
     v[1:], u[2:] = w[:-1], w[:-2]
     v[place < 1] = u[place < 2] = start
-    order = _sorted(turn[v], u, w, len(table))
+    if turn[1] > 1:
+        to, far = home[v], np.flatnonzero(spread[v])
+        to[far] = bucket_of(mixed(table[v[far]]) + table[u[far]], buckets)
+        own = to % turn[1] == turn[0]
+        v, u, w, doc = v[own], u[own], w[own], doc[own]
+        if not len(v):
+            return sizes, []
+    order = _sorted(rank[v], u, w, len(table))
     first = len(order) - np.count_nonzero(spread[v])
     if first < len(order):  # frequent words' trigrams go in among the others
         to = home[v[order]]
@@ -141,8 +172,15 @@ def split(texts: list[bytes], member: list[np.ndarray], buckets: int, often: np.
     first = _runs(to)
     out = []
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(v)], strict=True):
-        used, local = np.unique(np.concatenate((v[a:b], u[a:b], w[a:b])), return_inverse=True)
-        payload = pack(steps(table[used]), *np.split(local, 3), *(k[a:b] for k in counts))
+        of = np.concatenate((v[a:b], u[a:b], w[a:b]))
+        other = np.flatnonzero(of >= len(common))
+        used, of[other] = np.unique(of[other], return_inverse=True)
+        of[other] += len(common)
+        middle, left, right = np.split(of, 3)
+        new = _runs(middle)
+        apart = np.diff(left, prepend=0)
+        apart[new] = left[new]
+        payload = pack(steps(table[used]), middle[new], np.diff(np.append(new, b - a)), apart, right, *(k[a:b] for k in counts))
         out.append((int(to[a]), payload, pack(doc[stops[a] : stops[b]]) if places else None))
     return sizes, out
 
@@ -188,16 +226,19 @@ def smoothed(starts: np.ndarray, k: np.ndarray, d: np.ndarray) -> tuple[np.ndarr
 class Bucket:
     """The trigrams of a bucket as sorted keys, and the bigrams and last words among them, with their counts under each model."""
 
-    def __init__(self, payloads: list[bytes], models: int, often: np.ndarray):
+    def __init__(self, payloads: list[bytes], models: int, often: np.ndarray, common: np.ndarray = _NONE):
         given = [unpack(p) for p in payloads]
-        self.words, number = np.unique(np.concatenate([codes_of(g[0]) for g in given]), return_inverse=True)
+        self.words, number = np.unique(np.concatenate([common, *(codes_of(g[0]) for g in given)]), return_inverse=True)
         if len(self.words) > 1 << 21:
             raise ValueError("more distinct words in a bucket than its keys tell apart; lower BUCKET_BYTES")
-        parts, at = [], 0
+        parts, at = [], len(common)
         for g in given:
-            own = number[at : at + len(g[0])]
+            own = np.concatenate((number[: len(common)], number[at : at + len(g[0])]))
             at += len(g[0])
-            parts.append(own[g[1]] << 42 | own[g[2]] << 21 | own[g[3]])
+            sums = np.cumsum(g[3])
+            first = np.cumsum(g[2]) - g[2]
+            left = sums - np.repeat(sums[first] - g[3][first], g[2])
+            parts.append(np.repeat(own[g[1]], g[2]) << 42 | own[left] << 21 | own[g[4]])
         self.ends = np.cumsum([len(p) for p in parts]).tolist()
         keys = np.concatenate(parts)
         order = np.argsort(keys, kind="stable")
@@ -206,7 +247,7 @@ class Bucket:
         self.place[order] = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(keys))))
         self.keys = keys[order][self.starts]
         self.times = np.concatenate([g[-1] for g in given])
-        self.k3 = [np.add.reduceat(np.concatenate([g[4 + m] for g in given])[order], self.starts) for m in range(models)]
+        self.k3 = [np.add.reduceat(np.concatenate([g[5 + m] for g in given])[order], self.starts) for m in range(models)]
         del given, parts, keys, order, number  # what was sent is not held while the bigrams are counted
         mask = (1 << 21) - 1
         self.keys2, self.at2 = np.unique(self.keys >> 42 << 21 | self.keys & mask, return_inverse=True)
@@ -236,35 +277,44 @@ class Bucket:
         return own + left * p2[self.at2]
 
 
-def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str, models: int) -> DataFrame:
+def _fixed(x: np.ndarray) -> np.ndarray:
+    """Losses in whole steps, whose sums don't depend on their order."""
+    return np.maximum(np.rint(x * STEPS), 0.0)
+
+
+def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str, models: int, rounds: int = 1) -> DataFrame:
     """The fields of each text and losses, the mean over its words under each model; 0 for a text without words.
 
     read: of an Arrow batch of docs, its texts and the members of the models but the last. describe: of the batch, its texts and their
-    numbers of words, the columns of `fields`. The texts are split twice, once to count and once to score, so that no table of trigrams is stored.
+    numbers of words, the columns of `fields`. The texts are split again to score, so that no table of trigrams is stored; of many buckets, one in
+    `rounds` is scored at a time, so that less is on the disk, and the texts are split in each of the rounds.
     """
     kinds = [(f.split()[0], pa.string() if f.endswith("string") else pa.int64()) for f in fields.split(", ")]
     names = [n for n, _ in kinds]
-    buckets, often = buckets_for(docs)
+    buckets, often, common = _sampled(docs)
 
     def counting(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, most=CHUNK):
-            yield from packed([(b, TRIGRAMS, 0, payload, None) for b, payload, _ in split(*read(frame), buckets, often, False)[1]]).to_batches()
-
-    def scoring(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, frame in enumerate(batches(frames, most=CHUNK)):
-            texts, member = read(frame)
-            chunk, n = TaskContext.get().partitionId() << 32 | number, len(texts)
-            sizes, dealt = split(texts, member, buckets, often, True)
-            own = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(describe(frame, texts, sizes), kinds, strict=True)]
-            first = [pa.array([x] * n, t) for x, t in zip((chunk % buckets, TEXTS, chunk, None, None), _KINDS, strict=True)]
-            yield pa.RecordBatch.from_arrays([*first, pa.array(range(n), pa.int64()), *own], names=[*_NAMES, "place", *names])
-            rows = packed([(b, TRIGRAMS, chunk, payload, where) for b, payload, where in dealt])
-            for part in rows.to_batches():
-                blank = [pa.nulls(part.num_rows, t) for t in (pa.int64(), *[t for _, t in kinds])]
-                yield pa.RecordBatch.from_arrays([*part.columns, *blank], names=[*_NAMES, "place", *names])
+            yield from packed([(b, TRIGRAMS, 0, payload, None) for b, payload, _ in split(*read(frame), buckets, often, False, common)[1]]).to_batches()
+
+    def scoring(turn: tuple[int, int]) -> Callable:
+        def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for number, frame in enumerate(batches(frames, most=CHUNK)):
+                texts, member = read(frame)
+                chunk, n = TaskContext.get().partitionId() << 32 | number, len(texts)
+                sizes, dealt = split(texts, member, buckets, often, True, common, turn)
+                if not turn[0]:
+                    own = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(describe(frame, texts, sizes), kinds, strict=True)]
+                    first = [pa.array([x] * n, t) for x, t in zip((chunk % buckets, TEXTS, chunk, None, None), _KINDS, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*first, pa.array(range(n), pa.int64()), *own], names=[*_NAMES, "place", *names])
+                for part in packed([(b, TRIGRAMS, chunk, payload, where) for b, payload, where in dealt]).to_batches():
+                    blank = [pa.nulls(part.num_rows, t) for t in (pa.int64(), *[t for _, t in kinds])]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *blank], names=[*_NAMES, "place", *names])
+
+        return rows
 
     def counts(table: pa.Table) -> pa.Table:
-        found = Bucket(table.column("payload").to_pylist(), models, often)
+        found = Bucket(table.column("payload").to_pylist(), models, often, common)
         source, out = table.column("bucket")[0].as_py(), []
         for b, at, _ in found.shared(buckets):
             used, local = np.unique(np.concatenate((found.keys2[at] >> 21, found.keys2[at] & (1 << 21) - 1)), return_inverse=True)
@@ -323,7 +373,8 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
         told = materialize(by_bucket(singles.where(F.col("kind") == BIGRAMS)).applyInArrow(bigrams, PACKED), "bigrams")
         total2 = _totals(told, models)
     words = (singles.union(told) if told else singles).where(F.col("kind") == TRIGRAMS)
-    totals = _totals(singles, models) + total2 + _totals(by_bucket(words).applyInArrow(word_counts, PACKED), models)
+    told1 = materialize(by_bucket(words).applyInArrow(word_counts, PACKED), "totals")
+    totals = _totals(singles, models) + total2 + _totals(told1, models)
     d1, d2, d3 = (discounts(totals[level]) for level in (1, 2, 3))
     found, total, vocabulary = totals[1][4], totals[1][5], max(1, int(totals[1][6].max()))
     left1 = np.where(total > 0, (d1[:, 1] * totals[1][0] + d1[:, 2] * totals[1][1] + d1[:, 3] * (found - totals[1][0] - totals[1][1])) / np.maximum(total, 1), 1.0)
@@ -335,7 +386,7 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
         mine = table.filter(pa.array(kind == TRIGRAMS))
         if not mine.num_rows:
             return texts
-        bucket = Bucket(mine.column("payload").to_pylist(), models, often)
+        bucket = Bucket(mine.column("payload").to_pylist(), models, often, common)
         answers = table.filter(pa.array(kind == REPLIES))
         home = bucket_of(bucket.words[bucket.last], buckets)
         known = np.zeros((models, len(home)), np.int64)
@@ -350,12 +401,12 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
         loss = []
         for m in range(models):
             p1 = (known[m] - d1[m][np.minimum(known[m], 3)]) / max(total[m], 1) + left1[m] / vocabulary
-            loss.append(-np.log(bucket.probabilities(m, p1, d2[m], d3[m], sums)))
+            loss.append(_fixed(-np.log(bucket.probabilities(m, p1, d2[m], d3[m], sums))))
         out, a = [], 0
         for e, where in zip(bucket.ends, mine.column("docs").to_pylist(), strict=True):
             ids, at = np.unique(unpack(where)[0], return_inverse=True)
             each = np.repeat(bucket.place[a:e], bucket.times[a:e])
-            out.append(pack(ids, *(np.bincount(at, x[each], len(ids)) for x in loss)))
+            out.append(pack(ids, *(np.bincount(at, x[each], len(ids)).astype(np.uint64) for x in loss)))
             a = e
         blank = [pa.nulls(len(out), t) for _, t in kinds]
         sums = pa.table([*blank, mine.column("chunk"), pa.nulls(len(out), pa.int64()), pa.array(out, pa.binary())], names=texts.column_names)
@@ -368,16 +419,20 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
         total = np.zeros((int(place.max()) + 1, models))
         for ids, *loss in sorted((unpack(b) for b in blobs if b is not None), key=lambda x: x[1].tobytes()):
             total[ids] += np.stack(loss, 1)
-        mean = total[place] / np.maximum(given.column("n_words").to_numpy(), 1)[:, None]
+        mean = total[place] / STEPS / np.maximum(given.column("n_words").to_numpy(), 1)[:, None]
         return pa.table([*[given.column(c) for c in names], pa.array(mean.tolist(), pa.list_(pa.float64()))], names=[*names, "losses"])
 
-    rows = map_arrow(docs, scoring, f"{PACKED}, place long, {fields}")
     asked = by_bucket(words).applyInArrow(replies, PACKED)
     if told:
         asked = asked.union(told.where(F.col("kind") == SUMS))
-    both = by_bucket(rows.unionByName(asked, allowMissingColumns=True)).applyInArrow(losses, f"{fields}, chunk long, place long, payload binary")
-    out = materialize(both.groupBy("chunk").applyInArrow(means, f"{fields}, losses array<double>"), "losses")
-    discard(singles)
-    if told:
-        discard(told)
+    rounds = rounds if buckets > LEAST_BUCKETS else 1
+    scored = []
+    for i in range(rounds):
+        rows = map_arrow(docs, scoring((i, rounds)), f"{PACKED}, place long, {fields}")
+        mine = asked.where(F.col("bucket") % rounds == i)
+        both = by_bucket(rows.unionByName(mine, allowMissingColumns=True)).applyInArrow(losses, f"{fields}, chunk long, place long, payload binary")
+        scored.append(materialize(both, "sums") if rounds > 1 else both)
+    out = materialize(reduce(DataFrame.union, scored).groupBy("chunk").applyInArrow(means, f"{fields}, losses array<double>"), "losses")
+    for x in (singles, told1, *([told] if told else []), *(scored if rounds > 1 else [])):
+        discard(x)
     return out

@@ -14,6 +14,8 @@ from varileaf.llm.common import text_bytes
 WIDTH, LEAST = 4.0, 0.02
 #: A repeated window's words.
 WINDOW = 5
+#: So many rounds the texts are scored in, for the sake of the disk.
+ROUNDS = 2
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SYMBOLS = b"#*$%&|<>"
 
@@ -72,7 +74,7 @@ def measure(docs: DataFrame) -> DataFrame:
         return [frame.column(0), pa.array(sizes, pa.int64()), code_points, symbols, [duplicate_lines(t) for t in texts], pa.array(repeat_words(words)), frame.column(2)]
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return ngrams.mean_losses(given, read, describe, _FIELDS, 1).withColumn("loss", F.col("losses")[0]).drop("losses")
+    return ngrams.mean_losses(given, read, describe, _FIELDS, 1, ROUNDS).withColumn("loss", F.col("losses")[0]).drop("losses")
 
 
 def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
