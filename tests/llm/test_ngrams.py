@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from varileaf.llm import crossentropy, ngrams, quality
 
@@ -105,3 +106,19 @@ def test_many_buckets_take_few_bytes(spark, monkeypatch):
     _, often, *rest = getattr(ngrams, "_sampled", ngrams.buckets_for)(spark.createDataFrame([(t,) for t in given], "text string"))
     sent = [p for _, p, _ in ngrams.split([t.encode() for t in given], [], 400, often, False, *rest)[1]]
     assert sum(map(len, sent)) < 6.5 * 100_000  # bytes a trigram
+
+
+def test_texts_are_not_shuffled_to_meet_targets(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*range(300), 7]] + [(None, "n")], "doc_id long, text string")
+    target = spark.range(0, 400, 3).select(F.col("id").alias("doc_id")).union(spark.range(3).select(F.col("id").alias("doc_id")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = crossentropy.marked(docs, target)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+        monkeypatch.setattr(crossentropy, "TARGETS", 0)
+        assert sorted(map(str, found.collect())) == sorted(map(str, crossentropy.marked(docs, target).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = found.collect()
+    assert len(rows) == 302 and {r.doc_id for r in rows if r.hit} == {*range(0, 300, 3), 1, 2} and not any(r.hit for r in rows if r.doc_id is None)

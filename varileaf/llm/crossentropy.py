@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from varileaf.llm import ngrams
 from varileaf.llm.common import discard, materialize, text_bytes
 
+#: So many targets at most go to all executors, so that texts needn't be shuffled to meet them. This decides the work, never the result.
+TARGETS = 1 << 22
+
+
+def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, text and whether the document is in-domain."""
+    wanted = target.select(F.col("doc_id").cast("long").alias("of")).where("of is not null").distinct().withColumn("hit", F.lit(True))
+    if wanted.count() <= TARGETS:
+        wanted = F.broadcast(wanted)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return given.join(wanted, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
+
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score, their difference (the lower, the more like the target).
@@ -18,10 +30,8 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     smoothing, and are counted over whole texts. A null or empty text has no tokens and score 0; repeated rows and null doc_ids stay
     and are background; without targets the target model is uniform; an empty table gives none; other columns are left out.
     """
-    wanted = target.select(F.col("doc_id").cast("long").alias("of")).where("of is not null").distinct().withColumn("hit", F.lit(True))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # written once, as both passes over the texts read it
-    marked = materialize(given.join(wanted, given.doc_id == wanted.of, "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit")), "marked")
+    given = materialize(marked(docs, target), "marked")
 
     def read(frame: pa.RecordBatch) -> tuple[list[bytes], list[np.ndarray]]:
         return text_bytes(frame.column(1)), [np.array(frame.column(2).to_pylist(), bool)]
@@ -29,7 +39,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     def describe(frame: pa.RecordBatch, texts: list[bytes], sizes: np.ndarray) -> list:
         return [frame.column(0), pa.array(sizes, pa.int64())]
 
-    scored = ngrams.mean_losses(marked, read, describe, "doc_id long, n_words long", 2)
-    discard(marked)
+    scored = ngrams.mean_losses(given, read, describe, "doc_id long, n_words long", 2)
+    discard(given)
     a, b = F.col("losses")[0], F.col("losses")[1]
     return scored.select("doc_id", F.col("n_words").alias("n_tokens"), a.alias("loss_target"), b.alias("loss_background"), (a - b).alias("score"))
