@@ -10,6 +10,7 @@ two 64-bit hashes, which Spark sums before it shuffles.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,7 @@ def _found(docs: DataFrame) -> DataFrame:
 def shared_starts(parts: list[bytes]) -> list[np.ndarray]:
     """Of each segment the starts of windows that another place among the segments has too."""
     data = np.zeros(sum(map(len, parts)) + len(parts), np.uint16)
-    limit = np.zeros(len(data), np.int64)
+    limit = np.zeros(len(data), np.int32)
     bounds, at = [], 0
     for p in parts:
         n = len(p)
@@ -128,30 +129,31 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate(([0], cut + 1))], starts[np.append(cut, len(starts) - 1)]
 
 
+def _shards(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows of whole anchors, which come first in a row and in order, up to SHARD bytes (last in a row); an anchor that has more is a shard of its own."""
+    held: list[tuple] = []
+    total = 0
+    for _, group in itertools.groupby(rows, lambda row: row[0]):
+        own = list(group)
+        size = sum(len(row[-1]) for row in own)
+        if held and total + size > SHARD:
+            yield held
+            held, total = [], 0
+        held += own
+        total += size
+    if held:
+        yield held
+
+
 def _by_suffix_array(cut: DataFrame) -> DataFrame:
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        total, anchor = 0, None
-
-        def shard() -> pa.RecordBatch:
+        for held in _shards(row for frame in frames for row in zip(*(frame.column(i).to_pylist() for i in range(6)), strict=True)):
             out: list[tuple[int, int, int, int]] = []
             for (_, d, r, lo, c, _), found in zip(held, shared_starts([h[5] for h in held]), strict=True):
                 if c == 1:
                     a, b = _runs(found)
                     out += [(d, r, lo + x, lo + y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["d", "r", "lo", "hi"])
-
-        for frame in frames:
-            for row in zip(*(frame.column(i).to_pylist() for i in range(6)), strict=True):
-                if total >= SHARD and row[0] != anchor:
-                    yield shard()
-                    total = 0
-                anchor = row[0]
-                held.append(row)
-                total += len(row[5])
-        if held:
-            yield shard()
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["d", "r", "lo", "hi"])
 
     dealt = cut.select("anchor", "d", "r", "lo", "c", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     return map_arrow(dealt, rows, "d long, r long, lo long, hi long")
@@ -254,9 +256,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
     at = columns.index("text")
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        whole = ([frame.column(0), *frame.column(1).flatten()] for frame in frames)
+        named = (pa.RecordBatch.from_arrays(given, names=["text" if i == at + 1 else str(i) for i in range(len(given))]) for given in whole)
+        for frame in batches(named):
             texts, keep = [], []
-            given = frame.column(1).flatten()
+            given = frame.columns[1:]
             for text, starts in zip(given[at].to_pylist(), frame.column(0).to_pylist(), strict=True):
                 if starts:
                     text = without(text.encode(), spans(starts)).decode("utf-8", "ignore")

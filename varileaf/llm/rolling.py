@@ -10,6 +10,8 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+#: Powers that stay in memory.
+KEPT = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -23,12 +25,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each or more."""
-    return _powers(1 << max(16, (n - 1).bit_length()))
+    """Powers of the base and of its inverse modulo 2**64, n of each or more. Beyond KEPT they are made anew: workers that are used again would hold them."""
+    return _powers(1 << max(16, (n - 1).bit_length())) if n <= KEPT else _powers.__wrapped__(n)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,7 +46,10 @@ class Prefix:
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_bytes()[data] * up[: len(data)], out=self.sums[1:])
+        each = self.sums[1:]
+        np.take(_bytes(), data, out=each, mode="clip")
+        each *= up[: len(data)]
+        np.cumsum(each, out=each)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed((self.sums[b] - self.sums[a]) * self.down[a])

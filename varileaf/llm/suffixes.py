@@ -12,18 +12,16 @@ import numpy as np
 
 from varileaf.llm.rolling import Prefix
 
+#: Suffixes that are compared at a time.
+SOME = 1 << 18
+
 
 def classify(s: np.ndarray) -> np.ndarray:
     """True for suffixes that are smaller than the next one; the last symbol, an end, counts as one."""
     n = len(s)
     differs = np.flatnonzero(s[:-1] != s[1:])
-    small = np.zeros(n, bool)
+    small = np.repeat(np.append(s[differs] < s[differs + 1], False), np.diff(differs, prepend=-1, append=n - 1))
     small[-1] = True
-    if len(differs):
-        at = np.searchsorted(differs, np.arange(n))
-        inside = at < len(differs)
-        j = differs[at[inside]]
-        small[inside] = s[j] < s[j + 1]
     return small
 
 
@@ -108,19 +106,20 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     marked = np.zeros(n, bool)
     marked[lms] = True
     ordered = roughly[marked[roughly]]
-    stop = np.full(n, n, np.int64)
+    del roughly, marked
+    stop = np.full(n, n, np.int32)
     stop[lms[:-1]] = lms[1:] + 1
-    length = stop[ordered] - ordered
-    prints = Prefix(s).of(ordered.astype(np.int64), stop[ordered])
+    stop = stop[ordered]
+    length = stop - ordered
+    prints = Prefix(s).of(ordered, stop)
     new = np.concatenate(([True], (prints[1:] != prints[:-1]) | (length[1:] != length[:-1])))
     ends = s[ordered] == 0
     ordered[ends] = np.sort(ordered[ends])
     new |= ends
+    del stop, length, prints, ends
     if not new.all():
-        index = np.empty(n, np.int64)
-        index[lms] = np.arange(len(lms))
         names = np.empty(len(lms), np.int64)
-        names[index[ordered]] = np.cumsum(new)
+        names[np.searchsorted(lms, ordered)] = np.cumsum(new)
         ordered = lms[_refine(names)]
     return induce(s, small, ordered, alphabet)
 
@@ -129,26 +128,33 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: np.ndarray) -> tuple[np.n
     """By position: common prefix with the suffix before it in order, and that suffix (-1: none).
 
     limit: symbols from a position to the end of its string. Where a suffix and the one before it have equal symbols in
-    front, the value is one less than that in front; only the others are compared.
+    front, the value is one less than that in front; only the others are compared, SOME at a time.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
     fresh = np.ones(n, bool)
-    ok = (here > 0) & (before > 0)
-    at = here[ok]
-    fresh[ok] = (s[at - 1] != s[before[at] - 1]) | (s[at - 1] == 0)
-    x = here[fresh & (before >= 0)]
-    y = before[x]
-    low, high = np.zeros(len(x), np.int64), np.minimum(limit[x], limit[y])
+    for a in range(0, n, SOME):
+        at = here[a : a + SOME]
+        at = at[(at > 0) & (before[at] > 0)]
+        fresh[at] = (s[at - 1] != s[before[at] - 1]) | (s[at - 1] == 0)
+    compared = here[fresh & (before >= 0)]
+    value = np.zeros(n, np.int32)
     prefix = Prefix(s)
-    while (open_ := low < high).any():
-        middle = (low + high + 1) // 2
-        same = prefix.of(x, x + middle) == prefix.of(y, y + middle)
-        low = np.where(open_ & same, middle, low)
-        high = np.where(open_ & ~same, middle - 1, high)
-    value = np.zeros(n, np.int64)
-    value[x] = low
-    source = np.maximum.accumulate(np.where(fresh, here, 0))
-    return np.maximum(value[source] - (here - source), 0), before
+    for a in range(0, len(compared), SOME):
+        x = compared[a : a + SOME]
+        y = before[x]
+        low, high = np.zeros(len(x), np.int32), np.minimum(limit[x], limit[y]).astype(np.int32)
+        while (open_ := low < high).any():
+            middle = (low + high + 1) // 2
+            same = prefix.of(x, x + middle) == prefix.of(y, y + middle)
+            low = np.where(open_ & same, middle, low)
+            high = np.where(open_ & ~same, middle - 1, high)
+        value[x] = low
+    del prefix, compared
+    source = np.maximum.accumulate(np.where(fresh, here, np.int32(0)))
+    value = value[source]
+    value -= here
+    value += source
+    return np.maximum(value, 0, out=value), before
