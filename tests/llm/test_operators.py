@@ -191,20 +191,25 @@ def test_mix(docs, empty, rows):
     assert mixing.mix(empty).count() == 0
 
 
-def test_repeats(docs, empty, rows):
+@pytest.mark.parametrize("length", [400, 250])
+def test_repeats(docs, empty, rows, length):
     raw = [(i, (t or "").encode()) for i, t, *_ in rows]
-    seen = Counter(t[k : k + 400] for _, t in raw for k in range(len(t) - 399))
-    want = []
+    seen = Counter(t[k : k + length] for _, t in raw for k in range(len(t) - length + 1))
+    want, left = [], []
     for i, t in raw:
-        hit = [k for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1]
+        hit = [k for k in range(len(t) - length + 1) if seen[t[k : k + length]] > 1]
         mark = bytearray(len(t))
         for k in hit:
-            mark[k : k + 400] = b"\1" * 400
+            mark[k : k + length] = b"\1" * length
         kept = bytes(c for c, m in zip(t, mark, strict=True) if not m)
         spans = sum(1 for k, m in enumerate(mark) if m and (k == 0 or not mark[k - 1]))
         want.append((i, len(t), sum(mark), spans, hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in repeats.remove(docs).collect()]
+        if not hit or kept.decode("utf-8", "ignore").strip():
+            left.append((i, kept.decode("utf-8", "ignore")))
+    got = [tuple(r) for r in repeats.remove(docs, length, length // 4).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [(r.doc_id, r.text or "") for r in repeats.cleaned(docs, length, length // 4).collect()]
+    assert sorted(kept, key=str) == sorted(left, key=str)
     assert any(w[2] for w in want) and repeats.remove(empty).count() == 0
 
 

@@ -1,7 +1,7 @@
 """Removal of repeated byte strings with suffix arrays over shards of candidate segments.
 
-Every window of LENGTH bytes has a canonical anchor, its least K-gram by hash (the leftmost of equals), so equal windows have equal
-anchors at equal places. The starts that share an anchor form a segment, and all windows of a document lie in one segment each. Segments that
+Every window of `length` bytes has a canonical anchor, its least gram of `k` bytes by hash (the leftmost of equals), so equal windows
+have equal anchors at equal places. The starts that share an anchor form a segment, and all windows of a document lie in one segment each. Segments that
 occur twice as a whole are repeats; where an anchor has several kinds of segments, one of each kind goes to the anchor's shard, whose suffix array
 and common prefixes tell which windows are shared. Segments of an anchor with more than HOT kinds aren't gathered: their windows are counted by
 two 64-bit hashes, which Spark sums before it shuffles.
@@ -22,6 +22,7 @@ from varileaf.llm.common import batches, discard, map_arrow, materialize, text_b
 from varileaf.llm.rolling import Prefix, mixed
 from varileaf.llm.suffixes import permuted_lcp, suffix_array
 
+#: Bytes of a repeat, and of an anchor.
 LENGTH, K = 400, 100
 HOT = 4096
 #: Bytes of a shard's suffix array, and starts that one piece of a long text has.
@@ -68,21 +69,21 @@ def segments(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.n
     return own, grams[anchor[new]], np.frombuffer(prints, np.uint64), lo - starts[own], hi - starts[own]
 
 
-def _pieces(texts: list[bytes]) -> tuple[list[int], list[int], list[bytes]]:
+def _pieces(texts: list[bytes], length: int) -> tuple[list[int], list[int], list[bytes]]:
     """Long texts in pieces whose starts don't overlap."""
     index, base, out = [], [], []
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - LENGTH + 1), PIECE):
+        for at in range(0, max(1, len(t) - length + 1), PIECE):
             index.append(i)
             base.append(at)
-            out.append(t if len(t) <= PIECE else t[at : at + PIECE + LENGTH - 1])
+            out.append(t if len(t) <= PIECE else t[at : at + PIECE + length - 1])
     return index, base, out
 
 
-def _found(docs: DataFrame) -> DataFrame:
+def _found(docs: DataFrame, length: int, k: int) -> DataFrame:
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, most=BATCH):
-            index, base, texts = _pieces(text_bytes(frame.column(2)))
+            index, base, texts = _pieces(text_bytes(frame.column(2)), length)
             d, r = (frame.column(c).to_numpy()[index] for c in (0, 1))
             base = np.array(base)
             groups, total, held = [], 0, []
@@ -94,14 +95,14 @@ def _found(docs: DataFrame) -> DataFrame:
                 total += len(t)
             groups.append(held)
             for g in groups:
-                own, anchor, seg, lo, hi = segments([texts[i] for i in g])
+                own, anchor, seg, lo, hi = segments([texts[i] for i in g], length, k)
                 own = np.array(g)[own]
                 yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(r[own]), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(lo + base[own]), pa.array(hi + base[own])], names=["d", "r", "anchor", "seg", "lo", "hi"])
 
-    return map_arrow(docs.where(F.octet_length("text") >= LENGTH), rows, "d long, r long, anchor long, seg long, lo long, hi long")
+    return map_arrow(docs.where(F.octet_length("text") >= length), rows, "d long, r long, anchor long, seg long, lo long, hi long")
 
 
-def shared_starts(parts: list[bytes]) -> list[np.ndarray]:
+def shared_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Of each segment the starts of windows that another place among the segments has too."""
     data = np.zeros(sum(map(len, parts)) + len(parts), np.uint16)
     limit = np.zeros(len(data), np.int32)
@@ -115,11 +116,11 @@ def shared_starts(parts: list[bytes]) -> list[np.ndarray]:
         at += n + 1
     sa = suffix_array(data, 257)
     common, before = permuted_lcp(data, sa, limit)
-    hit = np.flatnonzero(common >= LENGTH)
+    hit = np.flatnonzero(common >= length)
     flag = np.zeros(len(data) + 1, bool)
     flag[hit] = True
     flag[before[hit]] = True
-    return [np.flatnonzero(flag[a : a + max(0, len(p) - LENGTH + 1)]) for a, p in zip(bounds, parts, strict=True)]
+    return [np.flatnonzero(flag[a : a + max(0, len(p) - length + 1)]) for a, p in zip(bounds, parts, strict=True)]
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,11 +146,11 @@ def _shards(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _by_suffix_array(cut: DataFrame) -> DataFrame:
+def _by_suffix_array(cut: DataFrame, length: int) -> DataFrame:
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _shards(row for frame in frames for row in zip(*(frame.column(i).to_pylist() for i in range(6)), strict=True)):
             out: list[tuple[int, int, int, int]] = []
-            for (_, d, r, lo, c, _), found in zip(held, shared_starts([h[5] for h in held]), strict=True):
+            for (_, d, r, lo, c, _), found in zip(held, shared_starts([h[5] for h in held], length), strict=True):
                 if c == 1:
                     a, b = _runs(found)
                     out += [(d, r, lo + x, lo + y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
@@ -159,14 +160,14 @@ def _by_suffix_array(cut: DataFrame) -> DataFrame:
     return map_arrow(dealt, rows, "d long, r long, lo long, hi long")
 
 
-def _by_counting(cut: DataFrame) -> DataFrame:
+def _by_counting(cut: DataFrame, length: int) -> DataFrame:
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for d, r, lo, c, raw in zip(*(x.to_pylist() for x in frame.columns), strict=True):
                 data = np.frombuffer(raw, np.uint8)
-                at = np.arange(len(data) - LENGTH + 1)
-                h = Prefix(data).of(at, at + LENGTH)
-                g = mixed(Prefix(data ^ np.uint8(0x5A)).of(at, at + LENGTH) + h)
+                at = np.arange(len(data) - length + 1)
+                h = Prefix(data).of(at, at + length)
+                g = mixed(Prefix(data ^ np.uint8(0x5A)).of(at, at + length) + h)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array([d] * n, pa.int64()), pa.array([r] * n, pa.int64()), pa.array(lo + at), pa.array([c] * n, pa.int64())], names=["h", "g", "d", "r", "lo", "c"])
 
@@ -181,10 +182,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64("doc_id", text).alias("r"))
 
 
-def intervals(docs: DataFrame) -> DataFrame:
+def intervals(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """d, r and starts: first and last starts of repeated windows, of every text that has any. Written to the shared folder."""
     given = _keyed(docs).select("d", "r", "text")
-    found = materialize(_found(given), "segments")
+    found = materialize(_found(given, length, k), "segments")
     kinds = materialize(found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "r", "lo", "hi")).alias("at")), "kinds")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("anchor", "k")
     wanted = kinds.join(several, "anchor").select(F.col("at.d").alias("d"), F.col("at.r").alias("r"), F.struct("anchor", "at.lo", "at.hi", "c", "k").alias("s")).groupBy("d", "r").agg(F.collect_list("s").alias("parts"))
@@ -194,13 +195,13 @@ def intervals(docs: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in range(7)]
             for d, r, text, parts in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), text_bytes(frame.column(2)), frame.column(3).to_pylist(), strict=True):
                 for s in parts:
-                    for column, value in zip(out, (s["anchor"], d, r, s["lo"], s["c"], s["k"], text[s["lo"] : s["hi"] + LENGTH]), strict=True):
+                    for column, value in zip(out, (s["anchor"], d, r, s["lo"], s["c"], s["k"], text[s["lo"] : s["hi"] + length]), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 6 + [pa.binary()], strict=True)], names=["anchor", "d", "r", "lo", "c", "k", "bytes"])
 
     pieces = materialize(map_arrow(given.join(wanted, ["d", "r"]).select("d", "r", "text", "parts"), cut, "anchor long, d long, r long, lo long, c long, k long, bytes binary"), "pieces")
     whole = found.join(kinds.where("c > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select("d", "r", "lo", "hi")
-    part = _by_suffix_array(pieces.where(F.col("k") <= HOT)).unionByName(_by_counting(pieces.where(F.col("k") > HOT)))
+    part = _by_suffix_array(pieces.where(F.col("k") <= HOT), length).unionByName(_by_counting(pieces.where(F.col("k") > HOT), length))
     out = materialize(whole.unionByName(part).groupBy("d", "r").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "repeats")
     for x in (found, kinds, pieces):
         discard(x)
@@ -226,33 +227,33 @@ def without(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join((*kept, text[at:]))
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
-    A null text is empty; texts shorter than LENGTH lose nothing; a row that repeats another loses all that is long enough; null doc_ids
+    A null text is empty; texts shorter than `length` lose nothing; a row that repeats another loses all that is long enough; null doc_ids
     stay; an empty table gives none; other columns are left out.
     """
-    joined = _keyed(docs.select("doc_id", "text")).join(intervals(docs), ["d", "r"], "left").select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "starts")
+    joined = _keyed(docs.select("doc_id", "text")).join(intervals(docs, length, k), ["d", "r"], "left").select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "starts")
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
             out: list[tuple] = []
             for doc_id, text, starts in zip(frame.column(0).to_pylist(), text_bytes(frame.column(1)), frame.column(2).to_pylist(), strict=True):
-                removed = spans(starts or [])
+                removed = spans(starts or [], length)
                 out.append((doc_id, len(text), sum(b - a for a, b in removed), len(removed), hashlib.sha256(without(text, removed)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return map_arrow(joined, rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated bytes, with all their columns; one that nothing is left of goes.
+def cleaned(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """The documents without bytes of strings of `length` bytes that start elsewhere too, with all their columns; one that nothing is left of goes.
 
     Characters of which a byte is removed go whole. n_chars, where there is one, is counted anew. Null and short texts stay as they are;
     rows that repeat one another lose all that is long enough; null doc_ids stay; an empty table gives none; column names don't matter.
     """
     columns = docs.columns
-    joined = _keyed(docs).join(intervals(docs), ["d", "r"], "left").select("starts", "row")
+    joined = _keyed(docs).join(intervals(docs, length, k), ["d", "r"], "left").select("starts", "row")
     at = columns.index("text")
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +264,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
             given = frame.columns[1:]
             for text, starts in zip(given[at].to_pylist(), frame.column(0).to_pylist(), strict=True):
                 if starts:
-                    text = without(text.encode(), spans(starts)).decode("utf-8", "ignore")
+                    text = without(text.encode(), spans(starts, length)).decode("utf-8", "ignore")
                     keep.append(bool(text.strip()))
                 else:
                     keep.append(True)
