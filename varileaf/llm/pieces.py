@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from varileaf.llm.common import batches, map_arrow
 
 #: Distinct parts that a Python worker keeps, and the bytes beyond which a part isn't kept.
-KEPT, LONGEST = 800_000, 64
+KEPT, LONGEST = 300_000, 64
 #: Parts of up to so many characters are merged by looking through all neighbours each time. No score is that far down.
 SHORT, FAR = 32, float("inf")
 #: Bytes of text that are encoded at a time; each takes about eighty in arrays. A longer text goes in stretches of about as much.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 #: Rows that are decoded at a time.
 DECODED = 256
 SPACE = "▁"
