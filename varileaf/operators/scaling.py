@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varileaf.operators.projection import PROJECTION, Projection, fit_projection
+
 #: Makes the MAD of a normal distribution its deviation.
 MAD_FACTOR = 1.4826
 #: Categories a column may have; their codes are one expression.
@@ -21,7 +23,7 @@ def median(column: Column, exact: bool = True) -> Column:
 
 @dataclass
 class Scaler:
-    """z = (x - center) / scale for each feature; categories become codes first."""
+    """z = (x - center) / scale for each feature; categories become codes first. With a projection of the categories, its column comes last."""
 
     features: list[str]
     kind: str = "std"
@@ -30,10 +32,11 @@ class Scaler:
     center: dict[str, float] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
     labels: dict[str, list[str]] = field(default_factory=dict)
+    projection: Projection | None = None
 
     @property
     def z_columns(self) -> list[str]:
-        return [f"z_{c}" for c in self.features]
+        return [*[f"z_{c}" for c in self.features], *([PROJECTION] if self.projection else [])]
 
     def raw(self, name: str) -> Column:
         """A feature as a number; a category's code is its rank among the fitted labels, and an unknown label raises."""
@@ -64,13 +67,29 @@ class Scaler:
                 self.center[c], self.scale[c] = m, MAD_FACTOR * float(deviation or 0.0) or 1.0
         return self
 
+    def project(self, df: DataFrame, y: str) -> Scaler:
+        """Adds the column that stands for all categories: what a shallow tree over their codes predicts of y."""
+        if self.categorical:
+            z = [self.z(c).alias(f"z_{c}") for c in self.categorical]
+            self.projection = fit_projection(df.select(*z, F.col(f"`{y}`").alias("_y")), [f"z_{c}" for c in self.categorical], "_y")
+        return self
+
     def z(self, name: str) -> Column:
         return (self.raw(name) - F.lit(self.center[name])) / F.lit(self.scale[name])
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """The kept columns (all by default) and one z column for each feature, in one projection."""
+        """The kept columns (all by default) and one z column for each feature, in one projection, and then that of the categories."""
         kept = df.columns if keep is None else keep
-        return df.select(*[F.col(f"`{c}`") for c in kept], *[self.z(c).alias(f"z_{c}") for c in self.features])
+        out = df.select(*[F.col(f"`{c}`") for c in kept], *[self.z(c).alias(f"z_{c}") for c in self.features])
+        return out.withColumn(PROJECTION, self.projection.column()) if self.projection else out
+
+    def to_dict(self) -> dict:
+        return {k: getattr(self, k) for k in ("features", "kind", "categorical", "center", "scale", "labels")} | {"projection": self.projection and self.projection.to_dict()}
+
+    @classmethod
+    def from_dict(cls, state: dict) -> Scaler:
+        found = state.get("projection")
+        return cls(**{**state, "projection": Projection.from_dict(found) if found else None})
 
     def restore(self, name: str, z: Column) -> Column:
         """A feature in its own unit; a category's code is rounded half to even and held in range."""

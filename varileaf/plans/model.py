@@ -77,9 +77,14 @@ class Partitioner:
         return replace(self, **changes)
 
     def fit(self, df: DataFrame, features: list[str], ids: list[str], y: str | None = None, categorical: list[str] | None = None, target_col: str | None = None) -> FittedModel:
-        """ids must tell rows apart; target_col replaces the geometric target by a column of df."""
+        """ids must tell rows apart; target_col replaces the geometric target by a column of df.
+
+        With categorical features and y, the categories' projection onto y is a further column of the fit.
+        """
         bind(df, [*features, *ids])
         scaler = Scaler(features, self.scaling, list(categorical or []), self.exact).fit(df)
+        if y:
+            scaler.project(df, y)
         return FittedModel(self, df, scaler, ids, y, target_col)._grown(None)
 
     def fit_transform(self, df: DataFrame, features: list[str], ids: list[str], y: str | None = None, **changes) -> DataFrame:
@@ -244,13 +249,13 @@ class FittedModel:
     def save(self, spark: SparkSession, path: str) -> None:
         """Scaling and tree, as a one-row table."""
         s = self.scaler
-        state = {"scaler": {k: getattr(s, k) for k in ("features", "kind", "categorical", "center", "scale", "labels")}, "tree": self.tree.to_json(), "ids": self.ids, "y": self.y}
+        state = {"scaler": s.to_dict(), "tree": self.tree.to_json(), "ids": self.ids, "y": self.y}
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").json(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, data: DataFrame, settings: Partitioner | None = None) -> FittedModel:
         state = json.loads(spark.read.schema("state string").json(path).first().state)
-        return cls(settings or Partitioner(), data, Scaler(**state["scaler"]), state["ids"], state["y"], None, tree.Tree.from_json(state["tree"]))
+        return cls(settings or Partitioner(), data, Scaler.from_dict(state["scaler"]), state["ids"], state["y"], None, tree.Tree.from_json(state["tree"]))
 
 
 def _safe(x, low: float = 1e-12):

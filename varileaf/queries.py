@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from varileaf.functions import geometry as g
 from varileaf.operators import baselines, budgets, generate, metrics, select, targets, tree
 from varileaf.operators.neighbours import nearest
+from varileaf.operators.projection import PROJECTION
 from varileaf.operators.scaling import Scaler
 from varileaf.plans.compose import linear_models
 from varileaf.plans.model import PRESETS, FittedModel, Partitioner, geometry_by_partition, geometry_summary, sign_by_partition, sign_summary
@@ -102,6 +103,38 @@ def inverse_scaling(spark, sf_dir):
     return back.select("o_orderkey", "o_orderpriority", r(F.col("o_totalprice"), 4).alias("o_totalprice"))
 
 
+def _projection_sql(table_: str, ids: str, columns: list[str], y: str, depth: int) -> str:
+    """A tree of `depth` levels over the columns' values: at each level every node takes the best cut between two values that occur in it."""
+    ctes = [f"k0 as (select {', '.join(columns)}, count(*) as n, sum({y}) as s, 0 as node from {table_} group by all)", "lim as (select greatest(10, sum(n) // 100) as least from k0)"]
+    for d in range(depth):
+        each = " union all ".join(f"select node, {j} as col, {c} as v, n, s from k{d}" for j, c in enumerate(columns))
+        ctes += [
+            f"v{d} as (select node, col, v, sum(n) as n, sum(s) as s from ({each}) group by all)",
+            f"w{d} as (select *, sum(n) over up as nl, sum(s) over up as sl, sum(n) over whole as nw, sum(s) over whole as sw from v{d} window up as (partition by node, col order by v), whole as (partition by node, col))",
+            f"b{d} as (select node, col, v, row_number() over (partition by node order by sl * sl / nl + (sw - sl) * (sw - sl) / (nw - nl) desc, col, v) as place from w{d}, lim where nl >= least and nw - nl >= least)",
+            f"k{d + 1} as (select {', '.join('k.' + c for c in columns)}, k.n, k.s, 2 * k.node + case when b.place is null or (case b.col {' '.join(f'when {j} then k.{c}' for j, c in enumerate(columns))} end) <= b.v then 1 else 2 end as node from k{d} k left join b{d} b on b.node = k.node and b.place = 1)",
+        ]
+    ctes += [f"p as (select {', '.join(columns)}, sum(s) over (partition by node) / sum(n) over (partition by node) as value, n from k{depth})", "m as (select sum(n * value) / sum(n) as mean from p)", "d as (select sqrt(sum(n * (value - mean) * (value - mean)) / sum(n)) + 1e-10 as dev from p, m)"]
+    return f"with {', '.join(ctes)} select {ids}, {', '.join('t.' + c for c in columns)}, {sr('(value - mean) / dev')} as projection from {table_} t join p on {' and '.join(f't.{c} = p.{c}' for c in columns)}, m, d"
+
+
+def _projected(df: DataFrame, ids: list[str], columns: list[str], y: str) -> DataFrame:
+    scaler = Scaler(columns, categorical=columns).fit(df).project(df, y)
+    return scaler.transform(df, [*ids, *columns]).select(*ids, *columns, r(F.col(PROJECTION)).alias("projection"))
+
+
+@query(_projection_sql("lineitem", IDS, ["l_returnflag", "l_linestatus"], "l_quantity", 2))
+def categorical_projection(spark, sf_dir):
+    columns = ["l_returnflag", "l_linestatus"]
+    return _projected(table(spark, sf_dir, "lineitem").select(*dict.fromkeys([*LINE_IDS, *columns, "l_quantity"])), LINE_IDS, columns, "l_quantity")
+
+
+@query(_projection_sql("orders", "o_orderkey", ["o_orderpriority", "o_orderstatus"], "o_totalprice", 3))
+def categorical_projection_deeper(spark, sf_dir):
+    columns = ["o_orderpriority", "o_orderstatus"]
+    return _projected(table(spark, sf_dir, "orders").select("o_orderkey", *columns, "o_totalprice"), ["o_orderkey"], columns, "o_totalprice")
+
+
 @query(LINES + f"select {IDS}, {sr(S_)} as s, {sr(Q_)} as q, {sr(T_)} as t, {sr(A_)} as a, {sr('-' + A_ + '/2')} as mst from z")
 def row_geometry(spark, sf_dir):
     c = [F.col(x) for x in Z]
