@@ -1,7 +1,8 @@
 """Best-first regression tree over standardised features. Spark adds histograms, one job a level; splits are chosen on the driver.
 
-A node's best split doesn't depend on the order of growth, so levels are grown whole and best-first order decides afterwards which
-splits stay. Up to LOCAL_CELLS cells the same histograms are added on the driver instead, with the same result.
+Rows are binned once, into a byte a feature, and written. A level adds the histograms of each split's smaller child; the larger one's is its
+parent's less that. A node's best split doesn't depend on the order of growth, so levels are grown whole and best-first order decides
+afterwards which splits stay. Up to LOCAL_CELLS cells the same histograms are added on the driver instead, with the same result.
 """
 
 from __future__ import annotations
@@ -16,8 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varileaf.sources.store import removed, stored
+
 MAX_BINS, TARGET_BINS = 128, 32
 LOCAL_CELLS = 4_000_000
+#: Cells of one feature's histograms up to which a batch adds them in an array of all of them.
+DENSE = 1 << 22
+_CELLS = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
 #: A tree with more leaves is routed by numpy in Arrow batches: an expression of that size would leave code generation.
 EXPRESSION_LEAVES = 256
 
@@ -131,58 +137,102 @@ def edges(df: DataFrame, columns: list[str], bins: int = MAX_BINS) -> list[np.nd
     return out
 
 
-def partial(z: np.ndarray, t: np.ndarray, slot: np.ndarray, cuts: list[np.ndarray], grid: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Nonzero cells of the histograms: key, count, sum and sum of squares. slot: a row's open node, -1 if it is done."""
-    use = slot >= 0
-    z, t, slot = z[use], t[use], slot[use]
-    width = max(map(len, cuts)) + 1
-    kinds = 1 if grid is None else len(grid) + 1
-    fine = 0 if grid is None else np.searchsorted(grid, t)
-    keys, counts, sums, squares = [], [], [], []
+def binned(z: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Bin of each cell: how many thresholds of its column are less. A row with z <= cuts[b] has a bin of b at most."""
+    out = np.empty(z.shape, np.uint8 if max(map(len, cuts)) < 256 else np.uint16)
     for f, c in enumerate(cuts):
-        key = ((slot * len(cuts) + f) * width + np.searchsorted(c, z[:, f])) * kinds + fine
-        u, at = np.unique(key, return_inverse=True)
-        keys.append(u)
-        counts.append(np.bincount(at, minlength=len(u)))
-        sums.append(np.bincount(at, t, len(u)))
-        squares.append(np.bincount(at, t * t, len(u)))
-    return tuple(np.concatenate(x) for x in (keys, counts, sums, squares))
+        out[:, f] = np.searchsorted(c, z[:, f])
+    return out
+
+
+def settle(bins: np.ndarray, at: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Nodes where rows end that stand at `at`."""
+    at = at.copy()
+    moving = np.flatnonzero(left[at] >= 0)
+    while len(moving):
+        here = at[moving]
+        at[moving] = np.where(bins[moving, feature[here]] <= cut[here], left[here], right[here])
+        moving = moving[left[at[moving]] >= 0]
+    return at
+
+
+def partial(bins: np.ndarray, t: np.ndarray, slot: np.ndarray, fine: np.ndarray | int, width: int, kinds: int, slots: int) -> tuple[np.ndarray, ...]:
+    """Nonzero cells of the histograms: key, count, sum and sum of squares. slot: a row's place among the wanted nodes, -1 if it isn't in one."""
+    use = np.flatnonzero(slot >= 0)
+    bins, t, slot = bins[use], t[use], slot[use].astype(np.int64)
+    fine = fine if isinstance(fine, int) else fine[use]
+    squares, d = t * t, bins.shape[1]
+    out = []
+    for f in range(d):
+        key = (slot * width + bins[:, f]) * kinds + fine
+        if slots * width * kinds <= DENSE:
+            n = np.bincount(key, minlength=1)
+            u = np.flatnonzero(n)
+            found = (n[u], np.bincount(key, t)[u], np.bincount(key, squares)[u]) if len(u) else (n[:0], t[:0], t[:0])
+        else:
+            u, place = np.unique(key, return_inverse=True)
+            found = (np.bincount(place, minlength=len(u)), np.bincount(place, t, len(u)), np.bincount(place, squares, len(u)))
+        node, rest = np.divmod(u, width * kinds)
+        out.append(((node * d + f) * (width * kinds) + rest, *found))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 class _Source:
-    """Adds up the histograms of open nodes, on the driver or over the cluster."""
+    """Adds up histograms of nodes, on the driver or over the cluster."""
 
     def __init__(self, df: DataFrame, columns: list[str], target: str, cuts: list[np.ndarray], grid: np.ndarray | None, rows: int):
-        self.columns, self.cuts, self.grid = columns, cuts, grid
-        self.df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], F.col(f"`{target}`").cast("double").alias("_t"))
-        self.local = None
+        self.cuts, self.width, self.kinds = cuts, max(map(len, cuts)) + 1, 1 if grid is None else len(grid) + 1
+        self.added = 0  # rows that histograms were made of
+        given = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], F.col(f"`{target}`").cast("double").alias("_t"))
+        self.local = self.table = None
         if rows * (len(columns) + 1) <= LOCAL_CELLS:
-            table = self.df.toArrow()
-            self.local = np.column_stack([c.to_numpy() for c in table.columns])
-
-    def levels(self, tree: tuple[np.ndarray, ...], open_: list[int], size: int) -> np.ndarray:
-        """(node, feature, bin, target bin, [count, sum, squares]) for the open nodes."""
+            table = given.toArrow()
+            t = table.column(len(columns)).to_numpy()
+            self.local = (binned(np.column_stack([c.to_numpy() for c in table.columns[:-1]]), cuts), t, 0 if grid is None else np.searchsorted(grid, t))
+            self.at = np.zeros(len(t), np.int64)
+            return
+
+        def cut(frames):
+            for frame in frames:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in frame.columns])
+                t = np.ascontiguousarray(x[:, -1])
+                parts = [binned(x[:, :-1], cuts), t, *([] if grid is None else [np.searchsorted(grid, t).astype(np.uint8)])]
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in [*parts, *[np.zeros(0, np.uint8)] * (3 - len(parts))]], names=["bins", "t", "fine"])
+
+        self.table = stored(given.mapInArrow(cut, "bins binary, t binary, fine binary"), "binned")
+
+    def close(self) -> None:
+        if self.table is not None:
+            removed(self.table)
+
+    def levels(self, tree: tuple[np.ndarray, ...], wanted: list[int], size: int) -> np.ndarray:
+        """(node, feature, bin, target bin, [count, sum, squares]) for the wanted nodes of a tree of `size` nodes."""
         slots = np.full(size, -1)
-        slots[open_] = np.arange(len(open_))
-        cuts, grid = self.cuts, self.grid
+        slots[wanted] = np.arange(len(wanted))
+        d, width, kinds, n = len(self.cuts), self.width, self.kinds, len(wanted)
         if self.local is not None:
-            z, t = self.local[:, :-1], self.local[:, -1]
-            parts = [partial(z, t, slots[walk(z, *tree)], cuts, grid)]
+            bins, t, fine = self.local
+            self.at = settle(bins, self.at, *tree)
+            keys, *values = partial(bins, t, slots[self.at], fine, width, kinds, n)
         else:
+            kind = np.uint8 if width <= 256 else np.uint16
 
             def rows(frames):
                 for frame in frames:
-                    x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in frame.columns])
-                    k, n, s, q = partial(x[:, :-1], x[:, -1], slots[walk(x[:, :-1], *tree)], cuts, grid)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(s), pa.array(q)], names=["k", "n", "s", "q"])
-
-            found = self.df.mapInArrow(rows, "k long, n long, s double, q double").groupBy("k").agg(F.sum("n"), F.sum("s"), F.sum("q")).toArrow()
-            parts = [tuple(c.to_numpy() for c in found.columns)]
-        width, kinds = max(map(len, cuts)) + 1, 1 if grid is None else len(grid) + 1
-        out = np.zeros((len(open_) * len(cuts) * width * kinds, 3))
-        for k, n, s, q in parts:
-            out[k.astype(np.int64)] = np.column_stack((n, s, q))
-        return out.reshape(len(open_), len(cuts), width, kinds, 3)
+                    for one, other, third in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                        bins, t = np.frombuffer(one, kind).reshape(-1, d), np.frombuffer(other)
+                        fine = 0 if kinds == 1 else np.frombuffer(third, np.uint8)
+                        at = settle(bins, np.zeros(len(t), np.int64), *tree)
+                        found = partial(bins, t, slots[at], fine, width, kinds, n)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, c) for x, c in zip(found, _CELLS, strict=True)], names=["k", "n", "s", "q"])
+
+            found = self.table.mapInArrow(rows, "k long, n long, s double, q double").groupBy("k").agg(F.sum("n"), F.sum("s"), F.sum("q")).toArrow()
+            keys, *values = (c.to_numpy() for c in found.columns)
+        out = np.zeros((n * d * width * kinds, 3))
+        out[keys] = np.column_stack(values)
+        out = out.reshape(n, d, width, kinds, 3)
+        self.added += int(out[:, 0, ..., 0].sum())
+        return out
 
 
 def spread(h: np.ndarray, absolute: bool) -> np.ndarray:
@@ -241,26 +291,38 @@ def grow(df: DataFrame, columns: list[str], target: str, max_leaves: int = 31, m
     cuts = edges(df, columns, 64 if absolute else bins)
     grid = edges(df, [target], TARGET_BINS)[0] if absolute else None
     source = _Source(df, columns, target, cuts, grid, rows)
-    nodes = [Node(0, 0, rows, float(mean))]
+    try:
+        return _best_first(columns, _grown(source, rows, float(mean), max_leaves, min_leaf, max_depth, min_gain, absolute, splitter == "random", seed), max_leaves)
+    finally:
+        source.close()
+
+
+def _grown(source: _Source, rows: int, mean: float, max_leaves: int, min_leaf: int, max_depth: int | None, min_gain: float, absolute: bool, random: bool, seed: int) -> list[Node]:
+    """All nodes that best-first growth can reach."""
+    cuts = source.cuts
+    nodes = [Node(0, 0, rows, mean)]
+    at_bin = [0]  # of each split node the bin of its threshold
     reach = {0: math.inf}  # least gain on the way to a node: best-first order takes the greatest
-    open_ = [0]
-    while open_ and max(map(len, cuts)):
-        h = source.levels(_arrays(nodes), open_, len(nodes))
+    open_, known = [0], {}  # known: histograms of the open nodes
+    if max(map(len, cuts)):
+        known = {0: source.levels(_arrays(nodes, at_bin), [0], 1)[0]}
+    while open_ and known:
         later = []
-        for i, at in enumerate(open_):
+        for at in open_:
             node = nodes[at]
             if max_depth is not None and node.depth >= max_depth:
                 continue
-            rng = np.random.default_rng((seed, node.id & (1 << 62) - 1)) if splitter == "random" else None
-            found = best_split(h[i], cuts, rows, min_leaf, absolute, rng)
+            rng = np.random.default_rng((seed, node.id & (1 << 62) - 1)) if random else None
+            h = known[at]
+            found = best_split(h, cuts, rows, min_leaf, absolute, rng)
             if found is None or found[0] < min_gain or found[0] <= 1e-12:
                 continue
             node.gain, node.feature, b = found
-            node.threshold = float(cuts[node.feature][b])
-            later.append((at, h[i, node.feature, : b + 1].sum((0, 1)), h[i, node.feature, b + 1 :].sum((0, 1))))
+            node.threshold, at_bin[at] = float(cuts[node.feature][b]), b
+            later.append((at, h[node.feature, : b + 1].sum((0, 1)), h[node.feature, b + 1 :].sum((0, 1))))
         gains = sorted((min(reach[a], nodes[a].gain) for a in [*(x[0] for x in later), *(k for k in reach if nodes[k].left >= 0)]), reverse=True)
         floor = gains[max_leaves - 2] if len(gains) >= max_leaves else -math.inf
-        open_ = []
+        open_, pairs = [], []
         for at, a, b in later:
             node, own = nodes[at], min(reach[at], nodes[at].gain)
             if own < floor:
@@ -271,11 +333,24 @@ def grow(df: DataFrame, columns: list[str], target: str, max_leaves: int = 31, m
                 reach[len(nodes)] = own
                 open_.append(len(nodes))
                 nodes.append(Node(2 * node.id + 1 + k, node.depth + 1, int(cell[0]), float(cell[1] / cell[0])))
-    return _best_first(columns, nodes, max_leaves)
-
-
-def _arrays(nodes: list[Node]) -> tuple[np.ndarray, ...]:
-    return tuple(np.array([getattr(x, k) for x in nodes]) for k in ("feature", "threshold", "left", "right"))
+                at_bin.append(0)
+            small, large = sorted((node.left, node.right), key=lambda k: nodes[k].n)
+            if max_depth is None or node.depth + 1 < max_depth:
+                pairs.append((at, small, large))
+        if not pairs:
+            break
+        added = source.levels(_arrays(nodes, at_bin), [small for _, small, _ in pairs], len(nodes))
+        above, known = known, {}
+        for (at, small, large), h in zip(pairs, added, strict=True):
+            known[small], known[large] = h, above[at] - h
+            known[large][..., 1:][known[large][..., 0] == 0] = 0.0  # what rounding leaves in empty bins
+    return nodes
+
+
+def _arrays(nodes: list[Node], at_bin: list[int]) -> tuple[np.ndarray, ...]:
+    """Feature, bin of the threshold, left and right child, by node."""
+    feature, left, right = (np.array([getattr(x, k) for x in nodes]) for k in ("feature", "left", "right"))
+    return feature, np.array(at_bin), left, right
 
 
 def _best_first(columns: list[str], grown: list[Node], max_leaves: int) -> Tree:
