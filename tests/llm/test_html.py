@@ -39,3 +39,31 @@ def test_other_languages(sentence):
 def test_low_density_goes_where_the_language_is_known():
     words = "Alpha Beta Gamma Delta Epsilon Zeta Theta Kappa Lambda Sigma Omega Phi Chi Psi Rho Tau " * 2
     assert "Gamma" not in html.main_text(f"<body><p>{LONG}</p><p>{LONG}</p><div>{words}</div></body>")
+
+
+def test_quotes_count_only_where_a_value_begins():
+    page = "<article><p class=don't>Hello this is the first text of the article</p><p>It is here</p></article>"
+    assert html.main_text(page) == "Hello this is the first text of the article\nIt is here"
+    for attributes in ["title=\"a > b\"", "title = 'a > b'", "a='x'b=\"y>\"", "title=\"it's > that\"", "o'clock", 'x"y', "data-x=5'6\"", "a= b='>'", "="]:
+        assert html.main_text(f"<article><p {attributes}>{LONG}</p><p>It's here</p></article>").endswith("each other.\nIt's here")
+    assert html.main_text(f"<article><p>{LONG}</p><p title=\"never closed>{LONG}</p></article>").count("story") == 3
+
+
+def test_broken_pages_end():
+    """Whatever stands between the tags: no exception, the same each time, and text of an article that is whole stays."""
+    import random
+
+    rng = random.Random(1)
+    parts = ["<p>", "</p>", "<div class='ad'>", "</div>", "<", ">", "'", '"', "=", "<!--", "-->", "<![CDATA[", "]]>", "<script>", "</script>", "<a href=x'y>", "</a>", "&amp", "&#x41;", "&#0;", " text ", "<svg/>", "<article", "</", "<td>", "<br/>"]
+    for _ in range(400):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert html.main_text(page) == html.main_text(page)
+        assert html.main_text(f"<article><p>{LONG}</p></article>{page}").startswith(LONG.strip())
+
+
+def test_repeated_and_long_pages(spark):
+    page = f"<article>{'<p>' + LONG + '</p>'}</article>"
+    long = f"<article>{('<p>' + LONG + '</p>') * 5000}</article>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, None), (3, "v", "", "y"), (4, "w", long, "z")]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id, r.n_chars) for r in out) == [(1, len(LONG.strip())), (1, len(LONG.strip())), (2, 0), (3, 0), (4, 5000 * (len(LONG.strip()) + 1) - 1)]

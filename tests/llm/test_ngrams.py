@@ -80,7 +80,7 @@ def test_a_frequent_word_is_dealt_to_all_buckets(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "OFTEN_BYTES", 5000)
     given = [" ".join(f"a{i}x{j} the" for j in range(100)) for i in range(30)]
     buckets, often = ngrams.buckets_for(spark.createDataFrame([(t,) for t in given], "text string"))
-    sizes = [len(ngrams.Bucket([payload], 1, often).keys) for _, payload, _ in ngrams.split([t.encode() for t in given], [], buckets, often, False)[1]]
+    sizes = [len(ngrams.Bucket([payload], 1, often).starts) for _, payload, _ in ngrams.split([t.encode() for t in given], [], buckets, often, False)[1]]
     assert sum(sizes) == 6000 and max(sizes) < 1000  # about 3,000 of them have one middle word
 
 
@@ -122,3 +122,53 @@ def test_texts_are_not_shuffled_to_meet_targets(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     rows = found.collect()
     assert len(rows) == 302 and {r.doc_id for r in rows if r.hit} == {*range(0, 300, 3), 1, 2} and not any(r.hit for r in rows if r.doc_id is None)
+
+
+@pytest.mark.parametrize("near", [0.2, 0.001])
+def test_quartiles(spark, monkeypatch, near):
+    monkeypatch.setattr(quality, "NEAR", near)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), round(rng.gauss(0, 1), 1)) for _ in range(3000)] + [("one", 5.0), ("two", 1.0), ("two", 2.0)] + [("same", 3.0)] * 50
+    found = {r.lang: r.q for r in quality.quartiles(spark.createDataFrame(rows, "lang string, loss double"), "lang", "loss").collect()}
+    for lang in {r[0] for r in rows}:
+        own = sorted(v for k, v in rows if k == lang)
+        assert found[lang] == [own[math.ceil(len(own) * s) - 1] for s in (0.25, 0.75)]
+
+
+def test_bands_keep_what_they_say(spark):
+    """The verdicts by brute force from the losses, alike in two layouts."""
+    given = [t for t in texts() * 3 if t]
+    docs = spark.createDataFrame([(i, t + f" {i % 7}", "ab"[i % 2]) for i, t in enumerate(given)], "doc_id long, text string, lang string")
+    losses = {r.doc_id: r for r in quality.measure(docs.repartition(3)).collect()}
+    fails = {i: r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words for i, r in losses.items()}
+    want = {}
+    for lang in "ab":
+        own = sorted(r.loss for i, r in losses.items() if r.lang == lang and not fails[i])
+        low, high = (own[math.ceil(len(own) * s) - 1] for s in (0.25, 0.75))
+        reach = max(high - low, quality.LEAST) * 0.5
+        want |= {i: not fails[i] and low - reach <= r.loss <= high + reach for i, r in losses.items() if r.lang == lang}
+    for parts in (1, 6):
+        assert {r.doc_id: r.kept for r in quality.apply_rules(docs.repartition(parts), 0.5).collect()} == want
+    assert len(set(want.values())) == 2
+
+
+def test_more_words_than_narrow_keys_tell(monkeypatch):
+    given = [(t or "").encode() for t in texts()]
+    for frequent in (ngrams._NONE, ngrams.distinct_words([b"w0"])[0] >> ngrams.np.uint64(16)):
+        payloads = [p for half in (given[::2], given[1::2]) for _, p, _ in ngrams.split(half, [], 1, frequent, False)[1]]
+        found = []
+        for bits in (21, 3):
+            monkeypatch.setattr(ngrams, "NARROW", bits)
+            b = ngrams.Bucket(payloads, 1, frequent)
+            sums = [(at, starts, b.k2[0][None, at], ngrams.np.ones((1, 4, len(starts)), int)) for _, at, starts in b.shared(5)]
+            p = b.probabilities(0, ngrams.np.full(len(b.last), 0.01), ngrams.np.array([0, 0.5, 0.7, 0.9]), ngrams.np.array([0, 0.4, 0.6, 0.8]), sums)
+            found.append([x.tolist() for x in (b.place, *b.k3, *b.k2, *b.k1, b.words[b.last], b.histories, p)] + [(h, at.tolist(), s.tolist()) for h, at, s in b.shared(5)])
+        assert found[0] == found[1]
+
+
+def test_a_bucket_of_very_many_words(spark, monkeypatch):
+    """More words than 21 bits number, in two buckets."""
+    monkeypatch.setattr(ngrams, "LEAST_BUCKETS", 2)
+    docs = spark.range(24).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 100000), x -> concat('w', id * 100000 + x))) as text", "'en' as lang")
+    out = quality.apply_rules(docs).collect()
+    assert len(out) == 24 and {r.n_words for r in out} == {100_000} and len({round(r.perplexity, 3) for r in out}) == 1

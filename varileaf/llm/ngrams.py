@@ -29,6 +29,8 @@ BUCKET_BYTES, CHUNK, LEAST_BUCKETS = 16 << 20, 12 << 20, 12
 OFTEN_BYTES, SAMPLE_TEXTS = BUCKET_BYTES // 2, 20_000
 #: So many of the sample's words are common ones. This decides how words are written, never the result.
 COMMON = 1 << 18
+#: Bits of a word's number in a bucket of up to so many words; of more words it has 32. This decides memory, never the result.
+NARROW = 21
 #: What stands before the first words of a text.
 START = 1
 #: Sums of losses are sent in so many steps for each unit.
@@ -114,10 +116,18 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
 
 
+def by_home(home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, and its places in order."""
+    order = np.argsort(home, kind="stable")
+    starts = _runs(home[order])
+    for a, b in zip(starts.tolist(), np.append(starts, len(order))[1:].tolist(), strict=True):
+        yield int(home[order[a]]), order[a:b]
+
+
 def _sorted(first: np.ndarray, second: np.ndarray, third: np.ndarray, size: int) -> np.ndarray:
     """Order of triples of numbers below `size`."""
-    if size <= 1 << 21:
-        return np.argsort(first << 42 | second << 21 | third, kind="stable")
+    if size <= 1 << NARROW:
+        return np.argsort(first << 2 * NARROW | second << NARROW | third, kind="stable")
     return np.lexsort((third, second, first))
 
 
@@ -229,51 +239,62 @@ class Bucket:
     def __init__(self, payloads: list[bytes], models: int, often: np.ndarray, common: np.ndarray = _NONE):
         given = [unpack(p) for p in payloads]
         self.words, number = np.unique(np.concatenate([common, *(codes_of(g[0]) for g in given)]), return_inverse=True)
-        if len(self.words) > 1 << 21:
-            raise ValueError("more distinct words in a bucket than its keys tell apart; lower BUCKET_BYTES")
-        parts, at = [], len(common)
+        narrow = len(self.words) <= 1 << NARROW
+        self.bits = NARROW if narrow else 32
+        parts, histories, at = [], [], len(common)
         for g in given:
             own = np.concatenate((number[: len(common)], number[at : at + len(g[0])]))
             at += len(g[0])
             sums = np.cumsum(g[3])
             first = np.cumsum(g[2]) - g[2]
             left = sums - np.repeat(sums[first] - g[3][first], g[2])
-            parts.append(np.repeat(own[g[1]], g[2]) << 42 | own[left] << 21 | own[g[4]])
+            history = np.repeat(own[g[1]], g[2]) << self.bits | own[left]
+            if narrow:
+                parts.append(history << NARROW | own[g[4]])
+            else:  # three numbers don't fit: histories are numbered in their order
+                parts.append(own[g[4]])
+                histories.append(history)
         self.ends = np.cumsum([len(p) for p in parts]).tolist()
         keys = np.concatenate(parts)
+        if not narrow:
+            held, number = np.unique(np.concatenate(histories), return_inverse=True)
+            keys |= number << 32
+            del histories
         order = np.argsort(keys, kind="stable")
         self.starts = _runs(keys[order])
         self.place = np.empty(len(keys), np.int64)
         self.place[order] = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(keys))))
-        self.keys = keys[order][self.starts]
+        keys = keys[order][self.starts]
+        self.histories = _runs(keys >> self.bits)
+        self.middle = (keys >> 2 * NARROW if narrow else held[keys >> 32] >> 32).astype(np.int32)
         self.times = np.concatenate([g[-1] for g in given])
         self.k3 = [np.add.reduceat(np.concatenate([g[5 + m] for g in given])[order], self.starts) for m in range(models)]
-        del given, parts, keys, order, number  # what was sent is not held while the bigrams are counted
-        mask = (1 << 21) - 1
-        self.keys2, self.at2 = np.unique(self.keys >> 42 << 21 | self.keys & mask, return_inverse=True)
+        del given, parts, order, number  # what was sent is not held while the bigrams are counted
+        mask = (1 << self.bits) - 1
+        self.keys2, self.at2 = np.unique(self.middle.astype(np.int64) << self.bits | keys & mask, return_inverse=True)
+        del keys
         self.k2 = [np.bincount(self.at2, k > 0, len(self.keys2)).astype(np.int64) for k in self.k3]
         self.last, self.at1 = np.unique(self.keys2 & mask, return_inverse=True)
-        self.spread = np.isin(self.words, often)[self.keys2 >> 21]  # bigrams that other buckets may have too
+        self.spread = np.isin(self.words, often)[self.keys2 >> self.bits]  # bigrams that other buckets may have too
         self.k1 = [np.bincount(self.at1, (k > 0) & ~self.spread, len(self.last)).astype(np.int64) for k in self.k2]
 
     def shared(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By bucket of their first words: that, places of the bigrams that other buckets may have too, and where their first words change."""
         at = np.flatnonzero(self.spread)
-        first = self.keys2[at] >> 21
-        home = bucket_of(self.words[first], buckets)
-        for b in np.unique(home).tolist():
-            yield b, at[home == b], _runs(first[home == b])
+        first = self.keys2[at] >> self.bits
+        for b, own in by_home(bucket_of(self.words[first], buckets)):
+            yield b, at[own], _runs(first[own])
 
     def probabilities(self, m: int, p1: np.ndarray, d2: np.ndarray, d3: np.ndarray, sums: list[tuple[np.ndarray, ...]]) -> np.ndarray:
         """Of each trigram under model m, given the last words' own. sums: what other buckets' counts add up to for bigrams of frequent words."""
-        own, left = smoothed(_runs(self.keys2 >> 21), self.k2[m], d2)
+        own, left = smoothed(_runs(self.keys2 >> self.bits), self.k2[m], d2)
         for at, starts, k, n in sums:
             lengths, total = np.diff(np.append(starts, len(at))), n[m, 0]
             rest = np.where(total > 0, (d2[1:, None] * n[m, 1:]).sum(0) / np.maximum(total, 1), 1.0)
             own[at] = (k[m] - d2[np.minimum(k[m], 3)]) / np.repeat(np.maximum(total, 1), lengths)
             left[at] = np.repeat(rest, lengths)
         p2 = own + left * p1[self.at1]
-        own, left = smoothed(_runs(self.keys >> 21), self.k3[m], d3)
+        own, left = smoothed(self.histories, self.k3[m], d3)
         return own + left * p2[self.at2]
 
 
@@ -317,16 +338,13 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
         found = Bucket(table.column("payload").to_pylist(), models, often, common)
         source, out = table.column("bucket")[0].as_py(), []
         for b, at, _ in found.shared(buckets):
-            used, local = np.unique(np.concatenate((found.keys2[at] >> 21, found.keys2[at] & (1 << 21) - 1)), return_inverse=True)
+            used, local = np.unique(np.concatenate((found.keys2[at] >> found.bits, found.keys2[at] & (1 << found.bits) - 1)), return_inverse=True)
             out.append((b, BIGRAMS, source, pack(steps(found.words[used]), *np.split(local, 2), *(k[at] for k in found.k2)), None))
         return packed([_counts(3, found.k3), _counts(2, [k[~found.spread] for k in found.k2]), *sent(source, found.words[found.last], found.k1), *out])
 
     def sent(source: int, words: np.ndarray, k1: list[np.ndarray]) -> list[tuple]:
         """Rows for the buckets of the words."""
-        home = bucket_of(words, buckets)
-        order = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[order], np.arange(buckets + 1)).tolist()
-        return [(b, TRIGRAMS, source, pack(steps(words[s]), *(k[s] for k in k1)), None) for b in range(buckets) if len(s := order[edges[b] : edges[b + 1]])]
+        return [(b, TRIGRAMS, source, pack(steps(words[s]), *(k[s] for k in k1)), None) for b, s in by_home(bucket_of(words, buckets))]
 
     def bigrams(table: pa.Table) -> pa.Table:
         """Of the frequent words of a bucket: the bigrams of all buckets added up; counts for the driver and for the last words, and what each bucket is told."""
@@ -388,10 +406,10 @@ def mean_losses(docs: DataFrame, read: Callable, describe: Callable, fields: str
             return texts
         bucket = Bucket(mine.column("payload").to_pylist(), models, often, common)
         answers = table.filter(pa.array(kind == REPLIES))
-        home = bucket_of(bucket.words[bucket.last], buckets)
-        known = np.zeros((models, len(home)), np.int64)
-        for source, payload in zip(answers.column("chunk").to_pylist(), answers.column("payload").to_pylist(), strict=True):
-            known[:, home == source] = np.stack(unpack(payload))
+        answered = dict(zip(answers.column("chunk").to_pylist(), answers.column("payload").to_pylist(), strict=True))
+        known = np.zeros((models, len(bucket.last)), np.int64)
+        for source, own in by_home(bucket_of(bucket.words[bucket.last], buckets)):
+            known[:, own] = np.stack(unpack(answered[source]))
         of = table.filter(pa.array(kind == SUMS))
         of = dict(zip(of.column("chunk").to_pylist(), of.column("payload").to_pylist(), strict=True))
         sums = []

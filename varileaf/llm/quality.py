@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varileaf.llm import ngrams
@@ -12,6 +13,8 @@ from varileaf.llm.common import text_bytes
 
 #: A document's log perplexity may lie so many quartile distances (at least LEAST) beyond its language's quartiles.
 WIDTH, LEAST = 4.0, 0.02
+#: Share of a language's documents that is sorted on either side of where a quartile about is. This decides the work, never the result.
+NEAR = 0.001
 #: A repeated window's words.
 WINDOW = 5
 #: So many rounds the texts are scored in, for the sake of the disk.
@@ -77,6 +80,24 @@ def measure(docs: DataFrame) -> DataFrame:
     return ngrams.mean_losses(given, read, describe, _FIELDS, 1, ROUNDS).withColumn("loss", F.col("losses")[0]).drop("losses")
 
 
+def quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group and q: the exact first and third quartile of each group, the least value that so many of its rows don't exceed.
+
+    Two values around each quartile are found approximately; rows below them are counted, and only distinct values between them are sorted.
+    """
+    shares = (0.25, 0.75)
+    probes = [max(0.0, min(1.0, s + e)) for s in shares for e in (-NEAR, NEAR)]
+    around = df.groupBy(group).agg(F.percentile_approx(value, F.array(*map(F.lit, probes)), int(4 / NEAR)).alias("p"), F.count(F.lit(1)).alias("n"))
+    around = around.select(F.col(group).alias("of"), "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("share"), F.col("p")[2 * i].alias("a"), F.col("p")[2 * i + 1].alias("b")) for i, s in enumerate(shares)])).alias("r")).select("of", "n", "r.*")
+    each = df.select(group, value).join(around, F.col(group).eqNullSafe(F.col("of"))).where(F.col(value) <= F.col("b"))
+    inside = F.when(F.col(value) >= F.col("a"), F.col(value))  # all that is less counts as one
+    counted = each.groupBy("of", "i", "share", "n", inside.alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(W.partitionBy("of", "i").orderBy(F.col("v").asc_nulls_first()))
+    found = counted.withColumn("upto", upto).where(F.col("v").isNotNull() & (F.col("upto") >= F.ceil(F.col("n") * F.col("share"))))
+    least = found.groupBy("of", "i").agg(F.min("v").alias("v"))
+    return least.groupBy(F.col("of").alias(group)).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))
+
+
 def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity.
 
@@ -86,7 +107,7 @@ def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """
     measured = measure(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    bands = measured.where(~failed).groupBy("lang").agg(F.percentile_approx("loss", F.array(F.lit(0.25), F.lit(0.75)), 10000).alias("q"))
+    bands = quartiles(measured.where(~failed), "lang", "loss")
     reach = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST)) * width
     bands = bands.select(F.col("lang").alias("of"), (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
     joined = measured.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left")
