@@ -36,7 +36,7 @@ def test_smaller_children_are_enough(spark, monkeypatch, criterion):
         true_levels = source.levels
 
         def both(t, wanted, size):  # adds the larger children's rows too, and checks what subtraction makes of them
-            if len(wanted) > 1 or wanted[0]:
+            if size > 1:
                 left, right = t[2], t[3]
                 pairs = [next((x, y) for x, y in zip(left, right, strict=True) if w in (x, y)) for w in wanted]
                 parents = [int(np.flatnonzero((left == x) & (right == y))[0]) for x, y in pairs]
@@ -73,3 +73,26 @@ def test_dense_and_sparse_cells_are_the_same(monkeypatch):
         key = ((np.repeat(slot, 3) * 3 + np.tile(np.arange(3), 500)) * 9 + bins.ravel()) * kinds + (np.repeat(given, 3) if kinds > 1 else 0)
         assert dense[1].sum() == 3 * (slot >= 0).sum() and set(dense[0].tolist()) == set(key[np.repeat(slot, 3) >= 0].tolist())
     assert [len(x) for x in tree.partial(bins, t, np.full(500, -1), 0, 9, 1, 4)] == [0] * 4
+
+
+def test_a_forest_is_its_trees(spark, monkeypatch):
+    df = table(spark, 1500, 4).selectExpr("*", "cast(pmod(hash(a), 5) as int) as g").cache()
+    columns = ["a", "b", "c", "d"]
+    budgets = [6, 1, 3, 12, 4, 7]  # nothing is in the last group
+    for cells in (tree.LOCAL_CELLS, 0):
+        monkeypatch.setattr(tree, "LOCAL_CELLS", cells)
+        forest = tree.grow_forest(df, "g", columns, "t", budgets, 10)
+        assert [len(t.leaves) for t in forest.trees] == [6, 1, 3, 12, 4, 1]
+        for k in (0, 2, 3, 4):
+            alone = tree.grow(df.where(f"g = {k}"), columns, "t", budgets[k], 10)
+            assert [(x.n, x.feature, x.threshold, x.left, x.leaf) for x in alone.nodes] == [(x.n, x.feature, x.threshold, x.left, x.leaf) for x in forest.trees[k].nodes]
+    marked = df.withColumn("p", forest.leaf(df.g)).groupBy("p").count().collect()
+    assert sorted((r.p, r["count"]) for r in marked) == list(enumerate(x.n for t in forest.trees[:5] for x in t.leaves))
+
+
+def test_many_leaves_are_routed_in_batches(spark, monkeypatch):
+    df = table(spark, 800, 5).cache()
+    grown = tree.grow(df, ["a", "b", "c", "d"], "t", 40, 5)
+    short = df.select(grown.leaf().alias("p"), grown.predict().alias("v")).collect()
+    monkeypatch.setattr(tree, "EXPRESSION_LEAVES", 3)
+    assert df.select(grown.leaf().alias("p"), grown.predict().alias("v")).collect() == short

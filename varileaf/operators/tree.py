@@ -13,6 +13,7 @@ import math
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,12 +79,9 @@ class Tree:
     def _routed(self, what: str, kind: str) -> Column:
         if len(self.nodes) <= 2 * EXPRESSION_LEAVES:
             return self._case(0, what).cast(kind)
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
         arrays, values = self.arrays(), np.array([getattr(x, what) for x in self.nodes])
 
-        @pandas_udf(kind)
+        @F.pandas_udf(kind)
         def route(*z: pd.Series) -> pd.Series:
             return pd.Series(values[walk(np.column_stack([c.to_numpy(float) for c in z]), *arrays)])
 
@@ -127,21 +125,25 @@ def walk(z: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.nda
 
 def edges(df: DataFrame, columns: list[str], bins: int = MAX_BINS) -> list[np.ndarray]:
     """Candidate thresholds of each column: midpoints between all its values if they are few, else between quantiles."""
-    probes = [i / bins for i in range(bins + 1)]
-    aggs = [F.percentile_approx(F.col(f"`{c}`"), probes, 10000).alias(f"q{i}") for i, c in enumerate(columns)]
-    row = df.agg(*aggs).first()
-    out = []
-    for values in row:
-        v = np.unique(np.array(values or [], float))
-        out.append((v[1:] + v[:-1]) / 2)
-    return out
+    return _middles(df.agg(*_quantiles(columns, bins)).first())
 
 
-def binned(z: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """Bin of each cell: how many thresholds of its column are less. A row with z <= cuts[b] has a bin of b at most."""
-    out = np.empty(z.shape, np.uint8 if max(map(len, cuts)) < 256 else np.uint16)
-    for f, c in enumerate(cuts):
-        out[:, f] = np.searchsorted(c, z[:, f])
+def _quantiles(columns: list[str], bins: int) -> list[Column]:
+    return [F.percentile_approx(F.col(f"`{c}`"), [i / bins for i in range(bins + 1)], 10000).alias(f"q{i}") for i, c in enumerate(columns)]
+
+
+def _middles(quantiles) -> list[np.ndarray]:
+    found = [np.unique(np.array(values or [], float)) for values in quantiles]
+    return [(v[1:] + v[:-1]) / 2 for v in found]
+
+
+def binned(z: np.ndarray, cuts: list[list[np.ndarray]], root: np.ndarray | int = 0) -> np.ndarray:
+    """Bin of each cell: how many thresholds of its column, in its row's tree, are less. A row with z <= cuts[b] has a bin of b at most."""
+    out = np.empty(z.shape, np.uint8 if max(len(c) for own in cuts for c in own) < 256 else np.uint16)
+    for k in [0] if len(cuts) == 1 else np.unique(root).tolist():
+        rows = slice(None) if len(cuts) == 1 else np.flatnonzero(root == k)
+        for f, c in enumerate(cuts[k]):
+            out[rows, f] = np.searchsorted(c, z[rows, f])
     return out
 
 
@@ -178,28 +180,29 @@ def partial(bins: np.ndarray, t: np.ndarray, slot: np.ndarray, fine: np.ndarray
 
 
 class _Source:
-    """Adds up histograms of nodes, on the driver or over the cluster."""
+    """Adds up histograms of nodes, on the driver or over the cluster. Of several trees each has its own thresholds; the column `group` is a row's tree, whose
+    root is the node of that number."""
 
-    def __init__(self, df: DataFrame, columns: list[str], target: str, cuts: list[np.ndarray], grid: np.ndarray | None, rows: int):
-        self.cuts, self.width, self.kinds = cuts, max(map(len, cuts)) + 1, 1 if grid is None else len(grid) + 1
+    def __init__(self, df: DataFrame, columns: list[str], target: str, cuts: list[list[np.ndarray]], grid: np.ndarray | None, rows: int, group: str | None = None):
+        self.cuts, self.width, self.kinds = cuts, max(len(c) for own in cuts for c in own) + 1, 1 if grid is None else len(grid) + 1
         self.added = 0  # rows that histograms were made of
-        given = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], F.col(f"`{target}`").cast("double").alias("_t"))
+        root = F.col(f"`{group}`") if group else F.lit(0)
+        given = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], F.col(f"`{target}`").cast("double").alias("_t"), root.cast("int").alias("_root"))
         self.local = self.table = None
         if rows * (len(columns) + 1) <= LOCAL_CELLS:
             table = given.toArrow()
-            t = table.column(len(columns)).to_numpy()
-            self.local = (binned(np.column_stack([c.to_numpy() for c in table.columns[:-1]]), cuts), t, 0 if grid is None else np.searchsorted(grid, t))
-            self.at = np.zeros(len(t), np.int64)
+            t, self.at = table.column(len(columns)).to_numpy(), table.column(len(columns) + 1).to_numpy().astype(np.int64)
+            self.local = (binned(np.column_stack([c.to_numpy() for c in table.columns[:-2]]), cuts, self.at), t, 0 if grid is None else np.searchsorted(grid, t))
             return
 
         def cut(frames):
             for frame in frames:
-                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in frame.columns])
-                t = np.ascontiguousarray(x[:, -1])
-                parts = [binned(x[:, :-1], cuts), t, *([] if grid is None else [np.searchsorted(grid, t).astype(np.uint8)])]
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in [*parts, *[np.zeros(0, np.uint8)] * (3 - len(parts))]], names=["bins", "t", "fine"])
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in frame.columns[:-1]])
+                t, root = np.ascontiguousarray(x[:, -1]), frame.column(frame.num_columns - 1).to_numpy()
+                fine = np.zeros(0, np.uint8) if grid is None else np.searchsorted(grid, t).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in (binned(x[:, :-1], cuts, root), t, fine, root)], names=["bins", "t", "fine", "root"])
 
-        self.table = stored(given.mapInArrow(cut, "bins binary, t binary, fine binary"), "binned")
+        self.table = stored(given.mapInArrow(cut, "bins binary, t binary, fine binary, root binary"), "binned")
 
     def close(self) -> None:
         if self.table is not None:
@@ -209,7 +212,7 @@ class _Source:
         """(node, feature, bin, target bin, [count, sum, squares]) for the wanted nodes of a tree of `size` nodes."""
         slots = np.full(size, -1)
         slots[wanted] = np.arange(len(wanted))
-        d, width, kinds, n = len(self.cuts), self.width, self.kinds, len(wanted)
+        d, width, kinds, n = len(self.cuts[0]), self.width, self.kinds, len(wanted)
         if self.local is not None:
             bins, t, fine = self.local
             self.at = settle(bins, self.at, *tree)
@@ -219,10 +222,10 @@ class _Source:
 
             def rows(frames):
                 for frame in frames:
-                    for one, other, third in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                    for one, other, third, root in zip(*(c.to_pylist() for c in frame.columns), strict=True):
                         bins, t = np.frombuffer(one, kind).reshape(-1, d), np.frombuffer(other)
                         fine = 0 if kinds == 1 else np.frombuffer(third, np.uint8)
-                        at = settle(bins, np.zeros(len(t), np.int64), *tree)
+                        at = settle(bins, np.frombuffer(root, np.int32).astype(np.int64), *tree)
                         found = partial(bins, t, slots[at], fine, width, kinds, n)
                         yield pa.RecordBatch.from_arrays([pa.array(x, c) for x, c in zip(found, _CELLS, strict=True)], names=["k", "n", "s", "q"])
 
@@ -290,42 +293,52 @@ def grow(df: DataFrame, columns: list[str], target: str, max_leaves: int = 31, m
         raise ValueError("no rows to fit on")
     cuts = edges(df, columns, 64 if absolute else bins)
     grid = edges(df, [target], TARGET_BINS)[0] if absolute else None
-    source = _Source(df, columns, target, cuts, grid, rows)
+    source = _Source(df, columns, target, [cuts], grid, rows)
     try:
-        return _best_first(columns, _grown(source, rows, float(mean), max_leaves, min_leaf, max_depth, min_gain, absolute, splitter == "random", seed), max_leaves)
+        return _best_first(columns, _grown(source, [Root(rows, float(mean), max_leaves)], min_leaf, max_depth, min_gain, absolute, splitter == "random", seed), max_leaves)
     finally:
         source.close()
 
 
-def _grown(source: _Source, rows: int, mean: float, max_leaves: int, min_leaf: int, max_depth: int | None, min_gain: float, absolute: bool, random: bool, seed: int) -> list[Node]:
-    """All nodes that best-first growth can reach."""
-    cuts = source.cuts
-    nodes = [Node(0, 0, rows, mean)]
-    at_bin = [0]  # of each split node the bin of its threshold
-    reach = {0: math.inf}  # least gain on the way to a node: best-first order takes the greatest
-    open_, known = [0], {}  # known: histograms of the open nodes
-    if max(map(len, cuts)):
-        known = {0: source.levels(_arrays(nodes, at_bin), [0], 1)[0]}
+@dataclass(frozen=True)
+class Root:
+    """Rows and mean target of a tree, and the leaves that it may have."""
+
+    rows: int
+    mean: float
+    max_leaves: int
+
+
+def _grown(source: _Source, roots: list[Root], min_leaf: int, max_depth: int | None, min_gain: float, absolute: bool, random: bool, seed: int) -> list[Node]:
+    """All nodes that best-first growth of each tree can reach, the roots first; a level of all trees is one job."""
+    nodes = [Node(0, 0, r.rows, r.mean) for r in roots]
+    at_bin = [0] * len(roots)  # of each split node the bin of its threshold
+    own_root = list(range(len(roots)))
+    reach = dict.fromkeys(range(len(roots)), math.inf)  # least gain on the way to a node: best-first order takes the greatest
+    open_ = [k for k, r in enumerate(roots) if r.max_leaves > 1 and max(map(len, source.cuts[k]))]
+    known = dict(zip(open_, source.levels(_arrays(nodes, at_bin), open_, len(nodes)), strict=True)) if open_ else {}  # histograms of the open nodes
     while open_ and known:
         later = []
         for at in open_:
-            node = nodes[at]
+            node, root = nodes[at], own_root[at]
             if max_depth is not None and node.depth >= max_depth:
                 continue
-            rng = np.random.default_rng((seed, node.id & (1 << 62) - 1)) if random else None
-            h = known[at]
-            found = best_split(h, cuts, rows, min_leaf, absolute, rng)
+            rng = np.random.default_rng((seed, *([root] if root else []), node.id & (1 << 62) - 1)) if random else None
+            h, cuts = known[at], source.cuts[root]
+            found = best_split(h, cuts, roots[root].rows, min_leaf, absolute, rng)
             if found is None or found[0] < min_gain or found[0] <= 1e-12:
                 continue
             node.gain, node.feature, b = found
             node.threshold, at_bin[at] = float(cuts[node.feature][b]), b
             later.append((at, h[node.feature, : b + 1].sum((0, 1)), h[node.feature, b + 1 :].sum((0, 1))))
-        gains = sorted((min(reach[a], nodes[a].gain) for a in [*(x[0] for x in later), *(k for k in reach if nodes[k].left >= 0)]), reverse=True)
-        floor = gains[max_leaves - 2] if len(gains) >= max_leaves else -math.inf
+        gains: dict[int, list[float]] = {}
+        for k in [*(x[0] for x in later), *(k for k in reach if nodes[k].left >= 0)]:
+            gains.setdefault(own_root[k], []).append(min(reach[k], nodes[k].gain))
+        floors = {r: sorted(g, reverse=True)[roots[r].max_leaves - 2] if len(g) >= roots[r].max_leaves else -math.inf for r, g in gains.items()}
         open_, pairs = [], []
         for at, a, b in later:
             node, own = nodes[at], min(reach[at], nodes[at].gain)
-            if own < floor:
+            if own < floors[own_root[at]]:
                 node.feature, node.gain = -1, 0.0
                 continue
             node.left, node.right = len(nodes), len(nodes) + 1
@@ -334,6 +347,7 @@ def _grown(source: _Source, rows: int, mean: float, max_leaves: int, min_leaf: i
                 open_.append(len(nodes))
                 nodes.append(Node(2 * node.id + 1 + k, node.depth + 1, int(cell[0]), float(cell[1] / cell[0])))
                 at_bin.append(0)
+                own_root.append(own_root[at])
             small, large = sorted((node.left, node.right), key=lambda k: nodes[k].n)
             if max_depth is None or node.depth + 1 < max_depth:
                 pairs.append((at, small, large))
@@ -347,16 +361,68 @@ def _grown(source: _Source, rows: int, mean: float, max_leaves: int, min_leaf: i
     return nodes
 
 
+@dataclass
+class Forest:
+    """Trees over the same columns, by number."""
+
+    columns: list[str]
+    trees: list[Tree]
+
+    @property
+    def leaves(self) -> int:
+        return sum(len(t.leaves) for t in self.trees)
+
+    def leaf(self, group: Column) -> Column:
+        """Number of a row's leaf among all trees' leaves, tree after tree, given its tree's number."""
+        feature, threshold, left, right = (np.concatenate(x) for x in zip(*(t.arrays() for t in self.trees), strict=True))
+        sizes = [len(t.nodes) for t in self.trees]
+        roots = np.cumsum([0, *sizes[:-1]])
+        shift = np.repeat(roots, sizes)
+        left, right = (np.where(x >= 0, x + shift, -1) for x in (left, right))
+        before = np.repeat(np.cumsum([0, *[len(t.leaves) for t in self.trees[:-1]]]), sizes)
+        number = np.array([x.leaf for t in self.trees for x in t.nodes]) + before
+
+        @F.pandas_udf("int")
+        def route(*given: pd.Series) -> pd.Series:
+            cells = np.column_stack([c.to_numpy(float) for c in given[1:]])
+            at = roots[given[0].to_numpy(np.int64)]
+            moving = np.flatnonzero(left[at] >= 0)
+            while len(moving):
+                here = at[moving]
+                at[moving] = np.where(cells[moving, feature[here]] <= threshold[here], left[here], right[here])
+                moving = moving[left[at[moving]] >= 0]
+            return pd.Series(number[at])
+
+        return route(group, *[F.col(f"`{c}`") for c in self.columns])
+
+
+def grow_forest(df: DataFrame, group: str, columns: list[str], target: str, max_leaves: list[int], min_leaf: int = 5, max_depth: int | None = None, min_gain: float = 0.0, bins: int = MAX_BINS) -> Forest:
+    """A tree for each value of `group` (0, 1, ...) with max_leaves of that place; one aggregation for all thresholds and one for each level of all trees."""
+    mean, count = F.avg(f"`{target}`").alias("_m"), F.count(F.lit(1)).alias("_n")
+    found = {r["_g"]: r for r in df.groupBy(F.col(f"`{group}`").alias("_g")).agg(count, mean, *_quantiles(columns, bins)).collect()}
+    if set(found) - set(range(len(max_leaves))):
+        raise ValueError("a row's tree has no number of leaves")
+    none = [np.zeros(0)] * len(columns)
+    cuts = [_middles(found[k][3:]) if k in found else none for k in range(len(max_leaves))]
+    roots = [Root(found[k]["_n"], float(found[k]["_m"]), m) if k in found else Root(0, 0.0, 1) for k, m in enumerate(max_leaves)]
+    source = _Source(df, columns, target, cuts, None, sum(r.rows for r in roots), group)
+    try:
+        nodes = _grown(source, roots, min_leaf, max_depth, min_gain, False, False, 0)
+    finally:
+        source.close()
+    return Forest(columns, [_best_first(columns, nodes, r.max_leaves, k) for k, r in enumerate(roots)])
+
+
 def _arrays(nodes: list[Node], at_bin: list[int]) -> tuple[np.ndarray, ...]:
     """Feature, bin of the threshold, left and right child, by node."""
     feature, left, right = (np.array([getattr(x, k) for x in nodes]) for k in ("feature", "left", "right"))
     return feature, np.array(at_bin), left, right
 
 
-def _best_first(columns: list[str], grown: list[Node], max_leaves: int) -> Tree:
+def _best_first(columns: list[str], grown: list[Node], max_leaves: int, root: int = 0) -> Tree:
     """Keeps the splits that best-first growth would make, and numbers the leaves from left to right."""
     kept: set[int] = set()
-    heap = [(-grown[0].gain, 0)] if grown[0].left >= 0 else []
+    heap = [(-grown[root].gain, root)] if grown[root].left >= 0 else []
     while heap and len(kept) < max_leaves - 1:
         _, at = heapq.heappop(heap)
         kept.add(at)
@@ -365,7 +431,7 @@ def _best_first(columns: list[str], grown: list[Node], max_leaves: int) -> Tree:
                 heapq.heappush(heap, (-grown[child].gain, child))
     out: list[Node] = []
     leaves = 0
-    stack = [(0, -1, "")]
+    stack = [(root, -1, "")]
     while stack:
         at, parent, side = stack.pop()
         x = grown[at]

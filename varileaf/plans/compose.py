@@ -13,15 +13,63 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varileaf.operators import baselines, metrics
+from varileaf.functions import geometry
+from varileaf.operators import baselines, metrics, tree
 from varileaf.plans.model import FittedModel, Partitioner
 from varileaf.sources.datasets import DATASETS, feature_columns
 from varileaf.sources.tables import RESULT
 
 
+#: Groups of one refinement; their statistics and thresholds are collected.
+MOST_GROUPS = 10_000
+
+
+def refined(df: DataFrame, group: str, features: list[str], parts: int, min_leaf: int = 5, max_depth: int | None = None) -> DataFrame:
+    """The rows with partition_id: every group (0, 1, ... in the column) split into at most `parts` by a tree of its own, over features that are scaled
+    within the group, for their sum. Numbers are dense, group after group.
+
+    A group of fewer than parts * min_leaf rows stays whole. All trees grow together: the number of jobs doesn't depend on the groups. Rows
+    without a group or a feature raise an error.
+    """
+    x = [F.col(f"`{c}`").cast("double") for c in features]
+    found = df.groupBy(F.col(f"`{group}`").cast("int").alias("_g")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).limit(MOST_GROUPS + 1).collect()
+    if len(found) > MOST_GROUPS or any(r["_g"] is None or r["_g"] < 0 or r["_g"] >= MOST_GROUPS for r in found):
+        raise ValueError(f"groups must be numbers from 0 to {MOST_GROUPS - 1}")
+    if not found:
+        return df.withColumn("partition_id", F.lit(None).cast("int"))
+    by = {r["_g"]: r for r in found}
+    size = max(by) + 1
+    own = F.col(f"`{group}`").cast("int")
+    pick = lambda k, other: F.get(F.array(*[F.lit(float((by[g][k] if g in by else None) or other)) for g in range(size)]), own)
+    z = [f"_z{i}" for i in range(len(features))]
+    scaled = df.select("*", own.alias("_g"), *[((c - pick(f"m{i}", 0.0)) / pick(f"s{i}", 1.0)).alias(z[i]) for i, c in enumerate(x)])
+    leaves = [max(1, min(parts, by[g].n // min_leaf)) if g in by and by[g].n >= parts * min_leaf else 1 for g in range(size)]
+    forest = tree.grow_forest(scaled.select("_g", *z, geometry.signed_sum([F.col(c) for c in z]).alias("_t")), "_g", z, "_t", leaves, min_leaf, max_depth)
+    return scaled.withColumn("partition_id", forest.leaf(F.col("_g"))).drop("_g", *z)
+
+
+def anchored(df: DataFrame, anchor: list[str], target: list[str], coarse: int, fine: int, min_leaf: int = 5) -> DataFrame:
+    """Partitions by one set of features, and within each by another; partition_id numbers the pairs."""
+    first = refined(df.withColumn("_all", F.lit(0)), "_all", anchor, coarse, min_leaf).drop("_all")
+    return refined(first.withColumnRenamed("partition_id", "_coarse"), "_coarse", target, fine, min_leaf).drop("_coarse")
+
+
+def many_rounds(df: DataFrame, anchor: list[str], target: list[str], rounds: int, splits: int, min_leaf: int = 5, max_depth: int | None = None) -> DataFrame:
+    """Partitions by the anchor features in a first round and by the target features within these in each further one, a few splits at a time."""
+    out = df.withColumn("partition_id", F.lit(0))
+    for k in range(rounds):
+        out = refined(out.withColumnRenamed("partition_id", "_before"), "_before", target if k else anchor, splits, min_leaf, max_depth).drop("_before")
+    return out
+
+
 def hierarchical(df: DataFrame, coarse: FittedModel, fine: Partitioner, features: list[str]) -> DataFrame:
-    """Partitions inside each coarse partition; partition_id is the dense number of the pair. One fit for each coarse leaf."""
+    """Partitions inside each coarse partition; partition_id is the dense number of the pair.
+
+    For the sum of scaled features all trees grow together; other targets take one fit for each coarse leaf.
+    """
     given = coarse.transform(df)
+    if (fine.target, fine.scaling, fine.criterion, fine.tree_splitter, fine.y_weight) == ("sum", "std", "squared_error", "best", 0.0) and fine.n_partitions:
+        return refined(given.withColumnRenamed("partition_id", "_coarse"), "_coarse", features, fine.n_partitions, fine.min_samples_leaf or 5, fine.max_depth).drop("_coarse")
     out, start = None, 0
     for leaf in coarse.tree.leaves:
         part = given.where(F.col("partition_id") == leaf.leaf).drop("partition_id")

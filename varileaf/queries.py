@@ -14,7 +14,7 @@ from varileaf.operators import baselines, budgets, generate, metrics, select, ta
 from varileaf.operators.neighbours import nearest
 from varileaf.operators.projection import PROJECTION
 from varileaf.operators.scaling import Scaler
-from varileaf.plans.compose import linear_models
+from varileaf.plans.compose import linear_models, refined
 from varileaf.plans.model import PRESETS, FittedModel, Partitioner, geometry_by_partition, geometry_summary, sign_by_partition, sign_summary
 from varileaf.sources.tables import LINE_FEATURES, LINE_IDS, summary, table
 from varileaf.streaming.windows import partition_windows
@@ -135,6 +135,30 @@ def categorical_projection_deeper(spark, sf_dir):
     return _projected(table(spark, sf_dir, "orders").select("o_orderkey", *columns, "o_totalprice"), ["o_orderkey"], columns, "o_totalprice")
 
 
+_REFINED = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _refined_sql() -> str:
+    """In each group the best of all cuts between neighbouring values, for the sum of the features scaled within the group."""
+    z = ", ".join(f"({c} - avg({c}) over w) / stddev_pop({c}) over w as z{i}" for i, c in enumerate(_REFINED))
+    each = " union all ".join(f"select g, {i} as f, z{i} as v, t from s" for i in range(3))
+    left = "case f " + " ".join(f"when {i} then z{i}" for i in range(3)) + " end <= v"
+    return (
+        f"with z as (select {IDS}, ascii(l_returnflag) as a, {z} from lineitem window w as (partition by l_returnflag)), s as (select *, dense_rank() over (order by a) - 1 as g, z0 + z1 + z2 as t from z), "
+        f"c as (select g, f, v, count(*) as n, sum(t) as t from ({each}) group by all), r as (select *, sum(n) over up as nl, sum(t) over up as tl, sum(n) over (partition by g, f) as nw, sum(t) over (partition by g, f) as tw from c window up as (partition by g, f order by v)), "
+        f"b as (select g, f, v, row_number() over (partition by g order by tl * tl / nl + (tw - tl) * (tw - tl) / (nw - nl) desc, f, v) as place from r where nl >= 50 and nw - nl >= 50) "
+        f"select {', '.join('s.' + c for c in LINE_IDS)}, cast(2 * s.g + case when {left} then 0 else 1 end as int) as partition_id from s join b on s.g = b.g and place = 1"
+    )
+
+
+@query(_refined_sql())
+def refined_partitions(spark, sf_dir):
+    """Fixed groups, two partitions in each."""
+    df = table(spark, sf_dir, "lineitem").select(*dict.fromkeys([*LINE_IDS, *_REFINED, "l_returnflag"]))
+    flags = Scaler(["l_returnflag"], categorical=["l_returnflag"]).fit(df)
+    return refined(df.withColumn("g", flags.raw("l_returnflag")), "g", _REFINED, 2, 50).select(*LINE_IDS, "partition_id")
+
+
 @query(LINES + f"select {IDS}, {sr(S_)} as s, {sr(Q_)} as q, {sr(T_)} as t, {sr(A_)} as a, {sr('-' + A_ + '/2')} as mst from z")
 def row_geometry(spark, sf_dir):
     c = [F.col(x) for x in Z]
