@@ -77,3 +77,22 @@ def test_odd_groups(spark, df):
         compose.refined(df.selectExpr("*", "cast(null as int) as g"), "g", ["a"], 2)
     constant = compose.refined(df.selectExpr("*", "cast(i % 2 as int) as g", "1.0 as one"), "g", ["one"], 2)
     assert groups(constant) == {frozenset(range(0, 2000, 2)), frozenset(range(1, 2000, 2))}
+
+
+def test_novelty_of_an_expansion(spark, df):
+    model = Partitioner(min_gain=0.0, n_partitions=5).fit(df, ["a", "b", "c"], ["i"])
+    made, stats = model.expand(200, return_novelty_stats=True)
+    far = [r.distance for r in model.compute_novelty(made, ["partition_id", "synthetic_id"]).collect()]
+    assert made.count() == 200 and set(stats) == {"min", "mean", "p5"} and 0 <= stats["min"] <= stats["p5"] <= stats["mean"]
+    assert abs(stats["min"] - min(far)) < 1e-9 and abs(stats["mean"] - sum(far) / 200) < 1e-9
+    assert model.expand(50).count() == 50
+
+
+def test_too_many_orthants(spark, df, monkeypatch):
+    from varileaf.operators import select
+
+    picked = select.orthants(df, ["i"], ["a", "b", "c"], "d", 30)
+    assert picked.count() == 30
+    monkeypatch.setattr(select, "MOST_ORTHANTS", 3)
+    with pytest.raises(ValueError):
+        select.orthants(df, ["i"], ["a", "b", "c"], "d", 30)

@@ -303,17 +303,23 @@ def select(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int],
     return grouped(df, ids, z, budgets, method, seed)
 
 
+#: Sign patterns whose budgets are shared out at a time.
+MOST_ORTHANTS = 1 << 16
+
+
 def orthants(df: DataFrame, ids: list[str], z: list[str], y: str, n: int) -> DataFrame:
     """Picks over the sign patterns around the column medians: budgets by size times MAD of y, linearly spaced from the farthest row on.
 
-    Output: ids, orthant and selection_rank. A row on a median counts as above it.
+    Output: ids, orthant and selection_rank. A row on a median counts as above it. More than MOST_ORTHANTS patterns raise an error.
     """
     row = df.agg(*[F.median(c) for c in z]).first()
     signs = F.concat(*[F.when(F.col(c) >= F.lit(float(m)), "+").otherwise("-") for c, m in zip(z, row, strict=True)])
     marked = df.select(*ids, *z, F.col(y).alias("_y"), signs.alias("orthant"))
     middle = marked.groupBy("orthant").agg(F.median("_y").alias("_m"), *[F.avg(c).alias(f"_c{i}") for i, c in enumerate(z)], F.count(F.lit(1)).alias("_n"))
     near = marked.join(middle, "orthant")
-    groups = near.groupBy("orthant", "_n").agg(F.median(F.abs(F.col("_y") - F.col("_m"))).alias("mad")).orderBy("orthant").limit(1 << 16).collect()
+    groups = near.groupBy("orthant", "_n").agg(F.median(F.abs(F.col("_y") - F.col("_m"))).alias("mad")).orderBy("orthant").limit(MOST_ORTHANTS + 1).collect()
+    if len(groups) > MOST_ORTHANTS:
+        raise ValueError(f"the rows have more than {MOST_ORTHANTS} sign patterns; use fewer features")
     sizes = np.array([r["_n"] for r in groups], np.int64)
     budget = largest_remainder(sizes * (np.array([r.mad for r in groups], float) + 1e-12), min(n, int(sizes.sum())), sizes)
     table = df.sparkSession.createDataFrame([(r.orthant, int(b)) for r, b in zip(groups, budget, strict=True) if b], "orthant string, budget long")

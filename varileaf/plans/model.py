@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from varileaf.functions import geometry as g
 from varileaf.operators import budgets as bud
-from varileaf.operators import generate, select, targets, tree
+from varileaf.operators import generate, metrics, select, targets, tree
 from varileaf.operators.neighbours import nearest
 from varileaf.operators.scaling import Scaler, bind, trimmed
 
@@ -186,8 +186,11 @@ class FittedModel:
             return chosen.select(*self.ids)
         return (self.data if X is None else X).join(chosen, self.ids)
 
-    def expand(self, n: int, variance_weighted: bool = False, bandwidth: float | str | None = None, adaptive_bandwidth: bool = False, generation_strategy=None, n_partitions: int | None = None, X: DataFrame | None = None, novelty: float = 0.0) -> DataFrame:
-        """n synthetic rows: the features in their own units, partition_id and synthetic_id."""
+    def expand(self, n: int, variance_weighted: bool = False, bandwidth: float | str | None = None, adaptive_bandwidth: bool = False, generation_strategy=None, n_partitions: int | None = None, X: DataFrame | None = None, novelty: float = 0.0, return_novelty_stats: bool = False) -> DataFrame | tuple[DataFrame, dict[str, float]]:
+        """n synthetic rows: the features in their own units, partition_id and synthetic_id.
+
+        return_novelty_stats: also min, mean and p5 of their distances to the nearest given row, over the z columns of the numeric features.
+        """
         if n <= 0:
             raise ValueError("n must be positive")
         model = self.derived(n_partitions)
@@ -208,7 +211,12 @@ class FittedModel:
         made = generate.generate(frame, self.ids, numeric, planned, strategy, rule, seed, novelty) if numeric else generate.slots(frame, planned).select(F.col("_pid").alias("partition_id"), F.col("_i").alias("synthetic_id"))
         if codes:
             made = generate.categories(frame, codes, made, seed)
-        return self.scaler.inverse(made)
+        out = self.scaler.inverse(made)
+        if not return_novelty_stats:
+            return out
+        if not numeric:
+            raise ValueError("novelty statistics need numeric features")
+        return out, metrics.novelty(frame, made, numeric, ["partition_id", "synthetic_id"])
 
     def augment(self, n: int, variance_weighted: bool = False, n_partitions: int | None = None) -> DataFrame:
         """The given rows and synthetic ones, n in all."""
