@@ -1,8 +1,8 @@
-"""Best-first regression tree over standardised features. Spark adds histograms, one job a level; splits are chosen on the driver.
+"""Regression tree over standardised features, best-first or breadth-first. Spark adds histograms, one job a level; splits are chosen on the driver.
 
 Rows are binned once, into a byte a feature, and written. A level adds the histograms of each split's smaller child; the larger one's is its
 parent's less that. A node's best split doesn't depend on the order of growth, so levels are grown whole and best-first order decides
-afterwards which splits stay. Up to LOCAL_CELLS cells the same histograms are added on the driver instead, with the same result.
+afterwards which splits stay; breadth-first order takes the first ones of a level that the number of leaves leaves room for. Up to LOCAL_CELLS cells the same histograms are added on the driver instead, with the same result.
 """
 
 from __future__ import annotations
@@ -254,12 +254,18 @@ def spread(h: np.ndarray, absolute: bool) -> np.ndarray:
     return np.maximum(middle * low_n - low_s + high_s - middle * high_n, 0)[..., 0]
 
 
-def best_split(h: np.ndarray, cuts: list[np.ndarray], rows: int, least: int, absolute: bool, rng: np.random.Generator | None) -> tuple[float, int, int] | None:
-    """Gain (impurity decrease weighted by the node's share of rows), feature and bin; the first of equals. rng: one random valid bin a feature."""
+def best_split(h: np.ndarray, cuts: list[np.ndarray], rows: int, least: int, absolute: bool, rng: np.random.Generator | None, two: list[int] | None = None) -> tuple[float, int, int] | None:
+    """Gain (impurity decrease weighted by the node's share of rows), feature and bin; the first of equals. rng: one random valid bin a feature.
+
+    two: features of two values. They come after all others, and one that wins with a side of fewer than `least` rows leaves the node whole.
+    """
     left = np.cumsum(h, axis=1)[:, :-1]
     right = left[:, -1:] + h[:, -1:] - left if left.shape[1] else left
     n_left, n_right = left[..., 0].sum(-1), right[..., 0].sum(-1)
-    ok = (n_left >= least) & (n_right >= least)
+    enough = (n_left >= least) & (n_right >= least)
+    ok = enough.copy()
+    if two:
+        ok[two] = (n_left[two] > 0) & (n_right[two] > 0)
     for f, c in enumerate(cuts):
         ok[f, len(c) :] = False
     if not ok.any():
@@ -274,8 +280,10 @@ def best_split(h: np.ndarray, cuts: list[np.ndarray], rows: int, least: int, abs
                 b = int(rng.choice(valid))
                 chosen[f, b] = gain[f, b]
         gain = chosen
-    f, b = np.unravel_index(int(gain.argmax()), gain.shape)
-    return float(gain[f, b]), int(f), int(b)
+    turn = [*(f for f in range(len(cuts)) if f not in (two or [])), *(two or [])]
+    f, b = np.unravel_index(int(gain[turn].argmax()), gain.shape)
+    f = turn[f]
+    return (float(gain[f, b]), int(f), int(b)) if enough[f, b] else None
 
 
 def min_gain_floor(d: int, leaves: int | None) -> float:
@@ -283,21 +291,58 @@ def min_gain_floor(d: int, leaves: int | None) -> float:
     return math.log(max(1, d * (leaves or 32)))
 
 
-def grow(df: DataFrame, columns: list[str], target: str, max_leaves: int = 31, min_leaf: int = 5, max_depth: int | None = None, min_gain: float = 0.0, criterion: str = "squared_error", splitter: str = "best", seed: int = 42, bins: int = MAX_BINS) -> Tree:
-    """The tree over columns of df for a target column. A table that is used often should be cached by the caller."""
+def grow(df: DataFrame, columns: list[str], target: str, max_leaves: int = 31, min_leaf: int = 5, max_depth: int | None = None, min_gain: float = 0.0, criterion: str = "squared_error", splitter: str = "best", seed: int = 42, bins: int = MAX_BINS, order: str = "best", colsample: float = 1.0) -> Tree:
+    """The tree over columns of df for a target column. A table that is used often should be cached by the caller.
+
+    order: "best" splits the node of the greatest gain next; "breadth" goes level by level, from left to right, until there are max_leaves,
+    numbers the leaves in that order, and cuts columns of at most two values at 0 (see best_split). colsample: the share of the columns
+    of more than two values whose histograms are made; which ones are left out moves round with the seed.
+    """
     if criterion not in ("squared_error", "absolute_error"):
         raise ValueError(f"unknown criterion {criterion!r}")
+    if order not in ("best", "breadth"):
+        raise ValueError(f"unknown order {order!r}")
+    if not 0 < colsample <= 1:
+        raise ValueError("colsample is a share above 0")
+    whole, flat = columns, two_valued(df, columns) if order == "breadth" or colsample < 1 else set()
+    columns = [c for c in columns if c in flat or c in rotation([c for c in columns if c not in flat], colsample, seed)]
     absolute, max_leaves = criterion == "absolute_error", max(2, max_leaves)
     rows, mean = df.agg(F.count(F.lit(1)), F.avg(f"`{target}`")).first()
     if not rows:
         raise ValueError("no rows to fit on")
     cuts = edges(df, columns, 64 if absolute else bins)
+    two = [f for f, c in enumerate(columns) if c in flat] if order == "breadth" else []
+    cuts = [np.zeros(1) if f in two else c for f, c in enumerate(cuts)]
     grid = edges(df, [target], TARGET_BINS)[0] if absolute else None
     source = _Source(df, columns, target, [cuts], grid, rows)
     try:
-        return _best_first(columns, _grown(source, [Root(rows, float(mean), max_leaves)], min_leaf, max_depth, min_gain, absolute, splitter == "random", seed), max_leaves)
+        nodes = _grown(source, [Root(rows, float(mean), max_leaves)], min_leaf, max_depth, min_gain, absolute, splitter == "random", seed, order == "breadth", two)
     finally:
         source.close()
+    made = _breadth_first(columns, nodes) if order == "breadth" else _best_first(columns, nodes, max_leaves)
+    for x in made.nodes:
+        x.feature = whole.index(columns[x.feature]) if x.feature >= 0 else -1
+    made.columns = whole
+    return made
+
+
+def two_valued(df: DataFrame, columns: list[str]) -> set[str]:
+    """Columns of at most two values: no row lies between the least and the greatest."""
+    if not columns:
+        return set()
+    cells = [F.col(f"`{c}`").cast("double") for c in columns]
+    ends = df.agg(*[f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(cells) for f in (F.min, F.max)]).first()
+    if ends["min0"] is None:
+        return set()
+    inside = df.agg(*[F.max(((x > F.lit(ends[f"min{i}"])) & (x < F.lit(ends[f"max{i}"]))).cast("int")).alias(f"i{i}") for i, x in enumerate(cells)]).first()
+    return {c for c, found in zip(columns, inside, strict=True) if not found}
+
+
+def rotation(columns: list[str], share: float, turn: int) -> list[str]:
+    """All columns but a run of neighbours around the circle; each turn the run begins where the last one ended, so every column takes its part alike."""
+    d = len(columns)
+    out = d - max(1, int(d * share)) if share < 1 else 0
+    return [c for i, c in enumerate(columns) if (i - turn * out) % d >= out]
 
 
 @dataclass(frozen=True)
@@ -309,8 +354,8 @@ class Root:
     max_leaves: int
 
 
-def _grown(source: _Source, roots: list[Root], min_leaf: int, max_depth: int | None, min_gain: float, absolute: bool, random: bool, seed: int) -> list[Node]:
-    """All nodes that best-first growth of each tree can reach, the roots first; a level of all trees is one job."""
+def _grown(source: _Source, roots: list[Root], min_leaf: int, max_depth: int | None, min_gain: float, absolute: bool, random: bool, seed: int, breadth: bool = False, two: list[int] | None = None) -> list[Node]:
+    """All nodes that best-first growth of each tree can reach, or those of breadth-first growth, the roots first; a level of all trees is one job."""
     nodes = [Node(0, 0, r.rows, r.mean) for r in roots]
     at_bin = [0] * len(roots)  # of each split node the bin of its threshold
     own_root = list(range(len(roots)))
@@ -325,12 +370,14 @@ def _grown(source: _Source, roots: list[Root], min_leaf: int, max_depth: int | N
                 continue
             rng = np.random.default_rng((seed, *([root] if root else []), node.id & (1 << 62) - 1)) if random else None
             h, cuts = known[at], source.cuts[root]
-            found = best_split(h, cuts, roots[root].rows, min_leaf, absolute, rng)
+            found = best_split(h, cuts, roots[root].rows, min_leaf, absolute, rng, two)
             if found is None or found[0] < min_gain or found[0] <= 1e-12:
                 continue
             node.gain, node.feature, b = found
             node.threshold, at_bin[at] = float(cuts[node.feature][b]), b
             later.append((at, h[node.feature, : b + 1].sum((0, 1)), h[node.feature, b + 1 :].sum((0, 1))))
+        if breadth:
+            later = _in_turn(later, own_root, nodes, roots)
         gains: dict[int, list[float]] = {}
         for k in [*(x[0] for x in later), *(k for k in reach if nodes[k].left >= 0)]:
             gains.setdefault(own_root[k], []).append(min(reach[k], nodes[k].gain))
@@ -338,7 +385,7 @@ def _grown(source: _Source, roots: list[Root], min_leaf: int, max_depth: int | N
         open_, pairs = [], []
         for at, a, b in later:
             node, own = nodes[at], min(reach[at], nodes[at].gain)
-            if own < floors[own_root[at]]:
+            if not breadth and own < floors[own_root[at]]:
                 node.feature, node.gain = -1, 0.0
                 continue
             node.left, node.right = len(nodes), len(nodes) + 1
@@ -419,6 +466,32 @@ def _arrays(nodes: list[Node], at_bin: list[int]) -> tuple[np.ndarray, ...]:
     return feature, np.array(at_bin), left, right
 
 
+def _in_turn(later: list[tuple], own_root: list[int], nodes: list[Node], roots: list[Root]) -> list[tuple]:
+    """Splits of a level, in order, as far as each tree may have more leaves; the nodes of the others stay leaves."""
+    left = [r.max_leaves - 1 for r in roots]
+    for k, x in enumerate(nodes):
+        left[own_root[k]] -= x.left >= 0
+    kept = []
+    for split in later:
+        at = split[0]
+        if left[own_root[at]] > 0:
+            left[own_root[at]] -= 1
+            kept.append(split)
+        else:
+            nodes[at].feature, nodes[at].gain = -1, 0.0
+    return kept
+
+
+def _breadth_first(columns: list[str], grown: list[Node]) -> Tree:
+    """A single tree's nodes, which were made level by level, with the leaves numbered in that order."""
+    leaves = 0
+    for k, x in enumerate(grown):
+        x.id = k
+        if x.left < 0:
+            x.leaf, leaves = leaves, leaves + 1
+    return Tree(columns, grown)
+
+
 def _best_first(columns: list[str], grown: list[Node], max_leaves: int, root: int = 0) -> Tree:
     """Keeps the splits that best-first growth would make, and numbers the leaves from left to right."""
     kept: set[int] = set()

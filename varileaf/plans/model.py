@@ -18,6 +18,10 @@ from varileaf.operators.neighbours import nearest
 from varileaf.operators.scaling import Scaler, bind, trimmed
 
 
+#: Levels of a breadth-first tree whose depth isn't set.
+BREADTH_LEVELS = 10
+
+
 @dataclass(frozen=True)
 class ReduceParams:
     n: int | None = None
@@ -46,7 +50,9 @@ class AugmentParams:
 
 @dataclass(frozen=True)
 class Partitioner:
-    """Settings of a model. target: a name of targets.KINDS; scaling: std or mad; min_gain: a number, or 'auto' for the information floor."""
+    """Settings of a model. target: a name of targets.KINDS; scaling: std or mad; min_gain: a number, or 'auto' for the information floor;
+    growth and colsample: the order and the share of columns of tree.grow. Breadth-first trees have at most 10 levels unless max_depth is set.
+    """
 
     target: str = "pairwise"
     scaling: str = "std"
@@ -61,6 +67,8 @@ class Partitioner:
     bandwidth: float | str = "auto"
     random_state: int = 42
     tree_splitter: str = "best"
+    growth: str = "best"
+    colsample: float = 1.0
     min_gain: float | str = "auto"
     exact: bool = True
     reduce_params: ReduceParams | None = None
@@ -142,7 +150,8 @@ class FittedModel:
         floor = s.min_gain if min_gain is None else min_gain
         if floor == "auto":
             floor = tree.min_gain_floor(len(self.z), leaves)
-        grown = tree.grow(frame.withColumn("_target", x), self.z, "_target", leaves, least, s.max_depth, float(floor), s.criterion, s.tree_splitter, s.random_state)
+        depth = BREADTH_LEVELS if s.growth == "breadth" and s.max_depth is None else s.max_depth
+        grown = tree.grow(frame.withColumn("_target", x), self.z, "_target", leaves, least, depth, float(floor), s.criterion, s.tree_splitter, s.random_state, order=s.growth, colsample=s.colsample)
         if len(grown.leaves) == 1:
             warnings.warn("the tree has one partition: min_gain is above every split's gain; set min_gain=0.0 to partition", stacklevel=3)
         return replace(self, tree=grown, _derived={})

@@ -159,6 +159,36 @@ def refined_partitions(spark, sf_dir):
     return refined(df.withColumn("g", flags.raw("l_returnflag")), "g", _REFINED, 2, 50).select(*LINE_IDS, "partition_id")
 
 
+_BREADTH = ["l_quantity", "l_discount", "late", "l_tax"]
+
+
+def _breadth_sql(depth: int, leaves: int, least: int) -> str:
+    """Level by level: each node's best cut, a two-valued column's after all others; of a level the first nodes split, as far as there is room for leaves."""
+    turn = {0: 0, 1: 1, 3: 2, 2: 3}  # the two-valued column is the third
+    ctes = [f"n0 as (select {IDS}, l_quantity as f0, l_discount as f1, cast(l_linestatus = 'O' as int) as f2, l_tax as f3, l_extendedprice as t, 0 as node, true as live, 0 as made from lineitem)"]
+    for d in range(depth):
+        each = " union all ".join(f"select node, {turn[f]} as turn, {f} as f, f{f} as v, t from n{d} where live" for f in range(4))
+        side = "case b.f " + " ".join(f"when {f} then n.f{f}" for f in range(4)) + " end <= b.v"
+        ctes += [
+            f"c{d} as (select node, turn, f, v, count(*) as n, sum(t) as t from ({each}) group by all)",
+            f"r{d} as (select *, sum(n) over up as nl, sum(t) over up as tl, sum(n) over every as nw, sum(t) over every as tw from c{d} window up as (partition by node, f order by v), every as (partition by node, f))",
+            f"g{d} as (select node, f, v, least(nl, nw - nl) as small, row_number() over (partition by node order by tl * tl / nl + (tw - tl) * (tw - tl) / (nw - nl) desc, turn, v) as place from r{d} where nw > nl and (f = 2 or (nl >= {least} and nw - nl >= {least})))",
+            f"o{d} as (select node, f, v, row_number() over (order by node) as turn from g{d} where place = 1 and small >= {least})",
+            f"b{d} as (select o.*, turn + m.made as made from o{d} o, (select max(made) as made from n{d}) m where turn + m.made < {leaves})",
+            f"n{d + 1} as (select n.* exclude (node, live, made), case when b.node is null then n.node else 2 * n.node + case when {side} then 1 else 2 end end as node, b.node is not null as live, (select coalesce(max(made), (select max(made) from n{d})) from b{d}) as made from n{d} n left join b{d} b on n.live and b.node = n.node)",
+        ]
+    return f"with {', '.join(ctes)} select {IDS}, cast(dense_rank() over (order by node) - 1 as int) as partition_id from n{depth}"
+
+
+@query(_breadth_sql(3, 7, 40))
+def breadth_first_partitions(spark, sf_dir):
+    """Seven partitions of a tree of three levels: the last node of the third level finds no room and stays whole."""
+    df = table(spark, sf_dir, "lineitem").select(*dict.fromkeys([*LINE_IDS, "l_quantity", "l_discount", "l_tax", "l_extendedprice"]), (F.col("l_linestatus") == "O").cast("int").alias("late"))
+    z = Scaler(_BREADTH).fit(df).transform(df, [*LINE_IDS, "l_extendedprice"])
+    grown = tree.grow(z, [f"z_{c}" for c in _BREADTH], "l_extendedprice", 7, 40, 3, order="breadth")
+    return z.select(*LINE_IDS, grown.leaf().alias("partition_id"))
+
+
 @query(LINES + f"select {IDS}, {sr(S_)} as s, {sr(Q_)} as q, {sr(T_)} as t, {sr(A_)} as a, {sr('-' + A_ + '/2')} as mst from z")
 def row_geometry(spark, sf_dir):
     c = [F.col(x) for x in Z]
