@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from varileaf.functions import draws
 from varileaf.functions import geometry as g
+from varileaf.operators import marginals
 from varileaf.operators.budgets import largest_remainder
 from varileaf.operators.scaling import MAD_FACTOR
 from varileaf.operators.select import GROUP_ROWS, ranked
@@ -326,6 +327,9 @@ def pushed(z: np.ndarray, made: np.ndarray, least: float = 0.3) -> np.ndarray:
 KERNELS: dict[str, GenerationStrategy] = {"univariate_kde_copula": copula, "independent_kde": independent, "knn_interpolation": interpolated, "partition_gmm": mixture}
 
 
+BY_FEATURE = ("univariate_kde_copula", "lattice_copula", "independent_kde")
+
+
 def by_kernel(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], kernel: GenerationStrategy, seed: int = 42, novelty: float = 0.0) -> DataFrame:
     """Runs a kernel on every partition, or on equal parts of those above GROUP_ROWS, which share the budget."""
     known = [p for p, b in budgets.items() if b > 0]
@@ -357,6 +361,14 @@ def by_kernel(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, in
     return dealt.join(table.drop("_parts"), ["partition_id", "_part"]).groupBy("partition_id", "_part").applyInPandas(run, shape)
 
 
+def by_feature(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], name: str, seed: int = 42) -> DataFrame:
+    """Strategies of operators/marginals.py, whatever the size of a partition."""
+    s, made = Slot(len(z), seed), slots(df, budgets)
+    if name == "independent_kde":
+        return marginals.independent(df, ids, z, made, [s.uniform(200 + j) for j in range(s.d)], [s.normal(j) for j in range(s.d)], seed)
+    return marginals.copula(df, ids, z, made, [draws.probit(s.lattice(j)) if name == "lattice_copula" else s.normal(j) for j in range(s.d)])
+
+
 def generate(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], strategy: str | GenerationStrategy = "epanechnikov", bandwidth: float | str = "auto", seed: int = 42, novelty: float = 0.0) -> DataFrame:
     if isinstance(strategy, str):
         name = ALIASES.get(strategy, strategy)
@@ -364,8 +376,12 @@ def generate(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int
             if novelty:
                 raise ValueError("novelty needs a strategy that works on whole partitions: a callable or one of " + str(sorted(KERNELS)))
             return by_expression(df, ids, z, budgets, name, bandwidth, seed)
+        if name in BY_FEATURE and not (novelty and name in KERNELS):
+            if novelty:
+                raise ValueError("novelty needs a strategy that works on whole partitions: a callable or one of " + str(sorted(KERNELS)))
+            return by_feature(df, ids, z, budgets, name, seed)
         if name not in KERNELS:
-            raise ValueError(f"unknown generation strategy {strategy!r}, expected one of {sorted([*EXPRESSIONS, *KERNELS])}")
+            raise ValueError(f"unknown generation strategy {strategy!r}, expected one of {sorted({*EXPRESSIONS, *BY_FEATURE, *KERNELS})}")
         strategy = KERNELS[name]
     if not isinstance(strategy, Callable):
         raise TypeError("a generation strategy is a callable (z, budget, seed) -> rows")

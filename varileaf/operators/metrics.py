@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varileaf.functions import draws
+from varileaf.operators.marginals import counted
 from varileaf.operators.neighbours import nearest
 
 BUCKETS = 64
@@ -120,22 +121,70 @@ def discriminator_accuracy(real: DataFrame, made: DataFrame, columns: list[str],
     return right / 2
 
 
+def auc(df: DataFrame, label: str, scores: dict) -> DataFrame:
+    """class, positives and auc: the share of pairs of a row of the class and another row that the class's score orders rightly, ties counting half.
+
+    scores: class -> column. auc is null where no row or every row is of the class. Scores are counted and ranked in ranges, so no task holds a column.
+    """
+    kind = dict(df.dtypes)[label]
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast(kind).alias("class"), F.col(f"`{c}`").cast("double").alias("_x")) for k, c in scores.items()]))
+    cells = df.select(F.col(f"`{label}`").alias("_l"), each.alias("_p")).select("_p.*", (F.col("_l") == F.col("_p.class")).cast("long").alias("_in"))
+    rows = counted(cells.where("_x is not null and _in is not null").withColumn("_out", 1 - F.col("_in")), ["class"], "_x", ["_in", "_out"])
+    right = F.sum(F.col("_in") * (F.col("_below__out") + F.col("_out") / 2))
+    pairs = F.max(F.col("_all__in").cast("double") * F.col("_all__out"))
+    return rows.groupBy("class").agg(F.max("_all__in").alias("positives"), F.when(pairs > 0, right / pairs).alias("auc"))
+
+
+def weighted_auc(df: DataFrame, label: str, scores: dict) -> float:
+    """Of two classes the greater one's auc, of more the mean over the classes that occur, weighted by their rows; NaN where it isn't defined."""
+    found = [r for r in auc(df, label, {max(scores): scores[max(scores)]} if len(scores) == 2 else scores).collect() if r.positives]
+    rows = sum(r.positives for r in found)
+    return sum(r.auc * r.positives for r in found) / rows if rows and all(r.auc is not None for r in found) else float("nan")
+
+
+def boosted(train: DataFrame, test: DataFrame, columns: list[str], y: str, classes: list[float], name: str, trees: int = 20, seed: int = 42) -> DataFrame:
+    """The test table with {name} (the likeliest class) and {name}_{k} (the probability of class k) by boosted trees: one model of two classes, else one of each class against the rest."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    place = {k: v for k, v in enumerate(classes)}
+    out = _features(test, columns)
+    data = _features(train, columns).select("features", F.col(f"`{y}`").cast("double").alias("_y")).cache()
+    learnt = [1] if len(classes) == 2 else list(place)
+    for k in learnt:
+        own = data.withColumn("_l", (F.col("_y") == F.lit(place[k])).cast("double"))
+        model = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed, labelCol="_l", predictionCol="_p").setRawPredictionCol("_r").setProbabilityCol("_q").fit(own)
+        out = model.transform(out).withColumn(f"_{name}_{k}", vector_to_array("_q")[1]).drop("_p", "_r", "_q")
+    data.unpersist()
+    if len(classes) == 2:
+        out = out.withColumn(f"_{name}_0", 1 - F.col(f"_{name}_1"))
+    own = [F.col(f"_{name}_{k}") for k in place]
+    whole = F.greatest(sum(own[1:], own[0]), F.lit(1e-300))
+    best = F.greatest(*own)
+    pick = F.coalesce(*[F.when(own[k] == best, F.lit(v)) for k, v in place.items()])
+    return out.select("*", *[(own[k] / whole).alias(f"{name}_{k}") for k in place], pick.alias(name)).drop(*[f"_{name}_{k}" for k in place], "features")
+
+
+def _classes(train: DataFrame, y: str) -> list[float]:
+    """Up to 21 distinct labels, in order."""
+    return sorted(r.v for r in train.select(F.col(f"`{y}`").cast("double").alias("v")).where("v is not null").distinct().limit(21).collect())
+
+
 def learned(train: DataFrame, test: DataFrame, columns: list[str], y: str, metric: str = "score", trees: int = 20, seed: int = 42) -> float:
-    """Boosted trees trained on one table and judged on another: F1 or AUC up to 20 distinct labels, R2 beyond."""
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+    """Boosted trees trained on one table and judged on another: F1 or (metric "auc") the weighted AUC up to 20 distinct labels, R2 beyond."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     from pyspark.ml.regression import GBTRegressor
 
-    labels = train.select(F.col(y).cast("double").alias("v")).distinct().limit(21).collect()
-    a, b = (_features(x, columns).select("features", F.col(y).cast("double").alias("label")) for x in (train, test))
-    if len(labels) > 20:
+    classes = _classes(train, y)
+    if len(classes) > 20:
+        a, b = (_features(x, columns).select("features", F.col(f"`{y}`").cast("double").alias("label")) for x in (train, test))
         return RegressionEvaluator(metricName="r2").evaluate(GBTRegressor(maxIter=trees, maxDepth=3, seed=seed).fit(a).transform(b))
-    if len(labels) < 2:
+    if len(classes) < 2:
         return 0.0
-    two = {r.v for r in labels} <= {0.0, 1.0}
-    model = (GBTClassifier(maxIter=trees, maxDepth=3, seed=seed) if two else RandomForestClassifier(numTrees=trees, seed=seed)).fit(a)
-    judge = BinaryClassificationEvaluator() if metric == "auc" and two else MulticlassClassificationEvaluator(metricName="f1")
-    return judge.evaluate(model.transform(b))
+    judged = boosted(train, test, columns, y, classes, "p", trees, seed).withColumn("_label", F.col(f"`{y}`").cast("double"))
+    if metric == "auc":
+        return weighted_auc(judged, "_label", {v: f"p_{k}" for k, v in enumerate(classes)})
+    return MulticlassClassificationEvaluator(metricName="f1", predictionCol="p", labelCol="_label").evaluate(judged)
 
 
 def tstr(real: DataFrame, made: DataFrame, test: DataFrame, columns: list[str], y: str, metric: str = "score") -> dict[str, float]:
@@ -155,17 +204,23 @@ def emergence(real: DataFrame, made: DataFrame, test: DataFrame, columns: list[s
     return data.agg(F.avg((F.col("leaf0") == F.col("leaf1")).cast("double"))).first()[0]
 
 
-def error_explanation(full: DataFrame, reduced: DataFrame, test: DataFrame, columns: list[str], y: str) -> dict[str, float]:
-    """Errors of a model of the full table on the test rows, and how many of them one of the reduced table gets right."""
-    from pyspark.ml.classification import GBTClassifier
+def error_explanation(full: DataFrame, reduced: DataFrame, test: DataFrame, columns: list[str], y: str, trees: int = 20) -> dict[str, float]:
+    """Errors of a model of the full table on the test rows; of the reduced table's model the share of them that it gets right and its AUC on them; both models' AUC on all test rows.
 
-    data = _features(test, columns).withColumn("label", F.col(y).cast("double"))
-    for k, train in enumerate((full, reduced)):
-        model = GBTClassifier(maxIter=20, maxDepth=3, seed=42, predictionCol=f"p{k}", rawPredictionCol=f"r{k}", probabilityCol=f"q{k}")
-        data = model.fit(_features(train, columns).withColumn("label", F.col(y).cast("double"))).transform(data)
-    wrong = F.col("p0") != F.col("label")
-    row = data.agg(F.sum(wrong.cast("long")).alias("n"), F.sum((wrong & (F.col("p1") == F.col("label"))).cast("long")).alias("k")).first()
-    return {"n_errors": row.n or 0, "coverage_rate": (row.k or 0) / row.n if row.n else 1.0}
+    Without errors coverage_rate and error_set_auc are 1; with more than 20 distinct labels, or with fewer than two, all are NaN.
+    """
+    keys = ("n_errors", "coverage_rate", "error_set_auc", "full_trtr_auc", "full_tstr_auc")
+    classes = _classes(full, y)
+    if not 2 <= len(classes) <= 20:
+        return dict.fromkeys(keys, float("nan"))
+    data = boosted(reduced, boosted(full, test, columns, y, classes, "p", trees), columns, y, classes, "q", trees).withColumn("_label", F.col(f"`{y}`").cast("double")).cache()
+    first, second = ({v: f"{n}_{k}" for k, v in enumerate(classes)} for n in "pq")
+    wrong = data.where("p != _label")
+    row = wrong.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("q") == F.col("_label")).cast("double")).alias("right"), F.count_distinct("_label").alias("labels")).first()
+    on_errors = 1.0 if not row.n else weighted_auc(wrong, "_label", second) if row.labels > 1 else float("nan")
+    out = dict(zip(keys, (row.n, row.right if row.n else 1.0, on_errors, weighted_auc(data, "_label", first), weighted_auc(data, "_label", second)), strict=True))
+    data.unpersist()
+    return out
 
 
 def boundary_escape(made: DataFrame, columns: list[str], low: float, high: float) -> float:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varileaf.functions import geometry as g
+from varileaf.functions.draws import HART_OVER, HART_UNDER
 from varileaf.operators import baselines, budgets, generate, metrics, select, targets, tree
 from varileaf.operators.neighbours import nearest
 from varileaf.operators.projection import PROJECTION
@@ -472,8 +473,36 @@ HASHED = {
 }
 for _m, _sql in HASHED.items():
     query(_sql)(_made(_m))
-for _m in ("univariate_kde_copula", "independent_kde", "knn_interpolation", "partition_gmm"):
+for _m in ("knn_interpolation", "partition_gmm"):
     query()(_made(_m))
+query(_expanded([f"{('a', 'b2')[j]}.{c} + {_normal(str(j))} * st.d{j} * pow(st.n, -0.2::double)" for j, c in enumerate(PZ)], f"cast(floor({_u('200')} * st.n) as bigint)", f" join b b2 on b2.partition_id = s.pid and b2.rk = cast(floor({_u('201')} * st.n) as bigint)").replace("count(*) as n, greatest", "count(*) as n, stddev_pop(z_p_size) as d0, stddev_pop(z_p_retailprice) as d1, greatest", 1))(_made("independent_kde"))
+
+
+def _horner(values: tuple[float, ...], x: str) -> str:
+    out = f"{values[0]!r}::double"
+    for c in values[1:]:
+        out = f"({out} * {x} + {c!r}::double)"
+    return out
+
+
+def _copula_sql(normal: tuple[str, str]) -> str:
+    """Mean ranks, their normal scores' correlation r, and quantiles at 2,000 points."""
+    points = "[" + ", ".join(f"{i / 1999!r}" for i in range(2000)) + "]"
+    score = ", ".join(_probit(f"((rank() over (partition by partition_id order by {c}) + (count(*) over (partition by partition_id, {c}) - 1) / 2.0::double) / (n + 1))") + f" as s{j}" for j, c in enumerate(PZ))
+    tail = f"exp(-least(abs(m), 7) * least(abs(m), 7) / 2) * {_horner(HART_OVER, 'least(abs(m), 7)')} / {_horner(HART_UNDER, 'least(abs(m), 7)')}"
+    at = "greatest(1e-6, least(1 - 1e-6, case when m > 0 then 1 - tail else tail end)) * 1999"
+    value = ", ".join(sr(f"max(case when j = {j} then grid[g + 1] + (u - g) * (grid[g + 2] - grid[g + 1]) end)", 5) + f" as {c}" for j, c in enumerate(PZ))
+    return (
+        PARTS + f", {SLOTS}, sc as (select partition_id, {score} from b), r as (select partition_id as pid, covar_samp(s0, s1) / (stddev_samp(s0) * stddev_samp(s1) + 1e-8) as r from sc group by partition_id), "
+        f"gr as (select partition_id as pid, 0 as j, quantile_cont(z_p_size, {points}) as grid from p group by all union all select partition_id, 1, quantile_cont(z_p_retailprice, {points}) from p group by all), "
+        f"nn as (select pid, i, {normal[0]} as n0, {normal[1]} as n1 from s), mm as (select pid, i, 0 as j, n0 as m from nn union all select pid, i, 1, r * n0 + sqrt(1 - r * r) * n1 from nn join r using (pid)), "
+        f"tt as (select *, {tail} as tail from mm), uu as (select pid, i, j, {at} as u from tt), gg as (select *, cast(floor(u) as bigint) as g from uu) "
+        f"select cast(pid as int) as partition_id, i as synthetic_id, {value} from gg join gr using (pid, j) group by pid, i"
+    )
+
+
+query(_copula_sql((_normal("0"), _normal("1"))))(_made("univariate_kde_copula"))
+query(_copula_sql((_probit(_lat(0)), _probit(_lat(1)))))(_made("lattice_copula"))
 
 
 def _drawn(j: int) -> str:
@@ -491,6 +520,23 @@ def expand_categorical(spark, sf_dir):
     return generate.categories(df, ["l_returnflag", "l_linestatus"], made, by_lattice=True)
 
 
+_SCORES = {"A": "l_quantity", "N": "l_extendedprice", "R": "l_discount"}
+
+
+def _auc_sql(k: str, c: str) -> str:
+    """The class's mean ranks, ties sharing theirs, less what they would be if it came first."""
+    inside = f"count_if(l_returnflag = '{k}')"
+    area = f"(sum(case when l_returnflag = '{k}' then rk end) - {inside} * ({inside} + 1) / 2) / ({inside}::double * count_if(l_returnflag <> '{k}'))"
+    return f"select '{k}' as class, cast({inside} as bigint) as positives, {sr(area, 8)} as auc from (select l_returnflag, rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2 as rk from lineitem)"
+
+
+@query(" union all ".join(_auc_sql(k, c) for k, c in _SCORES.items()))
+def auc_by_class(spark, sf_dir):
+    """Each class against the rest, by a score of its own that stands in for a model's."""
+    found = metrics.auc(table(spark, sf_dir, "lineitem"), "l_returnflag", _SCORES)
+    return found.select("class", "positives", r(F.col("auc"), 8).alias("auc"))
+
+
 @query("with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings) select a.vec_id, " + sr("min(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))))", 5) + " as distance from v a join v b on b.label < 5 where a.label >= 5 group by a.vec_id")
 def novelty_min_distance(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
