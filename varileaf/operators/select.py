@@ -294,15 +294,61 @@ KERNELS: dict[str, SelectionStrategy] = {"fps": centroid_fps, "centroid_fps": ce
 def select(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], method: str | SelectionStrategy = "fps", seed: int = 42) -> DataFrame:
     if method == "stratified":
         return stratified(df, ids, z, budgets, seed)
+    if method == "sampled_variance":
+        return sampled_variance(df, ids, z, budgets, seed)
     if isinstance(method, str):
         if method not in KERNELS:
-            raise ValueError(f"unknown selection method {method!r}, expected one of {sorted([*KERNELS, 'stratified'])}")
+            raise ValueError(f"unknown selection method {method!r}, expected one of {sorted([*KERNELS, 'sampled_variance', 'stratified'])}")
         method = KERNELS[method]
     if not isinstance(method, Callable):
         raise TypeError("a selection strategy is a callable (z, budget, seed) -> indices")
     return grouped(df, ids, z, budgets, method, seed)
 
 
+#: Sampled variance order: rows of a partition that it compares, the share from which picks are random, the nearest rows it looks at (itself
+#: included), and the squared distance up to which a row counts as the same.
+SAMPLE_ROWS, HIGH_SHARE, NEAREST_ROWS, SAME = 400, 0.65, 8, 1e-15
+
+
+def near_variance(z: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+    """Variance of each row's distances to its nearest other rows; equal rows are left out, fewer than two distances give 0."""
+    k = min(neighbours, len(z) - 1)
+    if k < 1:
+        return np.zeros(len(z))
+    near = min(k + 1, NEAREST_ROWS, len(z))
+    far = sum(((x[:, None] - x[None]) ** 2 for x in z.T), np.zeros((len(z), len(z))))  # differences: equal rows are at 0 exactly
+    least = np.sort(np.partition(far, near - 1, axis=1)[:, :near], axis=1)
+    other = least > SAME
+    use = other & (np.cumsum(other, 1) <= k)
+    n, d = use.sum(1), np.sqrt(np.where(use, least, 0.0))
+    mean = d.sum(1) / np.maximum(n, 1)
+    return np.where(n > 1, (d * d).sum(1) / np.maximum(n, 1) - mean * mean, 0.0)
+
+
+def sampled_variance(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], seed: int = 42, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Variance order over at most SAMPLE_ROWS seeded rows of each partition, so its work grows with the rows and not with their square.
+
+    A budget of HIGH_SHARE of the partition, or of SAMPLE_ROWS of a larger one, is a seeded sample. Equal scores go by the seeded order.
+    """
+    rows = ranked(df.select(*ids, *z, "partition_id"), ids, seed)
+    sizes = df.groupBy("partition_id").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = budget_table(df, budgets).join(sizes, "partition_id")
+    table = rows.join(F.broadcast(wanted), "partition_id")  # a row for each leaf
+    at_random = (F.col("budget") >= F.lit(HIGH_SHARE) * F.col("_n")) | ((F.col("_n") > SAMPLE_ROWS) & (F.col("budget") >= SAMPLE_ROWS))
+    drawn = table.where(at_random & (F.col("rank") < F.col("budget"))).select(*ids, "partition_id", F.col("rank").alias("selection_rank"))
+
+    def pick(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rank", kind="stable")
+        score = np.round(near_variance(frame[z].to_numpy(float), neighbours), 12)
+        out = frame.iloc[np.argsort(-score, kind="stable")[: int(frame["budget"].iloc[0])]][[*ids, "partition_id"]].copy()
+        out["selection_rank"] = np.arange(len(out))
+        return out
+
+    kept = table.where(~at_random & (F.col("rank") < SAMPLE_ROWS)).select(*ids, "partition_id", *[c for c in z if c not in ids], "rank", "budget")
+    shape = df.select(*ids, "partition_id", F.lit(0).cast("long").alias("selection_rank")).schema
+    return drawn.unionByName(kept.groupBy("partition_id").applyInPandas(pick, shape))
+
+
 #: Sign patterns whose budgets are shared out at a time.
 MOST_ORTHANTS = 1 << 16
 

@@ -10,13 +10,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varileaf.functions import geometry
 from varileaf.operators import baselines, metrics, tree
 from varileaf.plans.model import FittedModel, Partitioner
 from varileaf.sources.datasets import DATASETS, feature_columns
+from varileaf.sources.store import removed, stored
 from varileaf.sources.tables import RESULT
 
 
@@ -93,6 +94,54 @@ def residual_rounds(df: DataFrame, features: list[str], ids: list[str], sizes: t
     return current, errors
 
 
+def shifted(logits: str, bias: str, alpha: float) -> Column:
+    """Logits with alpha times a bias array; without a bias as they are."""
+    given = F.transform(F.col(f"`{logits}`"), lambda x: x.cast("double"))
+    moved = F.zip_with(given, F.col(f"`{bias}`"), lambda x, b: x + F.lit(float(alpha)) * F.coalesce(b, F.lit(0.0)))
+    return F.when(F.col(f"`{bias}`").isNull(), given).otherwise(moved)
+
+
+def cross_entropy(logits: Column, target: Column) -> Column:
+    """Loss of the target's place (from 0) among logits."""
+    top = F.array_max(logits)
+    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))) - F.element_at(logits, target.cast("int") + 1)
+
+
+def alpha_losses(df: DataFrame, logits: str, target: str, bias: str, alphas: list[float]) -> dict[float, float]:
+    """Mean loss for each alpha; the whole grid is one aggregation over one pass of the rows. Rows with a null count in no mean."""
+    given = df.select(logits, target, bias).where(F.col(logits).isNotNull() & F.col(target).isNotNull())
+    each = given.select(*[cross_entropy(shifted(logits, bias, a), F.col(f"`{target}`")).alias(f"a{k}") for k, a in enumerate(alphas)])
+    return dict(zip(alphas, each.agg(*[F.avg(c).alias(c) for c in each.columns]).first(), strict=True))
+
+
+def corrected(df: DataFrame, valid: DataFrame, features: list[str], ids: list[str], logits: str, target: str, rounds: int = 3, alphas: tuple[float, ...] = (0.0, 0.25, 0.5, 1.0), settings: Partitioner | None = None) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """Additive corrections: in each round the table's rows are partitioned anew by the features, a partition's bias is the mean of (1 at the target) less
+    the softmax of the present logits, and the alpha of the least loss on the valid rows (the first of equals) says how much of it is added.
+
+    Returns the valid rows with corrected logits, and alpha and loss of each round. Each round's rows are written to the shared folder.
+    """
+    base = settings or Partitioner(target="sum", n_partitions=8, min_gain=0.0)
+    kept = list(dict.fromkeys([*ids, *features, target]))
+    train, held = (x.select(*kept, F.transform(F.col(f"`{logits}`"), lambda v: v.cast("double")).alias(logits)) for x in (df, valid))
+    story: list[tuple[float, float]] = []
+    for k in range(rounds):
+        model = base.set_params(random_state=base.random_state + k).fit(train, features, ids)
+        top = F.array_max(logits)
+        whole = F.aggregate(F.col(logits), F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        gaps = model.transform(train).select("partition_id", F.posexplode(F.transform(F.col(logits), lambda x, i: (i == F.col(f"`{target}`").cast("int")).cast("double") - F.exp(x - top) / whole)).alias("_c", "_v"))
+        means = gaps.groupBy("partition_id", "_c").agg(F.avg("_v").alias("_v")).groupBy("partition_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_v"))), lambda x: x["_v"]).alias("_bias"))
+        # a tree's leaves times the classes
+        marked = [model.transform(x).join(means, "partition_id", "left") for x in (train, held)]
+        losses = alpha_losses(marked[1], logits, target, "_bias", list(alphas))
+        alpha = min(alphas, key=lambda a: losses[a])
+        story.append((alpha, losses[alpha]))
+        before = (train, held) if k else ()
+        train, held = (stored(x.select(*kept, shifted(logits, "_bias", alpha).alias(logits)), f"corrected-{k}") for x in marked)
+        for x in before:
+            removed(x)
+    return held, story
+
+
 def linear_models(df: DataFrame, features: list[str], y: str, by: str = "partition_id") -> DataFrame:
     """by, n and weights (the intercept last): least squares in each partition, from its normal equations alone."""
     x = [*[F.col(c).cast("double") for c in features], F.lit(1.0)]

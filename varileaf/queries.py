@@ -15,7 +15,7 @@ from varileaf.operators import baselines, budgets, generate, metrics, select, ta
 from varileaf.operators.neighbours import nearest
 from varileaf.operators.projection import PROJECTION
 from varileaf.operators.scaling import Scaler
-from varileaf.plans.compose import linear_models, refined
+from varileaf.plans.compose import alpha_losses, linear_models, refined
 from varileaf.plans.model import PRESETS, FittedModel, Partitioner, geometry_by_partition, geometry_summary, sign_by_partition, sign_summary
 from varileaf.sources.tables import LINE_FEATURES, LINE_IDS, summary, table
 from varileaf.streaming.windows import partition_windows
@@ -520,6 +520,41 @@ def expand_categorical(spark, sf_dir):
     return generate.categories(df, ["l_returnflag", "l_linestatus"], made, by_lattice=True)
 
 
+@query(
+    PARTS + ", q as (select *, case partition_id when 0 then 300 else 200 end as budget from b where rk < 400), "
+    "dd as (select a.p_partkey, a.partition_id, a.rk, a.budget, (a.z_p_size - o.z_p_size) * (a.z_p_size - o.z_p_size) + (a.z_p_retailprice - o.z_p_retailprice) * (a.z_p_retailprice - o.z_p_retailprice) as d from q a join q o using (partition_id)), "
+    "near as (select *, row_number() over (partition by p_partkey order by d) as place from dd), sc as (select p_partkey, partition_id, rk, budget, round(case when count(*) filter (d > 1e-15) > 1 then var_pop(sqrt(d)) filter (d > 1e-15) else 0 end, 12) as score from near where place <= 8 group by all), "
+    "pl as (select *, row_number() over (partition by partition_id order by score desc, rk) - 1 as selection_rank from sc) select p_partkey, cast(partition_id as int) as partition_id, selection_rank from pl where selection_rank < budget"
+)
+def reduce_sampled_variance(spark, sf_dir):
+    return select.select(parts(spark, sf_dir), ["p_partkey"], PZ, BUDGETS, "sampled_variance")
+
+
+_ALPHAS = (0.0, 0.25, 0.5, 1.0, 2.0)
+_CLASSES = ("A", "N", "R")
+
+
+def _alpha_sql() -> str:
+    """Logits from three columns; a partition's bias of a class is the log of its share there over its share of all rows."""
+    share = ", ".join(f"ln((count_if(l_returnflag = '{k}') + 1.0::double) / (count(*) + 3)) as b{i}" for i, k in enumerate(_CLASSES))
+    whole = ", ".join(f"ln((count_if(l_returnflag = '{k}') + 1.0::double) / (count(*) + 3)) as w{i}" for i, k in enumerate(_CLASSES))
+    moved = ", ".join(f"l{i} + a * (b{i} - w{i}) as m{i}" for i in range(3))
+    loss = "ln(exp(m0) + exp(m1) + exp(m2)) - case l_returnflag " + " ".join(f"when '{k}' then m{i}" for i, k in enumerate(_CLASSES)) + " end"
+    return LINES + f", x as (select *, {ROUTE} as pid, z_l_quantity as l0, z_l_extendedprice as l1, z_l_discount as l2 from z), pb as (select pid, {share} from x group by pid), wb as (select {whole} from x), al as (select unnest([{', '.join(f'{a}::double' for a in _ALPHAS)}]) as a), mv as (select a, l_returnflag, {moved} from x join pb using (pid), wb, al) select a as alpha, {sr('avg(' + loss + ')', 8)} as loss from mv group by a"
+
+
+@query(_alpha_sql())
+def alpha_grid_losses(spark, sf_dir):
+    """Mean loss of logits with a partition's correction, for each alpha of a grid."""
+    x = lines(spark, sf_dir, "l_returnflag").withColumn("partition_id", FIXED.leaf())
+    log_share = [F.log((F.count_if(F.col("l_returnflag") == k) + 1) / (F.count(F.lit(1)) + 3)) for k in _CLASSES]
+    whole = x.agg(*log_share).first()
+    bias = x.groupBy("partition_id").agg(F.array(*[s - F.lit(w) for s, w in zip(log_share, whole, strict=True)]).alias("bias"))
+    rows = x.join(bias, "partition_id").select(F.array("z_l_quantity", "z_l_extendedprice", "z_l_discount").alias("logits"), (F.array_position(F.array(*map(F.lit, _CLASSES)), F.col("l_returnflag")) - 1).alias("target"), "bias")
+    found = alpha_losses(rows, "logits", "target", "bias", list(_ALPHAS))
+    return spark.createDataFrame(list(found.items()), "alpha double, loss double").select("alpha", r(F.col("loss"), 8).alias("loss"))
+
+
 _SCORES = {"A": "l_quantity", "N": "l_extendedprice", "R": "l_discount"}
 
 
