@@ -110,3 +110,25 @@ def test_what_a_reduced_table_explains(spark):
         assert metrics.learned(full, test, ["a", "b"], "y", "auc", 4) == pytest.approx(out["full_trtr_auc"])
         assert metrics.learned(full, test, ["a", "b"], "y", trees=4) > 0.85
     assert math.isnan(metrics.error_explanation(full.withColumn("y", F.lit(1.0)), small, test, ["a", "b"], "y")["n_errors"])
+
+
+def test_failures_are_counted_and_replaced(spark):
+    def cholesky(z, budget, seed):  # fails on partitions without spread
+        return z.mean(0) + np.random.default_rng(seed).standard_normal((budget, z.shape[1])) @ np.linalg.cholesky(np.cov(z, rowvar=False)).T
+
+    rng = random.Random(6)
+    rows = [(i, p, *((rng.gauss(0, 1), rng.gauss(0, 1)) if p == 0 else (2.0, -1.0))) for i, p in enumerate([0] * 40 + [1] * 10 + [2])]
+    df = spark.createDataFrame(rows, "id int, partition_id int, z_a double, z_b double").cache()
+    budget = {0: 30, 1: 20, 2: 5}
+    made = generate.generate(df, ["id"], ["z_a", "z_b"], budget, cholesky, fallback=True).toPandas()
+    assert made.groupby("partition_id").size().to_dict() == budget
+    assert made[made.failed].partition_id.unique().tolist() == [1] and made.failed.sum() == 20  # the single row isn't a failure
+    off = made[made.partition_id > 0]
+    assert (abs(off.z_a - 2) < 0.5).all() and (abs(off.z_b + 1) < 0.5).all() and off.z_a.std() > 0
+    none = generate.guarded(lambda z, budget, seed: np.full((budget, 2), np.nan), np.ones((3, 2)), 4, 1)
+    short = generate.guarded(lambda z, budget, seed: z[:1], np.ones((3, 2)), 4, 1)
+    assert none[1] and short[1] and none[0].shape == short[0].shape == (4, 2)
+    for name in ("epanechnikov", "lattice_copula"):
+        assert generate.generate(df, ["id"], ["z_a", "z_b"], {0: 3}, name, fallback=True).where("not failed").count() == 3
+    with pytest.raises(Exception, match="(?i)positive definite"):
+        generate.generate(df, ["id"], ["z_a", "z_b"], budget, cholesky).collect()

@@ -327,11 +327,35 @@ def pushed(z: np.ndarray, made: np.ndarray, least: float = 0.3) -> np.ndarray:
 KERNELS: dict[str, GenerationStrategy] = {"univariate_kde_copula": copula, "independent_kde": independent, "knn_interpolation": interpolated, "partition_gmm": mixture}
 
 
+#: Noise of the rows that stand in for a kernel's, in deviations.
+STAND_IN_NOISE = 0.05
+
+
+def guarded(kernel: GenerationStrategy, z: np.ndarray, budget: int, seed: int) -> tuple[np.ndarray, bool]:
+    """A kernel's rows, or, where it raises an error or gives other than `budget` finite rows, given rows with a little noise; and whether it failed.
+
+    A partition of one row isn't given to the kernel: it gets the noisy rows without counting as a failure.
+    """
+    made = None
+    if len(z) > 1:
+        try:
+            made = np.asarray(kernel(z, budget, seed), float).reshape(budget, z.shape[1])
+        except Exception:  # noqa: BLE001  whatever a custom kernel raises
+            made = None
+        if made is not None and np.isfinite(made).all():
+            return made, False
+    rng = np.random.default_rng(seed)
+    return z[rng.integers(0, len(z), budget)] + STAND_IN_NOISE * rng.standard_normal((budget, z.shape[1])), len(z) > 1
+
+
 BY_FEATURE = ("univariate_kde_copula", "lattice_copula", "independent_kde")
 
 
-def by_kernel(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], kernel: GenerationStrategy, seed: int = 42, novelty: float = 0.0) -> DataFrame:
-    """Runs a kernel on every partition, or on equal parts of those above GROUP_ROWS, which share the budget."""
+def by_kernel(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], kernel: GenerationStrategy, seed: int = 42, novelty: float = 0.0, fallback: bool = False) -> DataFrame:
+    """Runs a kernel on every partition, or on equal parts of those above GROUP_ROWS, which share the budget.
+
+    fallback: a kernel's errors don't end the job, and a column `failed` tells the rows that stand in (see guarded).
+    """
     known = [p for p, b in budgets.items() if b > 0]
     counted = df.where(F.col("partition_id").isin(known)).groupBy("partition_id").count().collect()
     rows = []
@@ -349,15 +373,21 @@ def by_kernel(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, in
         frame = frame.sort_values(ids, kind="stable")
         pid, budget, start, part = (int(frame[c].iloc[0]) for c in ("partition_id", "_budget", "_start", "_part"))
         x = frame[z].to_numpy(float)
-        made = np.asarray(kernel(x, budget, hash((seed, pid, part)) & 0x7FFFFFFF), float).reshape(budget, len(z))
+        own, failed = hash((seed, pid, part)) & 0x7FFFFFFF, False
+        if fallback:
+            made, failed = guarded(kernel, x, budget, own)
+        else:
+            made = np.asarray(kernel(x, budget, own), float).reshape(budget, len(z))
         if novelty and budget:
             made = pushed(x, made, novelty)
         out = pd.DataFrame(made, columns=z)
         out.insert(0, "synthetic_id", np.arange(budget) + start)
         out.insert(0, "partition_id", np.int32(pid))
+        if fallback:
+            out["failed"] = failed
         return out
 
-    shape = "partition_id int, synthetic_id long, " + ", ".join(f"`{c}` double" for c in z)
+    shape = "partition_id int, synthetic_id long, " + ", ".join(f"`{c}` double" for c in z) + (", failed boolean" if fallback else "")
     return dealt.join(table.drop("_parts"), ["partition_id", "_part"]).groupBy("partition_id", "_part").applyInPandas(run, shape)
 
 
@@ -369,23 +399,28 @@ def by_feature(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, i
     return marginals.copula(df, ids, z, made, [draws.probit(s.lattice(j)) if name == "lattice_copula" else s.normal(j) for j in range(s.d)])
 
 
-def generate(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], strategy: str | GenerationStrategy = "epanechnikov", bandwidth: float | str = "auto", seed: int = 42, novelty: float = 0.0) -> DataFrame:
+def _not_failed(made: DataFrame, fallback: bool) -> DataFrame:
+    return made.withColumn("failed", F.lit(False)) if fallback else made
+
+
+def generate(df: DataFrame, ids: list[str], z: list[str], budgets: dict[int, int], strategy: str | GenerationStrategy = "epanechnikov", bandwidth: float | str = "auto", seed: int = 42, novelty: float = 0.0, fallback: bool = False) -> DataFrame:
+    """fallback: adds `failed`, true for the rows of partitions whose kernel failed; strategies that are expressions don't fail."""
     if isinstance(strategy, str):
         name = ALIASES.get(strategy, strategy)
         if name in EXPRESSIONS:
             if novelty:
                 raise ValueError("novelty needs a strategy that works on whole partitions: a callable or one of " + str(sorted(KERNELS)))
-            return by_expression(df, ids, z, budgets, name, bandwidth, seed)
+            return _not_failed(by_expression(df, ids, z, budgets, name, bandwidth, seed), fallback)
         if name in BY_FEATURE and not (novelty and name in KERNELS):
             if novelty:
                 raise ValueError("novelty needs a strategy that works on whole partitions: a callable or one of " + str(sorted(KERNELS)))
-            return by_feature(df, ids, z, budgets, name, seed)
+            return _not_failed(by_feature(df, ids, z, budgets, name, seed), fallback)
         if name not in KERNELS:
             raise ValueError(f"unknown generation strategy {strategy!r}, expected one of {sorted({*EXPRESSIONS, *BY_FEATURE, *KERNELS})}")
         strategy = KERNELS[name]
     if not isinstance(strategy, Callable):
         raise TypeError("a generation strategy is a callable (z, budget, seed) -> rows")
-    return by_kernel(df, ids, z, budgets, strategy, seed, novelty)
+    return by_kernel(df, ids, z, budgets, strategy, seed, novelty, fallback)
 
 
 def _above(mark: Column) -> Callable[[Column], Column]:

@@ -195,9 +195,10 @@ class FittedModel:
             return chosen.select(*self.ids)
         return (self.data if X is None else X).join(chosen, self.ids)
 
-    def expand(self, n: int, variance_weighted: bool = False, bandwidth: float | str | None = None, adaptive_bandwidth: bool = False, generation_strategy=None, n_partitions: int | None = None, X: DataFrame | None = None, novelty: float = 0.0, return_novelty_stats: bool = False) -> DataFrame | tuple[DataFrame, dict[str, float]]:
+    def expand(self, n: int, variance_weighted: bool = False, bandwidth: float | str | None = None, adaptive_bandwidth: bool = False, generation_strategy=None, n_partitions: int | None = None, X: DataFrame | None = None, novelty: float = 0.0, return_novelty_stats: bool = False, fallback: bool = False) -> DataFrame | tuple[DataFrame, dict[str, float]]:
         """n synthetic rows: the features in their own units, partition_id and synthetic_id.
 
+        fallback: a strategy's errors in a partition give noisy given rows, told by a column `failed`.
         return_novelty_stats: also min, mean and p5 of their distances to the nearest given row, over the z columns of the numeric features.
         """
         if n <= 0:
@@ -217,7 +218,7 @@ class FittedModel:
         numeric = [f"z_{c}" for c in self.scaler.features if c not in self.scaler.categorical]
         codes = [f"z_{c}" for c in self.scaler.categorical]
         seed = self.settings.random_state
-        made = generate.generate(frame, self.ids, numeric, planned, strategy, rule, seed, novelty) if numeric else generate.slots(frame, planned).select(F.col("_pid").alias("partition_id"), F.col("_i").alias("synthetic_id"))
+        made = generate.generate(frame, self.ids, numeric, planned, strategy, rule, seed, novelty, fallback) if numeric else generate.slots(frame, planned).select(F.col("_pid").alias("partition_id"), F.col("_i").alias("synthetic_id"))
         if codes:
             made = generate.categories(frame, codes, made, seed)
         out = self.scaler.inverse(made)
