@@ -521,10 +521,10 @@ def expand_categorical(spark, sf_dir):
 
 
 @query(
-    PARTS + ", q as (select *, case partition_id when 0 then 300 else 200 end as budget from b where rk < 400), "
+    PARTS + ", w as (select *, case partition_id when 0 then 300 else 200 end as budget from b), m as (select *, budget >= 0.65 * n or (n > 400 and budget >= 400) as at_random from w), q as (select * from m where rk < 400 and not at_random), "
     "dd as (select a.p_partkey, a.partition_id, a.rk, a.budget, (a.z_p_size - o.z_p_size) * (a.z_p_size - o.z_p_size) + (a.z_p_retailprice - o.z_p_retailprice) * (a.z_p_retailprice - o.z_p_retailprice) as d from q a join q o using (partition_id)), "
     "near as (select *, row_number() over (partition by p_partkey order by d) as place from dd), sc as (select p_partkey, partition_id, rk, budget, round(case when count(*) filter (d > 1e-15) > 1 then var_pop(sqrt(d)) filter (d > 1e-15) else 0 end, 12) as score from near where place <= 8 group by all), "
-    "pl as (select *, row_number() over (partition by partition_id order by score desc, rk) - 1 as selection_rank from sc) select p_partkey, cast(partition_id as int) as partition_id, selection_rank from pl where selection_rank < budget"
+    "pl as (select *, row_number() over (partition by partition_id order by score desc, rk) - 1 as selection_rank from sc) select p_partkey, cast(partition_id as int) as partition_id, selection_rank from pl where selection_rank < budget union all select p_partkey, cast(partition_id as int), rk from m where at_random and rk < budget"
 )
 def reduce_sampled_variance(spark, sf_dir):
     return select.select(parts(spark, sf_dir), ["p_partkey"], PZ, BUDGETS, "sampled_variance")
