@@ -11,6 +11,38 @@ def _table(spark, z, part):
     return spark.createDataFrame(rows, "id long, x double, y double, partition_id int")
 
 
+def test_only_so_many_candidates_reach_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(select, "GROUP_ROWS", 200)
+    monkeypatch.setattr(select, "CANDIDATES", 400)
+    sent, to_pandas = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: sent.append(len(out := to_pandas(self))) or out)
+    z, part = np.random.default_rng(7).normal(size=(4000, 2)), np.arange(4000) % 4
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = select.select(_table(spark, z, part), ["id"], ["x", "y"], dict.fromkeys(range(4), 20), "fps").orderBy("partition_id", "selection_rank").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sent and max(sent) <= 600
+    for p in range(4):
+        mine = np.flatnonzero(part == p)
+        assert [r.id for r in got if r.partition_id == p] == mine[select.centroid_fps(z[mine], 20)].tolist()
+
+
+def test_copies_follow_when_all_different_rows_are_picked(spark, monkeypatch):
+    monkeypatch.setattr(select, "GROUP_ROWS", 50)
+    rng = np.random.default_rng(3)
+    z = np.concatenate((rng.permutation(np.repeat(rng.normal(size=(30, 2)), 8, 0)), rng.permutation(np.repeat(rng.normal(size=(70, 2)), 4, 0))))
+    part = np.repeat([0, 1], [240, 280])
+    for method in ("fps", "medoid_fps", "mixed_fps"):
+        got = select.select(_table(spark, z, part), ["id"], ["x", "y"], {0: 100, 1: 150}, method).orderBy("partition_id", "selection_rank").collect()
+        for p, b in ((0, 100), (1, 150)):
+            mine = np.flatnonzero(part == p)
+            assert [r.id for r in got if r.partition_id == p] == mine[select.KERNELS[method](z[mine], b)].tolist()
+
+
 def test_nearest_far_from_the_origin():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(500, 2)) + 1e7, rng.normal(size=(3000, 2)) + 1e7
