@@ -43,6 +43,12 @@ def test_copies_follow_when_all_different_rows_are_picked(spark, monkeypatch):
             assert [r.id for r in got if r.partition_id == p] == mine[select.KERNELS[method](z[mine], b)].tolist()
 
 
+def test_variance_order_of_copies():
+    z = np.repeat(np.random.default_rng(1).normal(size=(60, 2)) + 1e5, 6, 0)
+    d = np.sqrt(np.sort(((z[:, None] - z[None]) ** 2).sum(2), 1)[:, :10])
+    assert select.variance_ordered(z, 360).tolist() == np.argsort(-np.round(d.var(1), 12), kind="stable").tolist()
+
+
 def test_nearest_far_from_the_origin():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(500, 2)) + 1e7, rng.normal(size=(3000, 2)) + 1e7
