@@ -43,6 +43,15 @@ def test_copies_follow_when_all_different_rows_are_picked(spark, monkeypatch):
             assert [r.id for r in got if r.partition_id == p] == mine[select.KERNELS[method](z[mine], b)].tolist()
 
 
+def test_mixed_rest_by_variance_of_copies():
+    """Copies are at distance 0, far from the origin too."""
+    z = np.random.default_rng(2).permutation(np.repeat(np.random.default_rng(1).normal(size=(60, 2)) + 1e5, 6, 0))
+    d = np.sqrt(np.sort(((z[:, None] - z[None]) ** 2).sum(2), 1)[:, :10])
+    score = np.round(d.var(1), 12)
+    head = select.centroid_fps(z, 70).tolist()
+    assert select.mixed_fps(z, 100)[70:].tolist() == [i for i in np.argsort(-score, kind="stable").tolist() if i not in set(head)][:30]
+
+
 def test_variance_order_of_copies():
     z = np.repeat(np.random.default_rng(1).normal(size=(60, 2)) + 1e5, 6, 0)
     d = np.sqrt(np.sort(((z[:, None] - z[None]) ** 2).sum(2), 1)[:, :10])
