@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varileaf.llm import crossentropy, eliasfano, html, jaccard, langid, lloyd, mixing, packing, pieces, quality, repeats, transport, whitening
+from varileaf.llm import crossentropy, eliasfano, html, jaccard, langid, lloyd, mixing, packing, passages, pieces, quality, repeats, transport, whitening
 from varileaf.llm.common import documents, materialize, pages
 from varileaf.llm.tokens import tokenizer_path
 from varileaf.llm.vectors import embeddings
@@ -51,7 +51,9 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(documents(spark, sf_dir))
+    """Bytes are removed in strings of 400; n_passages and n_passage_words tell passages of over 50 words that other documents hold, however few bytes they have."""
+    docs = documents(spark, sf_dir)
+    return repeats.remove(docs, beside=passages.counted(docs))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

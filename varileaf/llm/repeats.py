@@ -43,9 +43,9 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def segments(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """Index of the text, anchor, print, first and last start of each segment of the texts."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
+def segments(texts: list[bytes] | list[np.ndarray], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """Index of the text, anchor, print, first and last start of each segment of the texts, which are bytes or arrays of codes."""
+    data = np.frombuffer(b"".join(texts), np.uint8) if isinstance(texts[0], bytes) else np.concatenate(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     if len(data) < length:
@@ -69,7 +69,7 @@ def segments(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.n
     return own, grams[anchor[new]], np.frombuffer(prints, np.uint64), lo - starts[own], hi - starts[own]
 
 
-def _pieces(texts: list[bytes], length: int) -> tuple[list[int], list[int], list[bytes]]:
+def _pieces(texts: list, length: int) -> tuple[list[int], list[int], list]:
     """Long texts in pieces whose starts don't overlap."""
     index, base, out = [], [], []
     for i, t in enumerate(texts):
@@ -80,24 +80,30 @@ def _pieces(texts: list[bytes], length: int) -> tuple[list[int], list[int], list
     return index, base, out
 
 
+def placed(texts: list[bytes] | list[np.ndarray], length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """What segments() gives, for texts of any length."""
+    index, base, texts = _pieces(texts, length)
+    base = np.array(base)
+    groups, total, held = [], 0, []
+    for i, t in enumerate(texts):  # no more than the anchors' places can tell apart
+        if held and total + len(t) > 1 << 23:
+            groups.append(held)
+            held, total = [], 0
+        held.append(i)
+        total += len(t)
+    groups.append(held)
+    for g in groups:
+        own, anchor, seg, lo, hi = segments([texts[i] for i in g], length, k)
+        own = np.array(g)[own]
+        yield np.array(index)[own], anchor.view(np.int64), seg.view(np.int64), lo + base[own], hi + base[own]
+
+
 def _found(docs: DataFrame, length: int, k: int) -> DataFrame:
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, most=BATCH):
-            index, base, texts = _pieces(text_bytes(frame.column(2)), length)
-            d, r = (frame.column(c).to_numpy()[index] for c in (0, 1))
-            base = np.array(base)
-            groups, total, held = [], 0, []
-            for i, t in enumerate(texts):  # no more than the anchors' places can tell apart
-                if held and total + len(t) > 1 << 23:
-                    groups.append(held)
-                    held, total = [], 0
-                held.append(i)
-                total += len(t)
-            groups.append(held)
-            for g in groups:
-                own, anchor, seg, lo, hi = segments([texts[i] for i in g], length, k)
-                own = np.array(g)[own]
-                yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(r[own]), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(lo + base[own]), pa.array(hi + base[own])], names=["d", "r", "anchor", "seg", "lo", "hi"])
+            d, r = (frame.column(c).to_numpy() for c in (0, 1))
+            for own, anchor, seg, lo, hi in placed(text_bytes(frame.column(2)), length, k):
+                yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(r[own]), pa.array(anchor), pa.array(seg), pa.array(lo), pa.array(hi)], names=["d", "r", "anchor", "seg", "lo", "hi"])
 
     return map_arrow(docs.where(F.octet_length("text") >= length), rows, "d long, r long, anchor long, seg long, lo long, hi long")
 
@@ -227,13 +233,16 @@ def without(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join((*kept, text[at:]))
 
 
-def remove(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+def remove(docs: DataFrame, length: int = LENGTH, k: int = K, beside: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and the long columns of `beside`, a table by d and r; 0 where it has no row.
 
     A null text is empty; texts shorter than `length` lose nothing; a row that repeats another loses all that is long enough; null doc_ids
     stay; an empty table gives none; other columns are left out.
     """
-    joined = _keyed(docs.select("doc_id", "text")).join(intervals(docs, length, k), ["d", "r"], "left").select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "starts")
+    more = [c for c in beside.columns if c not in {"d", "r"}] if beside is not None else []
+    joined = _keyed(docs.select("doc_id", "text")).join(intervals(docs, length, k), ["d", "r"], "left")
+    joined = (joined.join(beside, ["d", "r"], "left") if more else joined).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "starts", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in more])
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
@@ -241,9 +250,9 @@ def remove(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             for doc_id, text, starts in zip(frame.column(0).to_pylist(), text_bytes(frame.column(1)), frame.column(2).to_pylist(), strict=True):
                 removed = spans(starts or [], length)
                 out.append((doc_id, len(text), sum(b - a for a, b in removed), len(removed), hashlib.sha256(without(text, removed)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([o[i] for o in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string()])], *frame.columns[3:]], names=names + more)
 
-    return map_arrow(joined, rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(joined, rows, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *[f"{c} long" for c in more]]))
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:

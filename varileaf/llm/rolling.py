@@ -12,6 +12,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Powers that stay in memory.
 KEPT = 1 << 20
+#: Bytes of a word that is hashed by the polynomial.
+LONG = 64
 
 
 @lru_cache(maxsize=1)
@@ -41,13 +43,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """of(a, b): hashes of data[a:b] for arrays of starts and stops."""
+    """of(a, b): hashes of data[a:b] for arrays of starts and stops. Data of 64 bits are codes already."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         each = self.sums[1:]
-        np.take(_bytes(), data, out=each, mode="clip")
+        if data.dtype == np.uint64:
+            each[:] = data
+        else:
+            np.take(_bytes(), data, out=each, mode="clip")
         each *= up[: len(data)]
         np.cumsum(each, out=each)
 
@@ -72,6 +77,19 @@ def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return codes, words.indices.to_numpy(), np.diff(ends, prepend=0)
 
 
+def word_codes(texts: list[bytes]) -> list[np.ndarray]:
+    """Of each text the 64-bit codes of its words: hashes as above, and blake2b digests of words over LONG bytes, where letters in a pattern could meet."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True))
+    starts, stops = edge[::2], edge[1::2]
+    codes = Prefix(data).of(starts, stops)
+    long = np.flatnonzero(stops - starts > LONG)
+    view = memoryview(data)
+    digests = [hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
+    codes[long] = np.frombuffer(b"".join(digests), np.uint64)
+    return np.split(codes, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))[:-1])
+
+
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its shingles of `width` words; a shorter text is one shingle, one without words has none.
 

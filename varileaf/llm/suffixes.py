@@ -72,7 +72,7 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, alphabet: int) ->
     return np.concatenate(whole)
 
 
-def _refine(names: np.ndarray) -> np.ndarray:
+def refine(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of a string of names, by doubling; only ranks that are still shared are sorted again."""
     n = len(names)
     order = np.argsort(names, kind="stable")
@@ -120,7 +120,7 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     if not new.all():
         names = np.empty(len(lms), np.int64)
         names[np.searchsorted(lms, ordered)] = np.cumsum(new)
-        ordered = lms[_refine(names)]
+        ordered = lms[refine(names)]
     return induce(s, small, ordered, alphabet)
 
 
