@@ -73,3 +73,41 @@ def test_search_looks_at_few_rows(monkeypatch):
     same = np.arange(len(x))
     assert not least_distance(x, x, same).any()
     assert sum(looked) < len(x) ** 2 / 20
+
+
+def _plain(z, budget, first):
+    chosen, least = [first], ((z - z[first]) ** 2).sum(1)
+    least[first] = -1
+    while len(chosen) < budget:
+        chosen.append(int(least.argmax()))
+        np.minimum(least, ((z - z[chosen[-1]]) ** 2).sum(1), out=least)
+        least[chosen[-1]] = -1
+    return chosen
+
+
+def test_picks_in_boxes():
+    rng = np.random.default_rng(9)
+    for n, d in ((700, 1), (900, 2), (1100, 4), (800, 7)):
+        x = rng.normal(size=(n, d))
+        for z in (x, x.round(1), np.repeat(x[: n // 4], 4, 0), np.zeros((n, d))):
+            for budget in (select.FEW_PICKS + 1, len(z)):
+                assert select.farthest(z, budget, 17).tolist() == _plain(z, budget, 17)
+
+
+def test_rounds_only_beyond_what_one_call_picks_from(spark, monkeypatch):
+    monkeypatch.setattr(select, "GROUP_ROWS", 200)
+    rounds = []
+    monkeypatch.setattr(select, "farthest_rounds", lambda *a, f=select.farthest_rounds: rounds.append(a) or f(*a))
+    z = np.random.default_rng(12).normal(size=(500, 2))
+    table, z = _table(spark, np.concatenate((z, z)), np.zeros(1000)), np.concatenate((z, z))
+
+    def check():
+        for method in ("fps", "medoid_fps"):
+            got = select.select(table, ["id"], ["x", "y"], {0: 700}, method).orderBy("selection_rank").collect()
+            assert [r.id for r in got] == select.KERNELS[method](z, 700).tolist()
+
+    check()
+    assert not rounds
+    monkeypatch.setattr(select, "PICK_GROUPS", 1)
+    check()
+    assert len(rounds) == 2
