@@ -111,3 +111,8 @@ def test_rounds_only_beyond_what_one_call_picks_from(spark, monkeypatch):
     monkeypatch.setattr(select, "PICK_GROUPS", 1)
     check()
     assert len(rounds) == 2
+
+
+def test_centroid_start_is_the_medoid_of_all_rows():
+    z = np.random.default_rng(13).gamma(0.5, size=(3000, 2))
+    assert select.centroid_fps(z, 1)[0] == ((z[:, None] - z[None]) ** 2).sum((1, 2)).argmin()
